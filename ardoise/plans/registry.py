@@ -6,11 +6,11 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ardoise.plans import heavy_keys
+from ardoise.plans import heavy_keys, spikes
 
 
 def modules() -> list[ModuleType]:
-    return [heavy_keys]
+    return [heavy_keys, spikes]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
