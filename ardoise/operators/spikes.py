@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ardoise.session import materialise
+from ardoise.session import materialise, small
 
 BLOCK = 1 << 15
 STATES = ("normal", "pic", "fige", "hors_bornes")
@@ -63,18 +63,17 @@ def _join(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def standardised(df: DataFrame, value: str, source: str, group: str) -> DataFrame:
-    """Adds ``z``: distance of ``value`` from what its source and group normally give, in robust deviations.
+def standardised(df: DataFrame) -> DataFrame:
+    """Adds ``z``: distance of ``niveau`` from what its source and group normally give, in robust deviations.
 
-    The level is that of the (source, group) cell, shrunk towards source level + group level where
-    the cell has few rows; the scale is that of the group over all sources, likewise shrunk towards
-    the overall scale.
+    Needs champ, source, groupe, niveau.  The level is that of the (source, group) cell, shrunk
+    towards source level + group level where the cell has few rows; the scale is that of the group
+    over all sources, likewise shrunk towards the scale of the source.
     """
-    by_source = _quartiles(df, [source], value, "s")
-    one = _join(df, by_source, [source]).withColumn("_r", F.col(value) - F.col("s_m"))
-    by_group = _quartiles(one, [group], "_r", "g")
-    by_cell = _quartiles(one, [source, group], "_r", "c")
-    two = _join(_join(one, by_group, [group]), by_cell, [source, group])
+    one = _join(df, small(_quartiles(df, ["champ", "source"], "niveau", "s"), "sources"), ["champ", "source"]).withColumn("_r", F.col("niveau") - F.col("s_m"))
+    by_group = small(_quartiles(one, ["champ", "groupe"], "_r", "g"), "groupes")
+    by_cell = small(_quartiles(one, ["champ", "source", "groupe"], "_r", "c"), "cellules")
+    two = _join(_join(one, by_group, ["champ", "groupe"]), by_cell, ["champ", "source", "groupe"])
     additive = F.coalesce(F.col("g_m"), F.lit(0.0))
     level = (F.coalesce(F.col("c_n"), F.lit(0)) * F.coalesce(F.col("c_m"), F.lit(0.0)) + SHRINK * additive) / (F.coalesce(F.col("c_n"), F.lit(0)) + SHRINK)
     scale = (F.coalesce(F.col("g_n"), F.lit(0)) * F.coalesce(F.col("g_e"), F.lit(0.0)) + SHRINK * F.col("s_e")) / (F.coalesce(F.col("g_n"), F.lit(0)) + SHRINK)
@@ -192,14 +191,16 @@ def _posterior(pdf: pd.DataFrame, messages: pd.DataFrame) -> pd.DataFrame:
 def flag_readings(readings: DataFrame, round_value: Column) -> DataFrame:
     """(champ, id, etat, proba) of every reading that is not in the normal state.
 
-    readings: champ string, id long (unique within champ), source string, lot long, valeur double,
-    attribution string (rows of one award count once), z double, hors boolean (a hard bound is
+    readings: champ string, id long (unique within champ), source string, groupe string (peer
+    group), lot long, valeur double, niveau double (the reading on its natural scale, null outside
+    the bounds), attribution long (rows of one award count once), hors boolean (a hard bound is
     broken), indice boolean (the producer's own mark).
     """
-    held = held_values(readings.filter(~F.col("hors")), round_value)
+    held = small(held_values(readings.filter(~F.col("hors")), round_value), "valeurs-figees")
+    readings = standardised(readings)
     x = readings.withColumn("bloc", F.shiftright("id", BLOCK.bit_length() - 1))
     x = _join(x, held, ["champ", "source", "lot", "valeur"]).withColumn("tenu", F.col("repete").isNotNull())
-    x = materialise(x.select("champ", "id", "bloc", "source", "lot", "z", "hors", "indice", "tenu"), "lectures")
+    x = materialise(x.select("champ", "id", "bloc", "source", "lot", F.col("z").cast("float").alias("z"), "hors", "indice", "tenu"), "lectures")
     summaries = x.groupBy("champ", "bloc").applyInPandas(_block_matrices, "champ string, source string, lot long, bloc long, matrice array<double>")
     chains = summaries.groupBy(F.pmod(F.xxhash64("champ", "source", "lot"), F.lit(64)).alias("_seau")).applyInPandas(_messages, "champ string, source string, lot long, bloc long, avant array<double>, apres array<double>")
     found = x.groupBy("champ", "bloc").cogroup(chains.groupBy("champ", "bloc")).applyInPandas(_posterior, "champ string, id long, etat int, proba double")

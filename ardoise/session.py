@@ -12,6 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A table is broadcast only if it was counted and has at most this many (narrow) rows.
+BROADCAST_ROWS = 50_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -40,6 +44,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written and counted: broadcast if it has at most ``rows`` rows, else left to a shuffled join."""
+    kept = materialise(df, name)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
