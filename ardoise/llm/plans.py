@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from ardoise.llm import sentences_queries
+from ardoise.llm import percentiles_queries, sentences_queries
 
 
 def modules() -> list[ModuleType]:
-    return [sentences_queries]
+    return [percentiles_queries, sentences_queries]
