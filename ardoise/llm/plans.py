@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from ardoise.llm import percentiles_queries, sentences_queries
+from ardoise.llm import percentiles_queries, sentences_queries, survivors_queries
 
 
 def modules() -> list[ModuleType]:
-    return [percentiles_queries, sentences_queries]
+    return [survivors_queries, percentiles_queries, sentences_queries]
