@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from ardoise.llm import leaks_queries, percentiles_queries, sentences_queries, survivors_queries
+from ardoise.llm import leaks_queries, packing_queries, percentiles_queries, sentences_queries, survivors_queries
 
 
 def modules() -> list[ModuleType]:
-    return [survivors_queries, percentiles_queries, leaks_queries, sentences_queries]
+    return [survivors_queries, percentiles_queries, packing_queries, leaks_queries, sentences_queries]
