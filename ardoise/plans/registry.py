@@ -6,12 +6,12 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ardoise.plans import heavy_keys, spikes
+from ardoise.plans import heavy_keys, layers, profiles, spikes
 
 
 def modules() -> list[ModuleType]:
-    return [heavy_keys, spikes]
+    return [layers, profiles, heavy_keys, spikes]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heavy_keys.p5_found(spark, sf_dir)
+    return layers.or_signaux(spark, sf_dir)
