@@ -6,11 +6,11 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ardoise.plans import heavy_keys, layers, profiles, spikes
+from ardoise.plans import heavy_keys, layers, profiles, search, spikes
 
 
 def modules() -> list[ModuleType]:
-    return [layers, profiles, heavy_keys, spikes]
+    return [layers, profiles, search, heavy_keys, spikes]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
