@@ -1,8 +1,8 @@
 """Matching notices and contracts that share no key: collective graph linkage.
 
-1. Every record becomes a set of attribute keys that are rare by construction: half of a rare word of
-   its subject (a place, say) with the beginning of another word; or its buyer's own name with the
-   beginning of a subject word and a month.  Two records with a common key are an edge.
+1. Every record becomes a set of attribute keys that are rare by construction: a rare word of its
+   subject (a place, say) with another word, its halves with those of the buyer's own name, or, where
+   no place is named, the buyer's name with a word and a month.  A common key makes an edge.
 2. Meta-blocking: an edge weighs the sum of its shared keys' inverse frequencies; edges lighter than
    a share of the mean weight of their notice are pruned.
 3. Each kept edge is judged on every attribute: place, kind of work, subject, buyer, kind of buyer,
@@ -55,7 +55,7 @@ SUBJECT_EMPTY = frozenset(
     "de d du des la le les l et en a au aux un une pour par sur avec mp lot programme annuel marche bons commande consultation relative y compris sujetions diverses "
     "site ecole ec residence res quartier qrt rue pole gymnase gym stade complexe sportif hameau ham lieu dit zone avenue place divers".split()
 )
-_WORK_WORDS = frozenset(w for ways in WORK.values() for s in ways for w in s.split()) | {"services", "prestation", "mission", "presta", "duree", "longue", "disposition", "mise"}
+_WORK_WORDS = frozenset(w for ways in WORK.values() for s in ways for w in s.split()) | {"services", "prestation", "mission", "presta", "duree", "longue", "disposition", "mise", "travaux"}
 
 
 def near(a: str, b: str) -> bool:
@@ -83,6 +83,27 @@ def _distance(a: str, b: str, cap: int) -> int:
     return row[-1]
 
 
+def _without_one(w: str) -> set[str]:
+    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+
+class Usual:
+    """The usual words of subjects; tells them, and words one slip away from a long one, from names of places."""
+
+    def __init__(self, frequent: list[str]):
+        self.words = frozenset(frequent) | SUBJECT_EMPTY | _WORK_WORDS
+        self.slips = {v for w in self.words if len(w) >= 5 for v in _without_one(w)}
+        self.known: dict[str, bool] = {}
+
+    def __contains__(self, w: str) -> bool:
+        if w not in self.known:
+            self.known[w] = w in self.words or len(w) >= 5 and not self.slips.isdisjoint(_without_one(w))
+        return self.known[w]
+
+    def places(self, words: list[str]) -> list[str]:
+        return [w for w in words if len(w) >= 6 and w not in self]
+
+
 def work_kind(words: list[str]) -> str:
     text = f" {' '.join(words)} "
     for kind, ways in WORK.items():
@@ -123,43 +144,72 @@ def _own_names(name: str | None, town: str | None) -> list[str]:
     return sorted(w for w in rest if len(w) >= 5 and w not in N.LEXICON)
 
 
-def _keys(months_ahead: int):
+def _name_words(frequent: list[str]):
+    """Reads off each record its buyer's own names, and the rare words that are no misspelling of a frequent one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, usual = cache(_own_names), Usual(frequent)
         for pdf in batches:
-            rows = []
-            for ident, mots, rares, acheteur, commune, date in zip(pdf["ident"], pdf["mots"], pdf["rares"], pdf["acheteur"], pdf["commune"], pdf["date"]):
-                keys = set()
-                rare = [w for w in rares if len(w) >= 6]
-                common = {w for w in mots if len(w) >= 4 and w not in SUBJECT_EMPTY and w not in _WORK_WORDS}
-                for r in rare:
-                    for half in ("<" + r[:6], ">" + r[-6:]):
-                        keys.update(f"{half}{w[:4]}" for w in common if w != r)
-                        keys.update(f"{half}{w[-4:]}$" for w in common if w != r)
-                if date is not None and date == date:
-                    month = date.year * 12 + date.month
-                    for b in _own_names(acheteur, commune)[:4]:
-                        for half in ("[" + b[:6], "]" + b[-6:]):
-                            for w in common:
-                                keys.update(f"{half}{w[:5]}{month + k}" for k in range(months_ahead + 1))
-                rows += [(ident, k) for k in keys]
-            yield pd.DataFrame(rows, columns=["ident", "cle"])
+            places = [usual.places(mots) for mots in pdf["mots"]]
+            yield pd.DataFrame({"ident": pdf["ident"], "noms": [own(a, c)[:4] for a, c in zip(pdf["acheteur"], pdf["commune"])], "lieux": places})
 
     return run
 
 
-def candidates(notices: DataFrame, contracts: DataFrame) -> DataFrame:
-    """(idweb, contrat, poids): the candidate graph after meta-blocking."""
+def _keys(df: DataFrame, months_ahead: int, notices: bool) -> DataFrame:
+    """(ident, cle): the rare attribute keys of every record, hashed; all but the reading of names stays in the JVM.
+
+    df: ident, mots, lieux, noms, mois (months since year 0, or null).  A place goes with the
+    beginning of another word of the subject where it is spelt alike, and its halves go with those
+    of the buyer's name where either is misspelt.  A notice that names no place is looked for by
+    its buyer, a word of its subject and the months that follow; one without buyer, by the halves of
+    its place and a word.
+    """
+    skip = F.array(*[F.lit(w) for w in sorted(SUBJECT_EMPTY | _WORK_WORDS)])
+    x = df.withColumn("_communs", F.filter(F.array_except("mots", skip), lambda w: F.length(w) >= 4))
+
+    def halves(w: Column) -> Column:
+        return F.array(F.concat(F.lit("<"), F.left(w, F.lit(6))), F.concat(F.lit(">"), F.right(w, F.lit(6))))
+
+    def with_things(head: Column, word: Column) -> Column:
+        return F.flatten(F.transform(F.filter("_communs", lambda v: v != word), lambda v: F.array(F.concat(head, F.lit("+"), F.left(v, F.lit(4))), F.concat(head, F.lit("+"), F.right(v, F.lit(4)), F.lit("$")))))
+
+    def with_buyer(half: Column) -> Column:
+        return F.flatten(F.transform("noms", lambda b: F.transform(halves(b), lambda h: F.concat(half, F.lit("|"), h))))
+
+    def with_month(half: Column) -> Column:
+        months = F.sequence(F.col("mois"), F.col("mois") + months_ahead)
+        return F.flatten(F.transform("_communs", lambda v: F.transform(months, lambda m: F.concat(half, F.left(v, F.lit(5)), m.cast("string")))))
+
+    none = F.array().cast("array<string>")
+    exact = F.flatten(F.transform("lieux", lambda r: with_things(r, r)))
+    fuzzy = F.flatten(F.transform("lieux", lambda r: F.flatten(F.transform(halves(r), with_buyer))))
+    loose = F.flatten(F.transform("lieux", lambda r: F.flatten(F.transform(halves(r), lambda h: with_things(h, r)))))
+    dated = F.when(F.col("mois").isNotNull(), F.flatten(F.transform("noms", lambda b: F.flatten(F.transform(halves(b), with_month)))))
+    if notices:
+        loose = F.when(F.size("noms") == 0, loose)
+        dated = F.when(F.size("lieux") == 0, dated)
+    every = F.concat(exact, fuzzy, F.coalesce(loose, none), F.coalesce(dated, none))
+    return x.select("ident", F.explode(F.array_distinct(every)).alias("_k")).select("ident", F.xxhash64("_k").alias("cle"))
+
+
+def frequent_words(contracts: DataFrame) -> list[str]:
+    """Words in more than a fixed share of all subjects: at most (words per subject) / RARE_SHARE of them, whatever the size."""
     words = contracts.select(F.explode(F.array_distinct("mots")).alias("mot")).groupBy("mot").agg(F.count(F.lit(1)).alias("df"))
-    limit = F.lit(max(RARE_LEAST, int(RARE_SHARE * contracts.count())))
-    frequent = small(words.filter(F.col("df") > limit).select("mot"), "mots-frequents")
-    stop = frequent.agg(F.collect_list("mot").alias("_frequents"))  # bounded: a word above the limit is in a fixed share of all contracts
+    return sorted(r.mot for r in words.filter(F.col("df") > max(RARE_LEAST, int(RARE_SHARE * contracts.count()))).collect())
 
-    def keys(df: DataFrame, ident: str, ahead: int) -> DataFrame:
-        x = df.crossJoin(F.broadcast(stop)).select(F.col(ident).alias("ident"), "mots", F.array_except("mots", "_frequents").alias("rares"), "acheteur", "commune", "date")
-        return x.mapInPandas(_keys(ahead), "ident string, cle string").select("ident", F.xxhash64("cle").alias("cle"))
 
-    n = materialise(keys(notices, "idweb", MONTHS).withColumnRenamed("ident", "idweb"), "cles-avis")
-    c = keys(contracts, "contrat", 0).withColumnRenamed("ident", "contrat")
+def candidates(notices: DataFrame, contracts: DataFrame, frequent: list[str]) -> DataFrame:
+    """(idweb, contrat, poids): the candidate graph after meta-blocking."""
+
+    def keys(df: DataFrame, ident: str, ahead: int, notice: bool) -> DataFrame:
+        x = df.withColumnRenamed(ident, "ident")
+        read = x.select("ident", "mots", "acheteur", "commune").mapInPandas(_name_words(frequent), "ident string, noms array<string>, lieux array<string>")
+        x = x.select("ident", "mots", (F.year("date") * 12 + F.month("date")).alias("mois"))
+        return _keys(x.join(read, "ident"), ahead, notice)
+
+    n = materialise(keys(notices, "idweb", MONTHS, True).withColumnRenamed("ident", "idweb"), "cles-avis")
+    c = keys(contracts, "contrat", 0, False).withColumnRenamed("ident", "contrat")
     # Only keys that a notice has can make an edge.
     c = materialise(c.join(n.select("cle").distinct(), "cle", "left_semi"), "cles-contrats")
     rarity = c.groupBy("cle").agg((1.0 / F.count(F.lit(1))).alias("rarete"))
@@ -169,20 +219,17 @@ def candidates(notices: DataFrame, contracts: DataFrame) -> DataFrame:
     return edges.join(mean, "idweb").filter(F.col("poids") >= PRUNE * F.col("moyenne")).select("idweb", "contrat", "poids")
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _judge_batches(batches: Iterator[pd.DataFrame], frequent: list[str]) -> Iterator[pd.DataFrame]:
     # What is read off one text is read once, not once per pair.
     own_names, read, kind_of = cache(_own_names), cache(lambda s: N.read(N.words(s))), cache(lambda s: work_kind(s.split(" ")))
-    squeeze, freq = cache(lambda s: "".join(N.words(s))), None
+    squeeze, freq = cache(lambda s: "".join(N.words(s))), frozenset(frequent)
+    usual = Usual(frequent)
     for pdf in batches:
         rows = []
         for r in pdf.to_dict("records"):
-            if freq is None:
-                freq = frozenset(r["frequents"])
-                misspelt = cache(lambda w: any(abs(len(f) - len(w)) <= 2 and near(f, w) for f in freq if len(f) >= 5))
             nm, cm = list(r["n_mots"]), list(r["c_mots"])
             text = "".join(nm)
-            place = [w for w in cm if w not in freq and len(w) >= 6]
-            own_place = [w for w in nm if w not in freq and len(w) >= 6 and not misspelt(w)]
+            place, own_place = usual.places(cm), usual.places(nm)
             hit = sum(1 for p in place if p in text or any(near(p, w) for w in nm))
             score = 0.0
             if place and hit:
@@ -192,7 +239,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             thing = [w for w in cm if w in freq and len(w) >= 4 and w not in SUBJECT_EMPTY and w not in _WORK_WORDS]
             if thing and nm:
                 share = sum(1 for t in thing if any(near(t, w) or len(w) >= 4 and t.startswith(w) for w in nm) or len(t) >= 6 and t in text) / len(thing)
-                score += 4.0 * share - 2.5
+                score += 4.0 * share - 2.5 if share else -6.0
             a, b = kind_of(" ".join(nm)), kind_of(" ".join(cm))
             if a and b:
                 score += 1.2 if a == b else -3.0
@@ -223,6 +270,10 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["idweb", "contrat", "score", "acheteur_contrat", "acheteur_avis", "titulaire_avis", "titulaire_contrat", "date"])
 
 
+def _judge(frequent: list[str]):
+    return lambda batches: _judge_batches(batches, frequent)
+
+
 EDGE = "idweb string, contrat string, score double, acheteur_contrat string, acheteur_avis string, titulaire_avis string, titulaire_contrat string, date date"
 # What speaks against: a notice may have no contract at all.
 NULL_SCORE = 3.0
@@ -287,12 +338,11 @@ def link(avis: DataFrame, marches: DataFrame, verdicts: DataFrame | None = None)
     split = lambda df: df.withColumn("mots", F.filter(F.split(F.coalesce(fold(F.col("objet")), F.lit("")), " "), lambda w: w != ""))
     contracts = materialise(split(_contracts(marches)), "contrats")
     notices = materialise(split(_notices(avis)), "avis")
-    graph = candidates(notices, contracts)
-    words = contracts.select(F.explode(F.array_distinct("mots")).alias("mot")).groupBy("mot").agg(F.count(F.lit(1)).alias("df"))
-    frequent = words.filter(F.col("df") > max(RARE_LEAST, int(RARE_SHARE * contracts.count()))).agg(F.collect_list("mot").alias("frequents"))
+    frequent = frequent_words(contracts)
+    graph = candidates(notices, contracts, frequent)
     n = notices.select("idweb", *[F.col(c).alias(f"n_{c}") for c in ("mots", "acheteur", "commune", "date", "montant", "titulaire", "famille")])
     c = contracts.select("contrat", "acheteur_id", *[F.col(x).alias(f"c_{x}") for x in ("mots", "acheteur", "commune", "date", "montants", "titulaires", "famille")])
-    edges = graph.join(n, "idweb").join(c, "contrat").crossJoin(F.broadcast(frequent)).mapInPandas(_judge, EDGE)
+    edges = graph.join(n, "idweb").join(c, "contrat").mapInPandas(_judge(frequent), EDGE)
     final = propagate(materialise(edges, "jugees"))
     order = F.struct(F.col("part"), -F.unix_date(F.coalesce("date", F.lit("2100-01-01").cast("date"))), F.col("contrat"))
     best = final.groupBy("idweb").agg(F.max_by(F.struct("contrat", "part", "total"), order).alias("b")).select("idweb", "b.*")
