@@ -118,7 +118,8 @@ def work_kind(words: list[str]) -> str:
 
 def _contracts(marches: DataFrame) -> DataFrame:
     """One record per contract number: its fullest subject, buyer, suppliers, dates, amounts on a common scale."""
-    m = marches.select("*", contract_number(F.col("marche_id"), F.col("uid")).alias("_c")).filter(F.col("_c").isNotNull())
+    kept = ("objet", "acheteur_nom", "acheteur_commune_nom", "titulaire_nom", "date_notification", "montant", "famille_cpv", "acheteur_siret", "source")
+    m = marches.select(*kept, contract_number(F.col("marche_id"), F.col("uid")).alias("_c")).filter(F.col("_c").isNotNull())
     levels = m.filter("montant > 0").groupBy("source").agg(F.percentile_approx(F.log10("montant"), 0.5, 1000).alias("_niveau"))
     usual = levels.agg(F.percentile_approx("_niveau", 0.5, 1000).alias("_usuel"))
     # Sources that publish in another unit differ by a power of ten.

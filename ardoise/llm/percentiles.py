@@ -76,6 +76,14 @@ def _same(keys: list[str], right: str) -> Column:
 
 def quantiles(df: DataFrame, groups: list[str], value: str, ps: dict[str, float], leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """(groups, n, one column per name): exact interpolated percentiles of each group."""
+    # Own names inside, so that no group column can clash with a column of ours.
+    inner = [f"_g{i}" for i in range(len(groups))]
+    x = df.select(*[F.col(g).alias(k) for g, k in zip(groups, inner)], F.col(value).cast("double").alias("_valeur"))
+    out = _quantiles(x, inner, "_valeur", {f"_p{i}": p for i, p in enumerate(ps.values())}, leaf, fan)
+    return out.select(*[F.col(k).alias(g) for g, k in zip(groups, inner)], "n", *[F.col(f"_p{i}").alias(n) for i, n in enumerate(ps)])
+
+
+def _quantiles(df: DataFrame, groups: list[str], value: str, ps: dict[str, float], leaf: int, fan: int) -> DataFrame:
     wanted = materialise(_wanted(summarise(df, groups, value), groups, list(ps.values())), "rangs")
     done = wanted.filter("lo = hi").select(*groups, "rank", "total", F.col("lo").alias("valeur"))
     open_ = wanted.filter("lo < hi")
