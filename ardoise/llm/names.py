@@ -5,16 +5,17 @@ from __future__ import annotations
 import re
 import unicodedata
 
-# Kinds of French public bodies, each with the sets of words that name it.
+# Kinds of French public bodies, each with the sets of words that name it; those with a
+# singular or noun in place of the usual word are what a misspelling is resolved to.
 KINDS = {
     "commune": ["commune", "mairie", "ville", "cne", "municipalite"],
-    "communaute de communes": ["communaute communes", "com com", "cc", "cdc", "comcom", "codecom"],
+    "communaute de communes": ["communaute communes", "communaute commune", "com com", "cc", "cdc", "comcom", "codecom"],
     "communaute d'agglomeration": ["communaute agglomeration", "com agglo", "agglo"],
     "communaute urbaine": ["communaute urbaine"],
     "metropole": ["metropole"],
     "departement": ["departement", "conseil departemental", "conseil general"],
     "region": ["region", "conseil regional"],
-    "ccas": ["centre communal action sociale", "ctre communal action sociale", "ccas"],
+    "ccas": ["centre communal action sociale", "ctre communal action sociale", "centre commune action sociale", "ctre commune action sociale", "ccas"],
     "cias": ["centre intercommunal action sociale", "cias"],
     "office de l'habitat": ["office public habitat", "off public habitat", "office habitat", "oph", "opac", "habitat"],
     "centre hospitalier": ["centre hospitalier", "ctre hospitalier", "ch", "hopital"],
