@@ -30,6 +30,7 @@ SUPERLATIVE = r"\b(les plus|le plus|la plus|plus gros|plus grands?|plus chers?|p
 SCHEMA_WORDS = frozenset("marche marches contrat contrats public publics attribution attributions passe passes attribue attribues region departement annee an montant prix euros cherche trouve donne montre liste objet".split())
 RARE, FREQUENT = 0.0005, 0.12
 TOP = 10
+MOST_PLACES = 10_000
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,12 @@ def read_question(text: str, lex: Lexicons) -> Question:
 
 def lexicons(df: DataFrame) -> Lexicons:
     """Lexicons of a table of awards: distinct places, range of years, word frequencies above RARE."""
-    places = lambda c: tuple(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(1_000).collect())
+    def places(c: str) -> tuple[str, ...]:
+        found = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(MOST_PLACES + 1).collect()]
+        if len(found) > MOST_PLACES:
+            raise ValueError(f"more than {MOST_PLACES} places in {c}: that is no column of regions or departments")
+        return tuple(found)
+
     span = df.filter("annee between 1990 and 2100").agg(F.min("annee"), F.max("annee"), F.count(F.lit(1))).first()
     n = max(1, df.count())
     words = df.select(F.explode(F.array_distinct(tokens(F.col("objet")))).alias("w")).groupBy("w").agg((F.count(F.lit(1)) / n).alias("f"))

@@ -115,6 +115,33 @@ def acp_reconstruction(spark, d):
     return y.select("id", F.sqrt(error).alias("erreur"))
 
 
+def enveloppe_elliptique(spark, d):
+    """STT-12: Mahalanobis distance; means and covariances from one aggregate, the 4 x 4 inverse on the driver."""
+    import numpy as np
+
+    v = ["z", "duree_mois", "offres_recues", "distance_km"]
+    x = materialise(jeu_du_modele(spark, d), "jeu")
+    one = x.agg(*[F.avg(a).alias(f"m{i}") for i, a in enumerate(v)], *[F.covar_samp(a, b).alias(f"c{i}{j}") for i, a in enumerate(v) for j, b in enumerate(v)]).first()
+    if one.m0 is None or one.c00 is None:
+        return x.select("id", F.lit(None).cast("double").alias("distance"))
+    inverse = np.linalg.pinv(np.array([[one[f"c{i}{j}"] for j in range(4)] for i in range(4)]))
+    gap = [F.col(a) - one[f"m{i}"] for i, a in enumerate(v)]
+    square = sum(gap[i] * gap[j] * float(inverse[i, j]) for i in range(4) for j in range(4))
+    return x.select("id", F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
+
+
+def auc_methodes(spark, d):
+    """STT-12: areas under the ROC curve and the precision-recall curve of three scores."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    x = materialise(_scored(spark, d).select("z", "l", F.abs("z").alias("distance"), F.col("juste").cast("double").alias("label")), "scores")
+    rows = []
+    for s in ("z", "l", "distance"):
+        area = lambda metric, s=s: float(BinaryClassificationEvaluator(rawPredictionCol=s, labelCol="label", metricName=metric, numBins=0).evaluate(x))
+        rows.append((s, round(area("areaUnderROC"), 4), round(area("areaUnderPR"), 4)))
+    return spark.createDataFrame(rows, "methode string, roc double, precision_rappel double")
+
+
 def aleatoire(spark, d):
     """STT-9: seeded random baseline."""
     return _scored(spark, d).select("id", F.rand(42).alias("score"))
@@ -223,4 +250,5 @@ ORACLES = {
     "statistiques_servies": f"with x as (select *, cast(round(montant * 100) as bigint) as c from marches where donneesActuelles and marche_id is not null and montant between 0 and 1e9) select count(*) as lignes, count(distinct marche_id) as contrats, count(distinct acheteur_siret) as acheteurs, sum(c) as centimes, {O.half('100.0 * count(*) filter (where offre_unique) / count(offre_unique)', 4)} as part_offre_unique, (select sum(c) from (select distinct marche_id, c from x)) as centimes_sans_doublons, (select count(*) from signaux where signaux_forts > 0) as signales from x",
     "cout_enrichissement": f"select count(distinct acheteur_siret) + count(distinct titulaire_siret) as appels, {O.half('(count(distinct acheteur_siret) + count(distinct titulaire_siret)) * 0.15 / 3600', 6)} as heures from marches",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLES, "foret_isolement", "kmeans_distance", "acp_reconstruction", "aleatoire", "tirage_pondere", "intervalles_exacts", "bootstrap_stratifie"]}
+ORACLES = O.typed(ORACLES)
+QUERIES = {n: globals()[n] for n in [*ORACLES, "foret_isolement", "kmeans_distance", "acp_reconstruction", "enveloppe_elliptique", "auc_methodes", "aleatoire", "tirage_pondere", "intervalles_exacts", "bootstrap_stratifie"]}

@@ -127,3 +127,4 @@ ORACLES = {
         _contract("or.famille.expression", "warn", "gold", "famille is null or regexp_matches(famille, '^[0-9]{2}$')"), _contract("or.acheteur_id.expression", "error", "gold", "regexp_matches(acheteur_id, '^[0-9]{14}$')"), _contract("or.montant.expression", "error", "gold", "montant > 0 and montant <= 1e9"), _contract("or.annee.expression", "error", "gold", "annee >= 2015"),
     ])),
 }
+ORACLES = O.typed(ORACLES)

@@ -158,4 +158,5 @@ ORACLES = {
     "flux_fenetres": "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as debut, event_type, count(*) as n from events group by 1, 2",
     "flux_sessions": "with x as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as s from events) select user_id, sum(s) as sessions, count(*) as evenements from x group by 1",
 }
+ORACLES = O.typed(ORACLES)
 QUERIES = {n: globals()[n] for n in [*ORACLES, "liens_difflib", "echantillon_blocs"]}

@@ -280,4 +280,5 @@ ORACLES = {
     "correlations": "with x as (select round(log10(montant), 4) as l, duree_mois, offres_recues, distance_km, mois " + _NOW + " and montant > 0 and duree_mois > 0 and offres_recues > 0 and distance_km is not null and mois is not null) " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from x" for i, a in enumerate(["l", "duree_mois", "offres_recues", "distance_km", "mois"]) for b in ["l", "duree_mois", "offres_recues", "distance_km", "mois"][i + 1 :]),
     "occurrences_lexemes": f"select lexeme, count(*) as marches from (select unnest(list_distinct(string_split({O.FOLD.format('objet')}, ' '))) as lexeme {_NOW}) where lexeme <> '' group by 1",
 }
+ORACLES = O.typed(ORACLES)
 QUERIES = {n: globals()[n] for n in ORACLES}

@@ -268,4 +268,5 @@ ORACLES = {
     "delais": f"select source, count(*) as n, cast(median(j) as double) as mediane, {O.half('quantile_cont(j, 0.95)', 4)} as p95 from (select source, date_diff('day', date_notification, cast(date_publication as date)) as j from marches) where j between 0 and 120 group by 1",
     "phrase_mediane": f"with x as (select famille_cpv, median(montant) as m from {_NOW} and montant > 0 group by 1), t as (select median(montant) as t from {_NOW} and montant > 0) select famille_cpv, case famille_cpv when '33' then 'Matériels médicaux' when '45' then 'Travaux' when '79' then 'Services aux entreprises' else coalesce('Division ' || famille_cpv, 'Famille non precisee') end as libelle, case when m / t >= 2 then 'fois la médiane' when m / t > 1.05 then 'au-dessus de la médiane' when m / t < 0.95 then 'en dessous de la médiane' else 'proche de la médiane' end as phrase from x, t",
 }
+ORACLES = O.typed(ORACLES)
 QUERIES = {n: globals()[n] for n in [*ORACLES, "recherche_densite", "nombres_francais"]}
