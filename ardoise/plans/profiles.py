@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ardoise.functions.columns import band, half_up, percent
 from ardoise.functions.text import fold
 from ardoise.operators.layers import current, family, three_valued_single_bid
+from ardoise.operators.prefix import ranked
 from ardoise.plans import oracle as O
 from ardoise.session import table
 
@@ -85,10 +86,9 @@ def montants_histogramme(spark, d):
 
 def _lorenz(spark, d):
     total = _now(spark, d).filter("montant between 1 and 1e9").filter(F.col("titulaire_siret").isNotNull()).groupBy("titulaire_siret").agg(F.sum(F.round(F.col("montant") * 100).cast("long")).alias("total"))
-    w = Window.orderBy(F.desc("total"), "titulaire_siret")
+    curve = ranked(total, [F.desc("total"), F.col("titulaire_siret")], "total")
     whole = total.agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("somme"))
-    ranked = total.select("titulaire_siret", "total", F.row_number().over(w).alias("rang"), F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumul"))
-    return ranked.crossJoin(F.broadcast(whole)).select("rang", half_up(F.lit(100.0) * F.col("rang") / F.col("n"), 4).alias("part_titulaires"), half_up(F.lit(100.0) * F.col("cumul") / F.col("somme"), 4).alias("part_montant"))
+    return curve.crossJoin(F.broadcast(whole)).select("rang", half_up(F.lit(100.0) * F.col("rang") / F.col("n"), 4).alias("part_titulaires"), half_up(F.lit(100.0) * F.col("cumul") / F.col("somme"), 4).alias("part_montant"))
 
 
 def concentration_titulaires(spark, d):

@@ -9,6 +9,7 @@ from ardoise.functions.columns import french_decimal, french_euros, half_up, rat
 from ardoise.functions.text import excerpt, fold, one_line
 from ardoise.operators import search as S
 from ardoise.operators.layers import current
+from ardoise.operators.prefix import ranked
 from ardoise.plans import oracle as O
 from ardoise.session import table
 
@@ -194,7 +195,7 @@ def empreintes(spark, d):
 def numeros_de_ligne(spark, d):
     """WIN-5, SRT-11: surrogate row number over a total order."""
     x = table(spark, d, "verdicts_rapprochement").groupBy("idweb", "objet_decp").agg(F.count(F.lit(1)).alias("n"))
-    return x.select("idweb", "objet_decp", F.row_number().over(Window.orderBy("idweb", "objet_decp")).alias("ligne"))
+    return ranked(x.select("idweb", "objet_decp"), [F.col("idweb"), F.col("objet_decp")]).withColumnRenamed("rang", "ligne")
 
 
 def somme_des_montants(spark, d):
