@@ -46,12 +46,12 @@ FIGURE_ONLY = frozenset("no art fig p pp pág págs pag vol chap ch n s".split()
 BEFORE_ORDINAL = frozenset("der die das dem den des am im vom zum zur beim bis ab ein eine einem einen einer jeder jede jedes seit".split())
 
 MARKS = ".!?…。！？｡．؟۔।॥"
-_LEX = re.compile("([\n\r])|([" + MARKS + "]+)|([«「『‹„“»”」』›\"])|(?<=[฀-๿])([  　]+)(?=[฀-๿])")
+_BLANK = " \t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
+_LEX = re.compile("([\n\r])|([" + MARKS + "]+)|([«「『‹„“»”」』›\"])|(?<=[\u0e00-\u0e7f])([" + _BLANK + "]+)(?=[\u0e00-\u0e7f])")
 _WORD = re.compile(r"[^\s()\[\]«»“”„\"'’/|]*$")
 _BEFORE_ORDINAL = re.compile(r"(\w+)\s+\d{1,2}$")
 _CLOSERS = ")]}’'"
 _ONLY_CLOSERS = re.compile(r"[\s»”“\"」』›)\]}’']+$")
-_BLANK = " \t   　​"
 
 # Alphabet.
 NL, END, THAI, G_ADJ, G_TXT, D_ADJ, D_TXT = range(7)
