@@ -44,8 +44,8 @@ def wald(k: Column, n: Column) -> tuple[Column, Column]:
 
 def french_decimal(text: Column) -> Column:
     """A number typed in French (spaces of any kind, decimal comma); null if it is none or negative."""
-    cleaned = F.translate(text, "    ,", "    .")
-    number = F.regexp_replace(cleaned, "[    ]", "").try_cast("double")
+    spaces = " \u00a0\u2009\u202f"
+    number = F.translate(F.translate(text, ",", "."), spaces, "").try_cast("double")
     return F.when(number >= 0, number)
 
 
