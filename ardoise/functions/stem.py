@@ -1,0 +1,31 @@
+"""Light stemming of folded French words, in the JVM: endings of number, gender and common derivations fall off."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Ending patterns in the order in which they are tried, and what stays.
+RULES = (
+    (r"^(.{3,})aux$", "$1al"), (r"^(.{3,})[sx]$", "$1"), (r"^(.{4,})(issement|ement)$", "$1"), (r"^(.{4,})(ation|ateur|atrice)$", "$1"),
+    (r"^(.{3,})(euse|eur|ive|if|ique|able|iere|ier)$", "$1"), (r"^(.{3,})(ee|er|e)$", "$1"),
+)
+
+
+def light_stem(word: Column) -> Column:
+    """The stem of one folded word; words of under five letters stay."""
+    out = word
+    for pattern, kept in RULES:
+        out = F.regexp_replace(out, pattern, kept)
+    return F.when(F.length(word) >= 5, out).otherwise(word)
+
+
+def lexemes(words: Column) -> Column:
+    """The stems of an array of words, in order."""
+    return F.transform(words, light_stem)
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct three-letter pieces of each word, two blanks before and one after it, as an array."""
+    padded = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != ""), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))))

@@ -6,11 +6,11 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ardoise.plans import assistant, evaluation, heavy_keys, layers, linking, profiles, search, spikes
+from ardoise.plans import assistant, evaluation, heavy_keys, layers, linking, profiles, search, spikes, texts
 
 
 def modules() -> list[ModuleType]:
-    return [layers, profiles, search, evaluation, linking, assistant, heavy_keys, spikes]
+    return [layers, profiles, search, texts, evaluation, linking, assistant, heavy_keys, spikes]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

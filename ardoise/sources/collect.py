@@ -18,7 +18,7 @@ RETRY_STATUS = frozenset({429, 500, 502, 503, 504})
 
 
 def lookup(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV dimension with header; raises if it is absent or empty of rows."""
+    """SRC-4: a CSV dimension with header; raises if it is absent or empty of rows."""
     df = spark.read.csv(path, header=True, schema=LOOKUP, enforceSchema=False)
     if df.isEmpty():
         raise FileNotFoundError(path)
@@ -31,12 +31,12 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
-    """Words of a text file, one a line; lines beginning with # are comments."""
+    """SRC-14: words of a text file, one a line; lines beginning with # are comments."""
     return spark.read.text(path).select(F.trim("value").alias("mot")).filter((F.col("mot") != "") & ~F.startswith(F.col("mot"), F.lit("#")))
 
 
 def latest(spark: SparkSession, pattern: str) -> str:
-    """The last file of a glob by name; raises if there is none."""
+    """SRC-5: the last file of a glob by name; raises if there is none."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(pattern)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)

@@ -15,7 +15,7 @@ def layer(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def publish(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Load a table in a stated column order; refuses one that is already there."""
+    """SNK-5: load a table in a stated column order; refuses one that is already there."""
     df.select(*columns).write.mode("errorifexists").parquet(path)
 
 
@@ -25,7 +25,7 @@ def bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
 
 
 def report_csv(df: DataFrame, path: str, most: int = 100_000) -> None:
-    """A small result as one CSV file with header and plain line ends; raises beyond ``most`` rows."""
+    """SNK-2, SNK-6: a small result as one CSV file with header and plain line ends; raises beyond ``most`` rows."""
     rows = df.limit(most + 1).toPandas()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows: write it as a layer")
@@ -35,7 +35,7 @@ def report_csv(df: DataFrame, path: str, most: int = 100_000) -> None:
 
 
 def report_json(context: dict, measures: dict[str, DataFrame], path: str, most: int = 1_000) -> None:
-    """A nested report {contexte, mesures: {name: [rows]}} of small results."""
+    """SNK-3: a nested report {contexte, mesures: {name: [rows]}} of small results."""
     out = {"contexte": context, "mesures": {n: [r.asDict(recursive=True) for r in df.limit(most).collect()] for n, df in measures.items()}}
     part = Path(path).with_suffix(".partiel")
     part.write_text(json.dumps(out, ensure_ascii=False, indent=2, default=str) + "\n", encoding="utf-8")
