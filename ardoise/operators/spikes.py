@@ -201,7 +201,9 @@ def flag_readings(readings: DataFrame, round_value: Column) -> DataFrame:
     x = readings.withColumn("bloc", F.shiftright("id", BLOCK.bit_length() - 1))
     x = _join(x, held, ["champ", "source", "lot", "valeur"]).withColumn("tenu", F.col("repete").isNotNull())
     x = materialise(x.select("champ", "id", "bloc", "source", "lot", F.col("z").cast("float").alias("z"), "hors", "indice", "tenu"), "lectures")
-    summaries = x.groupBy("champ", "bloc").applyInPandas(_block_matrices, "champ string, source string, lot long, bloc long, matrice array<double>")
-    chains = summaries.groupBy(F.pmod(F.xxhash64("champ", "source", "lot"), F.lit(64)).alias("_seau")).applyInPandas(_messages, "champ string, source string, lot long, bloc long, avant array<double>, apres array<double>")
+    summaries = materialise(x.groupBy("champ", "bloc").applyInPandas(_block_matrices, "champ string, source string, lot long, bloc long, matrice array<double>"), "matrices")
+    # Series travel in buckets whose number follows that of the matrices.
+    buckets = max(16, -(-summaries.count() // 20_000))
+    chains = summaries.groupBy(F.pmod(F.xxhash64("champ", "source", "lot"), F.lit(buckets)).alias("_seau")).applyInPandas(_messages, "champ string, source string, lot long, bloc long, avant array<double>, apres array<double>")
     found = x.groupBy("champ", "bloc").cogroup(chains.groupBy("champ", "bloc")).applyInPandas(_posterior, "champ string, id long, etat int, proba double")
     return found.filter(F.col("etat") > 0).withColumn("etat", F.array(*[F.lit(s) for s in STATES])[F.col("etat")])
