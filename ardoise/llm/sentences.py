@@ -133,6 +133,8 @@ def _ends(t: str, s: int, e: int) -> int:
         return -1
     if low in NEVER_FINAL and low not in FIGURE_ONLY:
         return -1
+    if word.isdigit() and len(word) <= 2 and not t[max(0, s - 24) : s - len(word)].rpartition("\n")[2].strip() and (s < 24 or "\n" in t[s - 24 : s]):
+        return -1  # the number of a list entry or heading
     if word.isdigit() and len(word) <= 2 and nxt.isupper():
         m = _BEFORE_ORDINAL.search(t[max(0, s - 24) : s])
         if m and m[1].lower() in BEFORE_ORDINAL:

@@ -43,6 +43,7 @@ def test_thai_spaces_separate_except_beside_figures():
 def test_lines_blanks_and_nothing():
     assert cut("  Titre\n\n\nUne phrase.  Fragment sans marque \n") == ["Titre", "Une phrase.", "Fragment sans marque"]
     assert S.segment([None, "", " \n\t"]) == [[], [], []]
+    assert cut("1. Objet du texte\n 2. Suite. Fin.") == ["1. Objet du texte", "2. Suite.", "Fin."]
     assert cut("thaw.It cost 5. Yes.") == ["thaw.", "It cost 5.", "Yes."]
 
 
