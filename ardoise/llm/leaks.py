@@ -171,16 +171,26 @@ def _longest(spans: list[tuple[int, int, int, int]]) -> tuple[int, int]:
     spans.sort()
     start, score = [s[0] for s in spans], [s[1] - s[0] for s in spans]
     best, most = (0, 0), 0
-    for j, (a, b, c, _) in enumerate(spans):
-        for i in range(j - 1, max(-1, j - 64), -1):
+    # Every predecessor of a span starts before it in the item; the earlier ones by where they end in both texts.
+    ends: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for j, (a, b, c, d) in enumerate(spans):
+        for i in _ended(ends, a, c):
             gap, page_gap = a - spans[i][1], c - spans[i][3]
             if -K <= gap <= ITEM_GAP and -K <= page_gap <= PAGE_GAP and score[i] - abs(gap) > 0 and score[i] - abs(gap) + b - a > score[j]:
                 score[j], start[j] = score[i] - abs(gap) + b - a, start[i]
         if score[j] > most:
             best, most = (start[j], b), score[j]
+        ends[b // (ITEM_GAP + K + 1), d // (PAGE_GAP + K + 1)].append(j)
     return best
 
 
+def _ended(ends: dict[tuple[int, int], list[int]], a: int, c: int) -> list[int]:
+    """The spans, last first, that may end within both gaps of a start at a in the item and c in the page."""
+    wide, long = ITEM_GAP + K + 1, PAGE_GAP + K + 1
+    cells = [ends.get((x, y), ()) for x in range((a - ITEM_GAP) // wide, (a + K) // wide + 1) for y in range((c - PAGE_GAP) // long, (c + K) // long + 1)]
+    return sorted((i for cell in cells for i in cell), reverse=True)
+
+
 def _finder(block, least: float):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = block.value

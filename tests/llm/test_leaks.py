@@ -47,3 +47,13 @@ def test_short_items_blocks_and_empty_tables(spark, monkeypatch):
     assert found(spark, [(1, "x")], items=[]) == set()
     monkeypatch.setattr(L, "BLOCK_ITEMS", 7)
     assert found(spark, [(1, ITEMS[3][1], 0), (2, ITEMS[29][1], 0)]) == {(1, 3), (2, 29)}
+
+
+def test_a_chain_is_found_however_often_the_page_repeats_the_passage(spark):
+    parts = [(0, 50), (60, 110), (120, 170), (180, 230)]
+    for copies in (1, 63, 64, 500):
+        assert L._longest([(a, b, 2000 * k + a, 2000 * k + b) for k in range(copies) for a, b in parts]) == (0, 230)
+    # Every fifth word of a page of ninety copies is changed, in each copy by another word.
+    words = ITEMS[8][1].split()
+    page = "\n".join(" ".join(f"{w[::-1]}{k}" if n % 5 == 4 else w for n, w in enumerate(words[:24])) + " filler" * 120 for k in range(90))
+    assert found(spark, [(1, page)]) == {(1, 8)}
