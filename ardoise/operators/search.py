@@ -154,14 +154,17 @@ def cover_density(positions: list[tuple[int, str, float]], terms: list[str]) ->
     return total
 
 
+def _densities(docs: pd.Series, terms: list[str]) -> list[float]:
+    return [cover_density([(x["position"], x["lexeme"], WEIGHTS[x["poids"]]) for x in d], terms) for d in docs]
+
+
 def ranked(df: DataFrame, key: str, doc: str, terms: list[str]) -> DataFrame:
     """(key, score): cover density with field weights, for rows that have every term."""
     lexemes = F.transform(doc, lambda x: x["lexeme"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            values = [cover_density([(x["position"], x["lexeme"], WEIGHTS[x["poids"]]) for x in d], terms) for d in pdf["_doc"]]
-            yield pd.DataFrame({"_cle": pdf["_cle"], "score": values})
+            yield pd.DataFrame({"_cle": pdf["_cle"], "score": _densities(pdf["_doc"], terms)})
 
     kind = dict(df.dtypes)[key]
     held = df.filter(match_all(lexemes, terms)).select(F.col(key).alias("_cle"), F.col(doc).alias("_doc"))
@@ -195,14 +198,19 @@ def filters(year: int | None = None, department: str | None = None, family: str
     return ok
 
 
-def bounded_ranking(df: DataFrame, words: str, terms: list[str], cap: int = CAP) -> DataFrame:
-    """At most ``cap`` most recent matches, with how many were examined and whether the cap was reached.
+def bounded_ranking(df: DataFrame, words: str, doc: str, terms: list[str], cap: int = CAP) -> DataFrame:
+    """At most ``cap`` most recent matches in the order of their cover density, with how many were examined and whether the cap was reached.
 
-    The cap is the feature: a declared approximate ranking, as its columns say.
+    The cap is the feature: a declared approximate ranking, as its columns say.  Equal scores follow
+    the amount, largest first, then the id, as in the serving database.
     """
     held = df.filter(match_all(F.col(words), terms)).orderBy(F.desc_nulls_last("date_notification"), F.desc("id")).limit(cap)
+    score = F.pandas_udf(lambda docs: pd.Series(_densities(docs, terms), dtype="float64"), "double")
+    # At most cap rows from here on.
     w = Window.partitionBy()
-    return held.withColumn("candidats_examines", F.count(F.lit(1)).over(w)).withColumn("classement_approche", F.col("candidats_examines") >= cap)
+    x = held.withColumn("score", score(F.col(doc))).withColumn("candidats_examines", F.count(F.lit(1)).over(w)).withColumn("classement_approche", F.col("candidats_examines") >= cap)
+    order = [F.desc("score"), F.desc_nulls_last("montant"), F.col("id")]
+    return x.withColumn("rang", F.row_number().over(w.orderBy(*order))).orderBy("rang")
 
 
 def vocabulary(df: DataFrame, words: str, share: float = 1.0, seed: int = 42) -> DataFrame:

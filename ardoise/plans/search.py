@@ -50,10 +50,13 @@ def recherche_bm25(spark, d):
     return S.bm25(_docs(spark, d), "id", "mots", TERMS).select("id", F.round("score", 6).alias("score"))
 
 
+def _weighted(df):
+    return df.withColumn("doc", S.document([(F.col("objet"), "A"), (F.col("acheteur_nom"), "B"), (F.col("titulaire_nom"), "B")]))
+
+
 def recherche_densite(spark, d):
     """FTS-2, FTS-6: weighted document, cover density."""
-    x = current(_m(spark, d)).withColumn("doc", S.document([(F.col("objet"), "A"), (F.col("acheteur_nom"), "B"), (F.col("titulaire_nom"), "B")]))
-    return S.ranked(x, "id", "doc", TERMS)
+    return S.ranked(_weighted(current(_m(spark, d))), "id", "doc", TERMS)
 
 
 def recherche_page(spark, d):
@@ -75,7 +78,7 @@ def filtres_api(spark, d):
 
 def classement_borne(spark, d):
     """SRT-4, WIN-4: bounded ranking that says so."""
-    return S.bounded_ranking(_docs(spark, d), "mots", ["maintenance"], cap=100).select("id", "candidats_examines", "classement_approche")
+    return S.bounded_ranking(_weighted(_docs(spark, d)), "mots", "doc", ["maintenance"]).select("rang", "id", "score", "candidats_examines", "classement_approche")
 
 
 def vocabulaire(spark, d):

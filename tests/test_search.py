@@ -63,3 +63,19 @@ def test_pages_filters_and_bounds(spark, docs):
         S.filters(low=2, high=1)
     df = spark.createDataFrame([(1, 2020, 5.0, True), (2, 2020, None, None), (3, 2019, 9.0, False)], "id long, annee int, montant double, offre_unique boolean")
     assert ids(df.filter(S.filters())) == [1, 2, 3] and ids(df.filter(S.filters(year=2020, low=1))) == [1] and ids(df.filter(S.filters(single_bid=True))) == [1]
+
+
+def test_the_bounded_ranking_ranks_the_most_recent_up_to_its_cap(spark, tmp_path):
+    from ardoise.plans.search import classement_borne
+
+    # Each third subject says the word twice; recent ones have large ids, and the last is not current.
+    x = spark.range(1, 5104).select(
+        "id", F.when(F.col("id") % 3 == 0, "Maintenance, maintenance du toit").otherwise("Maintenance du toit").alias("objet"), F.lit("Ville").alias("acheteur_nom"), F.lit("Maintenance Sud").alias("titulaire_nom"),
+        F.date_add(F.lit("2010-01-01").cast("date"), F.col("id").cast("int")).alias("date_notification"), F.when(F.col("id") != 9, (F.col("id") % 7).cast("double")).alias("montant"), (F.col("id") < 5103).alias("donneesActuelles"),
+    )
+    for low, kept in ((5000, range(5000, 5103)), (1, range(103, 5103))):
+        x.filter(F.col("id") >= low).write.mode("overwrite").parquet(f"{tmp_path}/marches.parquet")
+        rows = sorted(classement_borne(spark, str(tmp_path)).collect(), key=lambda r: r.rang)
+        assert [r.id for r in rows] == sorted(kept, key=lambda i: (i % 3 != 0, -(i % 7), i)) and [r.rang for r in rows] == list(range(1, len(kept) + 1))
+        assert {(r.candidats_examines, r.classement_approche) for r in rows} == {(len(kept), low == 1)}
+        assert rows[0].score == pytest.approx(2.4) and rows[-1].score == pytest.approx(1.4)
