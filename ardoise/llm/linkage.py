@@ -2,7 +2,8 @@
 
 1. Every record becomes a set of attribute keys that are rare by construction: a rare word of its
    subject (a place, say) with another word, its halves with those of the buyer's own name, or, where
-   no place is named, the buyer's name with a word and a month.  A common key makes an edge.
+   no place is named, the buyer's name with a word and a month.  A common key makes an edge.  Notices
+   that no edge is accepted for are looked for again by every key that their records allow.
 2. Meta-blocking: an edge weighs the sum of its shared keys' inverse frequencies; edges lighter than
    a share of the mean weight of their notice are pruned.
 3. Each kept edge is judged on every attribute: place, kind of work, subject, buyer, kind of buyer,
@@ -35,6 +36,8 @@ from ardoise.session import materialise, small
 RARE_SHARE = 0.004
 RARE_LEAST = 12
 PRUNE = 0.5
+# Least share of a notice's best edge to be given out as its contract.
+ACCEPT = 0.5
 ROUNDS, STILL = 6, 0.01
 # Months from a notice to its award that the buyer key covers.
 MONTHS = 15
@@ -145,26 +148,26 @@ def _own_names(name: str | None, town: str | None) -> list[str]:
     return sorted(w for w in rest if len(w) >= 5 and w not in N.LEXICON)
 
 
-def _name_words(frequent: list[str]):
-    """Reads off each record its buyer's own names, and the rare words that are no misspelling of a frequent one."""
+def _name_words(frequent: list[str], wide: bool):
+    """Reads off each record its buyer's own names, and the rare words that are no misspelling of a frequent one (if wide, all)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, usual = cache(_own_names), Usual(frequent)
+        own, usual, common = cache(_own_names), Usual(frequent), frozenset(frequent)
         for pdf in batches:
-            places = [usual.places(mots) for mots in pdf["mots"]]
+            places = [[w for w in mots if len(w) >= 6 and w not in common] if wide else usual.places(mots) for mots in pdf["mots"]]
             yield pd.DataFrame({"ident": pdf["ident"], "noms": [own(a, c)[:4] for a, c in zip(pdf["acheteur"], pdf["commune"])], "lieux": places})
 
     return run
 
 
-def _keys(df: DataFrame, months_ahead: int, notices: bool) -> DataFrame:
+def _keys(df: DataFrame, months_ahead: int, narrow: bool) -> DataFrame:
     """(ident, cle): the rare attribute keys of every record, hashed; all but the reading of names stays in the JVM.
 
     df: ident, mots, lieux, noms, mois (months since year 0, or null).  A place goes with the
     beginning of another word of the subject where it is spelt alike, and its halves go with those
-    of the buyer's name where either is misspelt.  A notice that names no place is looked for by
-    its buyer, a word of its subject and the months that follow; one without buyer, by the halves of
-    its place and a word.
+    of the buyer's name where either is misspelt.  A record is also looked for by its buyer, a word
+    of its subject and the months that follow, and by the halves of its place and a word; if narrow,
+    by the former only without a place, by the latter only without a buyer.
     """
     skip = F.array(*[F.lit(w) for w in sorted(SUBJECT_EMPTY | _WORK_WORDS)])
     x = df.withColumn("_communs", F.filter(F.array_except("mots", skip), lambda w: F.length(w) >= 4))
@@ -187,7 +190,7 @@ def _keys(df: DataFrame, months_ahead: int, notices: bool) -> DataFrame:
     fuzzy = F.flatten(F.transform("lieux", lambda r: F.flatten(F.transform(halves(r), with_buyer))))
     loose = F.flatten(F.transform("lieux", lambda r: F.flatten(F.transform(halves(r), lambda h: with_things(h, r)))))
     dated = F.when(F.col("mois").isNotNull(), F.flatten(F.transform("noms", lambda b: F.flatten(F.transform(halves(b), with_month)))))
-    if notices:
+    if narrow:
         loose = F.when(F.size("noms") == 0, loose)
         dated = F.when(F.size("lieux") == 0, dated)
     every = F.concat(exact, fuzzy, F.coalesce(loose, none), F.coalesce(dated, none))
@@ -200,16 +203,16 @@ def frequent_words(contracts: DataFrame) -> list[str]:
     return sorted(r.mot for r in words.filter(F.col("df") > max(RARE_LEAST, int(RARE_SHARE * contracts.count()))).collect())
 
 
-def candidates(notices: DataFrame, contracts: DataFrame, frequent: list[str]) -> DataFrame:
-    """(idweb, contrat, poids): the candidate graph after meta-blocking."""
+def candidates(notices: DataFrame, contracts: DataFrame, frequent: list[str], wide: bool = False) -> DataFrame:
+    """(idweb, contrat, poids): the candidate graph after meta-blocking, over the narrow keys of the notices or over all."""
 
-    def keys(df: DataFrame, ident: str, ahead: int, notice: bool) -> DataFrame:
+    def keys(df: DataFrame, ident: str, ahead: int, narrow: bool) -> DataFrame:
         x = df.withColumnRenamed(ident, "ident")
-        read = x.select("ident", "mots", "acheteur", "commune").mapInPandas(_name_words(frequent), "ident string, noms array<string>, lieux array<string>")
+        read = x.select("ident", "mots", "acheteur", "commune").mapInPandas(_name_words(frequent, wide), "ident string, noms array<string>, lieux array<string>")
         x = x.select("ident", "mots", (F.year("date") * 12 + F.month("date")).alias("mois"))
-        return _keys(x.join(read, "ident"), ahead, notice)
+        return _keys(x.join(read, "ident"), ahead, narrow)
 
-    n = materialise(keys(notices, "idweb", MONTHS, True).withColumnRenamed("ident", "idweb"), "cles-avis")
+    n = materialise(keys(notices, "idweb", MONTHS, not wide).withColumnRenamed("ident", "idweb"), "cles-avis")
     c = keys(contracts, "contrat", 0, False).withColumnRenamed("ident", "contrat")
     # Only keys that a notice has can make an edge.
     c = materialise(c.join(n.select("cle").distinct(), "cle", "left_semi"), "cles-contrats")
@@ -340,11 +343,16 @@ def link(avis: DataFrame, marches: DataFrame, verdicts: DataFrame | None = None)
     contracts = materialise(split(_contracts(marches)), "contrats")
     notices = materialise(split(_notices(avis)), "avis")
     frequent = frequent_words(contracts)
-    graph = candidates(notices, contracts, frequent)
     n = notices.select("idweb", *[F.col(c).alias(f"n_{c}") for c in ("mots", "acheteur", "commune", "date", "montant", "titulaire", "famille")])
     c = contracts.select("contrat", "acheteur_id", *[F.col(x).alias(f"c_{x}") for x in ("mots", "acheteur", "commune", "date", "montants", "titulaires", "famille")])
-    edges = graph.join(n, "idweb").join(c, "contrat").mapInPandas(_judge(frequent), EDGE)
-    final = propagate(materialise(edges, "jugees"))
+    judged = lambda graph: materialise(graph.join(n, "idweb").join(c, "contrat").mapInPandas(_judge(frequent), EDGE), "jugees")
+    edges = judged(candidates(notices, contracts, frequent))
+    final = propagate(edges)
+    # A second round, for notices without an accepted edge.
+    rest = materialise(notices.join(final.filter(F.col("part") >= ACCEPT).select("idweb").distinct(), "idweb", "left_anti"), "avis-sans-contrat")
+    more = judged(candidates(rest, contracts, frequent, wide=True).join(edges.select("idweb", "contrat"), ["idweb", "contrat"], "left_anti"))
+    if not more.isEmpty():
+        final = propagate(edges.unionByName(more))
     order = F.struct(F.col("part"), -F.unix_date(F.coalesce("date", F.lit("2100-01-01").cast("date"))), F.col("contrat"))
     best = final.groupBy("idweb").agg(F.max_by(F.struct("contrat", "part", "total"), order).alias("b")).select("idweb", "b.*")
     a, b = (1.0, 0.0) if verdicts is None else _calibration(final, contracts, verdicts)

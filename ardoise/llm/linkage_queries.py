@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ardoise.llm.linkage import link
+from ardoise.llm.linkage import ACCEPT, link
 from ardoise.session import table
 
-# Least share of a notice's best edge to be given out as its contract.
-ACCEPT = 0.5
-
 
 def p3_liens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every notice's best candidate with its confidence."""

@@ -50,3 +50,16 @@ def test_near_and_usual_words():
     assert L.near("toiture", "toitue") and L.near("mobilier", "mobiiler") and not L.near("lits", "lots") and not L.near("toiture", "peinture")
     u = L.Usual(["toiture"])
     assert "toitue" in u and "toiture" in u and "zabrolix" not in u and u.places(["toitue", "zabrolix", "amo"]) == ["zabrolix"]
+
+
+def test_notices_are_found_by_place_and_word_with_another_buyer_and_by_buyer_and_month_with_another_place(spark):
+    m = contracts()
+    bare = list(m[150])
+    bare[3], bare[4], bare[5] = f"Fourniture de {THINGS[150 % 6]}", "Commune de Quvoxaria", "Quvoxaria"
+    m[150] = tuple(bare)
+    place = m[60][3].split()[-1]
+    wrong = place[:2] + ("b" if place[2] != "b" else "c") + place[3:]
+    notices = [notice(3), notice(60, objet=f"École {wrong} : achat {THINGS[0]}", acheteur="Mairie de Trovimelan"), notice(150, objet=f"École Lirobandexu : achat {THINGS[0]}", acheteur="Mairie de Quvoxaria")]
+    got = {r.idweb: r for r in L.link(spark.createDataFrame(notices, A), spark.createDataFrame(m, M)).collect()}
+    for k in (3, 60, 150):
+        assert got[f"n{k}"].marche_id == f"2019-{k:08d}-A" and got[f"n{k}"].part > 0.5
