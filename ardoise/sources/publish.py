@@ -35,8 +35,12 @@ def report_csv(df: DataFrame, path: str, most: int = 100_000) -> None:
 
 
 def report_json(context: dict, measures: dict[str, DataFrame], path: str, most: int = 1_000) -> None:
-    """SNK-3: a nested report {contexte, mesures: {name: [rows]}} of small results."""
-    out = {"contexte": context, "mesures": {n: [r.asDict(recursive=True) for r in df.limit(most).collect()] for n, df in measures.items()}}
+    """SNK-3: a nested report {contexte, mesures: {name: [rows]}} of small results; raises beyond ``most`` rows of a measure."""
+    kept = {n: df.limit(most + 1).collect() for n, df in measures.items()}
+    for n, rows in kept.items():
+        if len(rows) > most:
+            raise ValueError(f"more than {most} rows in {n}: write it as a layer")
+    out = {"contexte": context, "mesures": {n: [r.asDict(recursive=True) for r in rows] for n, rows in kept.items()}}
     part = Path(path).with_suffix(".partiel")
     part.write_text(json.dumps(out, ensure_ascii=False, indent=2, default=str) + "\n", encoding="utf-8")
     part.replace(path)

@@ -62,6 +62,17 @@ def test_sinks(spark, tmp_path):
     assert '"mesures"' in (tmp_path / "r.json").read_text()
 
 
+def test_a_json_report_is_whole_or_refused(spark, tmp_path):
+    import json
+
+    path = tmp_path / "r.json"
+    P.report_json({}, {"m": spark.range(1000)}, str(path))
+    assert len(json.loads(path.read_text())["mesures"]["m"]) == 1000
+    with pytest.raises(ValueError, match="more than 1000 rows in n"):
+        P.report_json({}, {"m": spark.range(2), "n": spark.range(1001)}, str(path))
+    assert list(json.loads(path.read_text())["mesures"]) == ["m"]
+
+
 def test_columns_are_unified_by_name(spark, tmp_path):
     from ardoise.operators.layers import bronze
 
