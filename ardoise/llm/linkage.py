@@ -38,7 +38,8 @@ RARE_LEAST = 12
 PRUNE = 0.5
 # Least share of a notice's best edge to be given out as its contract.
 ACCEPT = 0.5
-ROUNDS, STILL = 6, 0.01
+# Propagation ends when no share moves by STILL; it is an error if that takes more than so many rounds.
+ROUNDS, STILL, LEAST_STEP = 100, 0.01, 0.125
 # Months from a notice to its award that the buyer key covers.
 MONTHS = 15
 # The labelled pairs that calibrate the confidence: at most so many.
@@ -155,7 +156,7 @@ def _name_words(frequent: list[str], wide: bool):
         own, usual, common = cache(_own_names), Usual(frequent), frozenset(frequent)
         for pdf in batches:
             places = [[w for w in mots if len(w) >= 6 and w not in common] if wide else usual.places(mots) for mots in pdf["mots"]]
-            yield pd.DataFrame({"ident": pdf["ident"], "noms": [own(a, c)[:4] for a, c in zip(pdf["acheteur"], pdf["commune"])], "lieux": places})
+            yield pd.DataFrame({"ident": pdf["ident"], "noms": [own(a, c) for a, c in zip(pdf["acheteur"], pdf["commune"])], "lieux": places})
 
     return run
 
@@ -270,15 +271,15 @@ def _judge_batches(batches: Iterator[pd.DataFrame], frequent: list[str]) -> Iter
                 score += 2.5 if rare else 0.5 if same else -2.0
             if r["n_famille"] and r["c_famille"]:
                 score += 0.8 if r["n_famille"] == r["c_famille"] else -1.2
-            rows.append((r["idweb"], r["contrat"], score, r["acheteur_id"], "".join(sorted(x)), squeeze(sup) if sup else None, min(r["c_titulaires"]) if len(r["c_titulaires"]) else None, r["c_date"]))
-        yield pd.DataFrame(rows, columns=["idweb", "contrat", "score", "acheteur_contrat", "acheteur_avis", "titulaire_avis", "titulaire_contrat", "date"])
+            rows.append((r["idweb"], r["contrat"], score, r["acheteur_id"], "".join(sorted(x)), squeeze(sup) if sup else None, list(r["c_titulaires"]), r["c_date"]))
+        yield pd.DataFrame(rows, columns=["idweb", "contrat", "score", "acheteur_contrat", "acheteur_avis", "titulaire_avis", "titulaires_contrat", "date"])
 
 
 def _judge(frequent: list[str]):
     return lambda batches: _judge_batches(batches, frequent)
 
 
-EDGE = "idweb string, contrat string, score double, acheteur_contrat string, acheteur_avis string, titulaire_avis string, titulaire_contrat string, date date"
+EDGE = "idweb string, contrat string, score double, acheteur_contrat string, acheteur_avis string, titulaire_avis string, titulaires_contrat array<string>, date date"
 # What speaks against: a notice may have no contract at all.
 NULL_SCORE = 3.0
 SUPPORT = 1.5
@@ -293,31 +294,38 @@ def _shares(edges: DataFrame) -> DataFrame:
     return x.join(whole, "idweb").withColumn("part", F.col("_e") / (F.col("_somme") + none)).drop("_e", "_somme", "_top")
 
 
-def _support(edges: DataFrame, left: str, right: str) -> Column | DataFrame:
-    """How far the label ``left`` of notices goes with ``right`` of contracts, over the shares of all other edges."""
-    known = edges.filter(F.col(left).isNotNull() & (F.col(left) != "") & F.col(right).isNotNull())
-    pair = known.groupBy(left, right).agg(F.sum("part").alias("_ensemble"))
-    alone = known.groupBy(left).agg(F.sum("part").alias("_seul"))
-    return pair.join(alone, left).select(left, right, "_ensemble", "_seul")
+def _support(edges: DataFrame) -> DataFrame:
+    """(idweb, contrat, dit): how far the buyer or a supplier of the notice goes with that of the contract, over the shares of all other edges."""
+    pairs = lambda left, right: F.when(F.col(left).isNotNull() & (F.col(left) != ""), F.transform(right, lambda r, i: F.struct(F.lit(left).alias("_nom"), F.col(left).alias("_g"), r.alias("_d"), (i == 0).alias("_un"))))
+    none = F.array().cast("array<struct<_nom:string,_g:string,_d:string,_un:boolean>>")
+    every = F.concat(F.coalesce(pairs("acheteur_avis", F.array_compact(F.array("acheteur_contrat"))), none), F.coalesce(pairs("titulaire_avis", F.col("titulaires_contrat")), none))
+    known = edges.select("idweb", "contrat", "part", F.inline(every))
+    pair = known.groupBy("_nom", "_g", "_d").agg(F.sum("part").alias("_ensemble"))
+    # An edge counts once for its notice's label, however many suppliers its contract has.
+    alone = known.filter("_un").groupBy("_nom", "_g").agg(F.sum("part").alias("_seul"))
+    # An edge's own share is no evidence for itself.
+    says = (F.col("_ensemble") - F.col("part")) / (F.col("_seul") - F.col("part") + 1.0)
+    return known.join(pair, ["_nom", "_g", "_d"]).join(alone, ["_nom", "_g"]).groupBy("idweb", "contrat").agg(F.max(says).alias("dit"))
 
 
 def propagate(edges: DataFrame) -> DataFrame:
-    """Edges with their final ``part``."""
-    now = materialise(_shares(edges.withColumn("total", F.col("score"))), "parts")
+    """Edges with their final ``part``: rounds until no share moves, with smaller steps where the moves do not shrink."""
+    now = materialise(_shares(edges.withColumn("appui", F.lit(0.0)).withColumn("total", F.col("score"))), "parts")
+    step, before = 1.0, None
     for _ in range(ROUNDS):
-        x = now.withColumnRenamed("part", "_avant")
-        for k, (left, right) in enumerate((("acheteur_avis", "acheteur_contrat"), ("titulaire_avis", "titulaire_contrat"))):
-            s = _support(now, left, right).withColumnRenamed("_ensemble", f"_e{k}").withColumnRenamed("_seul", f"_s{k}")
-            x = x.join(s, [left, right], "left")
-        # An edge's own share is no evidence for itself.
-        says = [F.coalesce((F.col(f"_e{k}") - F.col("_avant")) / (F.col(f"_s{k}") - F.col("_avant") + 1.0), F.lit(0.0)) for k in range(2)]
-        x = x.withColumn("total", F.col("score") + SUPPORT * F.greatest(*says)).drop("_e0", "_s0", "_e1", "_s1")
+        x = now.withColumnRenamed("part", "_avant").join(_support(now), ["idweb", "contrat"], "left")
+        x = x.withColumn("appui", F.col("appui") + step * (F.greatest(F.coalesce("dit", F.lit(0.0)), F.lit(0.0)) - F.col("appui"))).withColumn("total", F.col("score") + SUPPORT * F.col("appui")).drop("dit")
         following = materialise(_shares(x).withColumn("_ecart", F.abs(F.col("part") - F.col("_avant"))), "parts")
         moved = following.agg(F.max("_ecart")).first()[0]
         now = following.drop("_avant", "_ecart")
-        if moved is None or moved < STILL:
-            break
-    return now
+        # A move is measured as that of a whole step.
+        if moved is None or moved / step < STILL:
+            return now.drop("appui")
+        if before is not None and moved / step >= before:
+            before, step = moved / step, max(LEAST_STEP, step / 2)
+        else:
+            before = moved / step
+    raise RuntimeError(f"shares still move by {before:.3g} after {ROUNDS} rounds")
 
 
 def _calibration(edges: DataFrame, contracts: DataFrame, verdicts: DataFrame) -> tuple[float, float]:

@@ -63,3 +63,32 @@ def test_notices_are_found_by_place_and_word_with_another_buyer_and_by_buyer_and
     got = {r.idweb: r for r in L.link(spark.createDataFrame(notices, A), spark.createDataFrame(m, M)).collect()}
     for k in (3, 60, 150):
         assert got[f"n{k}"].marche_id == f"2019-{k:08d}-A" and got[f"n{k}"].part > 0.5
+
+
+def edges_of(spark):
+    # The spelling "b" goes with two buyers; "t" is the second of the suppliers of its contracts.
+    rows = [(f"n{k}", f"c{k % 7}{m}", 2.0 + 0.3 * m + 0.1 * (k % 4), f"A{(k + m) % 3}", "b" if k % 2 else "d", "t" if k % 3 else None, ["s", f"t{k % 2}"], None) for k in range(24) for m in range(3)]
+    return spark.createDataFrame(rows, L.EDGE)
+
+
+def test_propagation_ends_in_a_settled_state_or_raises(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(L, "STILL", 1e-8)
+    final = L.propagate(edges_of(spark)).cache()
+    again = L._shares(final.withColumnRenamed("part", "_p").join(L._support(final), ["idweb", "contrat"], "left").fillna(0.0, ["dit"]).withColumn("total", final["score"] + L.SUPPORT * L.F.col("dit")))
+    assert again.agg(L.F.max(L.F.abs(again["part"] - again["_p"]))).first()[0] < 1e-7
+    monkeypatch.setattr(L, "STILL", -1.0)
+    monkeypatch.setattr(L, "ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        L.propagate(edges_of(spark))
+
+
+def test_every_supplier_and_every_name_of_a_buyer_takes_part(spark):
+    import pandas as pd
+
+    rows = [("n1", "c1", 5.0, None, None, "x", ["alpha", "zeta"], None), ("n2", "c2", 5.0, None, None, "x", ["beta", "zeta"], None)]
+    says = {r.idweb: r.dit for r in L._support(L._shares(spark.createDataFrame(rows, L.EDGE).withColumn("total", L.F.col("score")))).collect()}
+    assert says["n1"] > 0.4 and says["n2"] > 0.4
+    pdf = pd.DataFrame({"ident": ["a"], "mots": [[]], "acheteur": ["Quvoxaria Lirobandex Trovimelan Zabrolix Munodeka"], "commune": [None]})
+    assert len(next(iter(L._name_words([], False)(iter([pdf]))))["noms"][0]) == 5
