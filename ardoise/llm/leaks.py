@@ -6,7 +6,8 @@ the same information in every script.  Of every window of ``WINDOW`` consecutive
 least is kept, in items and documents alike: whatever they share over ``K + WINDOW - 1`` bytes or
 more is found.  Equal fingerprints are hits; each is extended in both directions to the whole shared
 span, and spans of one item that follow each other in both texts are chained across changed words
-(a small gap in the item) and across a line of the page that interrupts (a larger gap in the page).
+(a small gap in the item) and across a line of the page that interrupts (a larger gap in the page, or
+one whole line of any length).
 
 The test set is taken in blocks of a bounded number of items, each block joined with all documents
 in one pass, so no document is shuffled and any number of items can be held against the corpus.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -42,16 +44,31 @@ _DROP = re.compile(r"[\W_]+")
 SCHEMA = "doc_id long, item_id long, part double, debut int, fin int"
 
 
-def letters(text: str | None) -> bytes:
-    """The letters and figures of a text, without case and accents, as UTF-8."""
+def _plain(text: str | None) -> str:
     if not text:
-        return b""
+        return ""
     text, _ = repair(text)
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text)
-    return _DROP.sub("", text.casefold()).encode("utf-8", "ignore")
+    return text.casefold()
+
+
+def letters(text: str | None) -> bytes:
+    """The letters and figures of a text, without case and accents, as UTF-8."""
+    return _DROP.sub("", _plain(text)).encode("utf-8", "ignore")
+
+
+def long_lines(text: str | None) -> list[tuple[int, int]]:
+    """Start and end, in the letters of a text, of its lines that no gap of PAGE_GAP may span with a changed word on either side."""
+    out, at = [], 0
+    for line in _plain(text).splitlines():
+        size = len(_DROP.sub("", line).encode("utf-8", "ignore"))
+        if size > PAGE_GAP - 2 * ITEM_GAP:
+            out.append((at, at + size))
+        at += size
+    return out
 
 
 def window_minima(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +143,7 @@ class Block:
         a = np.array(out)
         return a[:, 0], a[:, 1], a[:, 2]
 
-    def leaks(self, doc: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, float, int, int]]:
+    def leaks(self, doc: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, lines: list[tuple[int, int]] | None = None) -> list[tuple[int, float, int, int]]:
         """(item_id, part, start, end): of each item with a hit, the longest passage that doc holds."""
         by_item = defaultdict(list)
         for d, n, p in zip(*(self.hits(doc) if hits is None else hits), strict=True):
@@ -134,7 +151,7 @@ class Block:
         out = []
         for n, own in by_item.items():
             item_id, item = self.items[n]
-            best = _longest(_spans(doc, item, own))
+            best = _longest(_spans(doc, item, own), lines or [])
             out.append((item_id, (best[1] - best[0]) / len(item), best[0], best[1]))
         if self.short:
             raw = doc.tobytes()
@@ -164,8 +181,11 @@ def _spans(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]]) -> li
     return spans
 
 
-def _longest(spans: list[tuple[int, int, int, int]]) -> tuple[int, int]:
-    """Start and end in the item of the best chain of spans; every byte between two spans counts against it."""
+def _longest(spans: list[tuple[int, int, int, int]], lines: list[tuple[int, int]] | tuple = ()) -> tuple[int, int]:
+    """Start and end in the item of the best chain of spans; every byte between two spans counts against it.
+
+    lines: start and end of the long lines of the page, each of which may interrupt as a whole.
+    """
     if not spans:
         return (0, 0)
     spans.sort()
@@ -174,9 +194,12 @@ def _longest(spans: list[tuple[int, int, int, int]]) -> tuple[int, int]:
     # Every predecessor of a span starts before it in the item; the earlier ones by where they end in both texts.
     ends: dict[tuple[int, int], list[int]] = defaultdict(list)
     for j, (a, b, c, d) in enumerate(spans):
-        for i in _ended(ends, a, c):
-            gap, page_gap = a - spans[i][1], c - spans[i][3]
-            if -K <= gap <= ITEM_GAP and -K <= page_gap <= PAGE_GAP and score[i] - abs(gap) > 0 and score[i] - abs(gap) + b - a > score[j]:
+        # Where in the page a predecessor may end: shortly before, or about the start of a long line that ends here.
+        ranges = [(c - PAGE_GAP, c + K)] + [(s - ITEM_GAP, min(s + K, c - PAGE_GAP - 1)) for s, e in lines[bisect_left(lines, c - ITEM_GAP, key=_end) : bisect_right(lines, c + K, key=_end)]]
+        near = {i for low, high in ranges for i in _ended(ends, a, low, high) if low <= spans[i][3] <= high}
+        for i in sorted(near, reverse=True):
+            gap = a - spans[i][1]
+            if -K <= gap <= ITEM_GAP and score[i] - abs(gap) > 0 and score[i] - abs(gap) + b - a > score[j]:
                 score[j], start[j] = score[i] - abs(gap) + b - a, start[i]
         if score[j] > most:
             best, most = (start[j], b), score[j]
@@ -184,11 +207,14 @@ def _longest(spans: list[tuple[int, int, int, int]]) -> tuple[int, int]:
     return best
 
 
-def _ended(ends: dict[tuple[int, int], list[int]], a: int, c: int) -> list[int]:
-    """The spans, last first, that may end within both gaps of a start at a in the item and c in the page."""
+def _end(line: tuple[int, int]) -> int:
+    return line[1]
+
+
+def _ended(ends: dict[tuple[int, int], list[int]], a: int, low: int, high: int) -> list[int]:
+    """The spans that may end within the gap before a in the item and from low to high in the page."""
     wide, long = ITEM_GAP + K + 1, PAGE_GAP + K + 1
-    cells = [ends.get((x, y), ()) for x in range((a - ITEM_GAP) // wide, (a + K) // wide + 1) for y in range((c - PAGE_GAP) // long, (c + K) // long + 1)]
-    return sorted((i for cell in cells for i in cell), reverse=True)
+    return [i for x in range((a - ITEM_GAP) // wide, (a + K) // wide + 1) for y in range(low // long, high // long + 1) for i in ends.get((x, y), ())]
 
 
 def _finder(block, least: float):
@@ -196,7 +222,8 @@ def _finder(block, least: float):
         known = block.value
         for batch in batches:
             rows = []
-            texts = [letters(t) for t in batch.column(1).to_pylist()]
+            raw = batch.column(1).to_pylist()
+            texts = [letters(t) for t in raw]
             # One pass of hashing over all texts of the batch; the byte between them occurs in no text.
             joined = np.frombuffer(b"\xff".join(texts), np.uint8)
             d, n, p = known.hits(joined)
@@ -208,7 +235,7 @@ def _finder(block, least: float):
                 own = owner == k
                 first = int(ends[k]) - len(texts[k]) - 1
                 doc = np.frombuffer(texts[k], np.uint8)
-                for item, part, a, b in known.leaks(doc, (d[own] - first, n[own], p[own])):
+                for item, part, a, b in known.leaks(doc, (d[own] - first, n[own], p[own]), long_lines(raw[k]) if own.any() else None):
                     if part >= least:
                         rows.append((ids[k], item, part, a, b))
             cols = list(zip(*rows, strict=True)) or [[]] * 5

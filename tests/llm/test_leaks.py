@@ -57,3 +57,12 @@ def test_a_chain_is_found_however_often_the_page_repeats_the_passage(spark):
     words = ITEMS[8][1].split()
     page = "\n".join(" ".join(f"{w[::-1]}{k}" if n % 5 == 4 else w for n, w in enumerate(words[:24])) + " filler" * 120 for k in range(90))
     assert found(spark, [(1, page)]) == {(1, 8)}
+
+
+def test_one_whole_line_of_any_length_may_interrupt(spark):
+    w = ITEMS[9][1].split()
+    # A fifth of the item before the line and a fifth after it.
+    line = " ".join(f"menu{k}" for k in range(700))
+    half = "\n".join([" ".join(w[8:16]), line, " ".join(w[16:24])])
+    two = "\n".join([" ".join(w[8:16]), line, line, " ".join(w[16:24])])
+    assert found(spark, [(1, half), (2, two), (3, half.replace("\n", " ")), (4, half.replace("\n", "\r\n"))]) == {(1, 9), (4, 9)}
