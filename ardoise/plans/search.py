@@ -136,8 +136,8 @@ def valeurs_distinctes(spark, d):
 
 
 def ids_dans_texte(spark, d):
-    """STR-5, SET-3, ARR-2, ARR-4, ARR-5: numbers found in page addresses, repeats dropped, exploded."""
-    x = table(spark, d, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all("url", F.lit(r"\b(\d{6})\b"), 1)).alias("ids"))
+    """STR-5, SET-3, ARR-2, ARR-4, ARR-5: numbers of 6 or 14 figures found in page addresses and texts, repeats dropped, exploded."""
+    x = table(spark, d, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", "url", "text"), F.lit(r"\b(\d{6}|\d{14})\b"), 1)).alias("ids"))
     y = x.withColumn("reste", F.array_remove("ids", F.lit("000000"))).withColumn("contient", F.array_contains("ids", F.lit("123456")))
     return y.select("doc_id", "contient", F.explode("reste").alias("numero"))
 

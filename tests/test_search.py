@@ -79,3 +79,12 @@ def test_the_bounded_ranking_ranks_the_most_recent_up_to_its_cap(spark, tmp_path
         assert [r.id for r in rows] == sorted(kept, key=lambda i: (i % 3 != 0, -(i % 7), i)) and [r.rang for r in rows] == list(range(1, len(kept) + 1))
         assert {(r.candidats_examines, r.classement_approche) for r in rows} == {(len(kept), low == 1)}
         assert rows[0].score == pytest.approx(2.4) and rows[-1].score == pytest.approx(1.4)
+
+
+def test_numbers_are_found_in_addresses_and_texts(spark, tmp_path):
+    from ardoise.plans.search import ids_dans_texte
+
+    rows = [(1, "http://a/654321", "SIRET 99000103000019, lot 123456, encore 654321 et 1234567"), (2, None, "numéro 99000104000018"), (3, "http://a/111111", None), (4, None, None), (5, "http://a/000000", "")]
+    spark.createDataFrame(rows, "doc_id long, url string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.contient, r.numero) for r in ids_dans_texte(spark, str(tmp_path)).collect())
+    assert got == [(1, True, "123456"), (1, True, "654321"), (1, True, "99000103000019"), (2, False, "99000104000018"), (3, False, "111111")]
