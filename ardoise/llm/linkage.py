@@ -25,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ardoise.functions.text import contract_number, fold
@@ -35,6 +35,8 @@ from ardoise.session import materialise, small
 # A word of a subject is rare if at most this share of the contracts has it.
 RARE_SHARE = 0.004
 RARE_LEAST = 12
+# Of the frequent words, those that this share of the buyers use name things; the others may be places.
+BUYERS_SHARE = 0.05
 PRUNE = 0.5
 # Least share of a notice's best edge to be given out as its contract.
 ACCEPT = 0.5
@@ -42,7 +44,13 @@ ACCEPT = 0.5
 ROUNDS, STILL, LEAST_STEP = 100, 0.01, 0.125
 # Months from a notice to its award that the buyer key covers.
 MONTHS = 15
-# The labelled pairs that calibrate the confidence: at most so many.
+# A word of suppliers' names says a trade if it stands beside this share of all other words, and at least so many.
+GENERIC_SHARE, GENERIC_LEAST = 0.004, 30
+# A buyer or supplier is common if it holds this share of the contracts.
+HOLDER_SHARE = 0.005
+# Contracts of one part of a block; distinct keys (one long each) that may be broadcast.
+BLOCK_CONTRACTS, KEYS_BROADCAST = 2_000, 1_000_000
+# The labelled pairs that take part in the weights and calibrate the confidence: at most so many.
 LABELS, RIDGE = 20_000, 5.0
 
 # Ways of saying one kind of work, folded; the first that occurs counts.
@@ -132,7 +140,7 @@ def _contracts(marches: DataFrame) -> DataFrame:
     date = F.when(F.col("date_notification").between("1990-01-01", "2100-01-01"), F.col("date_notification"))
     return m.groupBy(F.col("_c").alias("contrat")).agg(
         F.max_by("objet", F.struct(F.length("objet"), F.col("objet"))).alias("objet"), F.max_by("acheteur_nom", F.struct(F.length("acheteur_nom"), F.col("acheteur_nom"))).alias("acheteur"), F.max("acheteur_commune_nom").alias("commune"),
-        F.collect_set(fold(F.col("titulaire_nom"))).alias("titulaires"), F.min(date).alias("date"), F.collect_set(F.round("_log", 3)).alias("montants"), F.max("famille_cpv").alias("famille"), F.max("acheteur_siret").alias("acheteur_id"),
+        F.collect_set(fold(F.col("titulaire_nom"))).alias("titulaires"), F.min(date).alias("date"), F.collect_set(F.round("_log", 2)).alias("montants"), F.max("famille_cpv").alias("famille"), F.max("acheteur_siret").alias("acheteur_id"),
     )
 
 
@@ -149,29 +157,44 @@ def _own_names(name: str | None, town: str | None) -> list[str]:
     return sorted(w for w in rest if len(w) >= 5 and w not in N.LEXICON)
 
 
-def _name_words(frequent: list[str], wide: bool):
-    """Reads off each record its buyer's own names, and the rare words that are no misspelling of a frequent one (if wide, all)."""
+def _firm_words(name: str) -> list[str]:
+    return [w for w in N.read(N.words(name))[2] if len(w) >= 5]
+
+
+READ = "noms array<string>, rares array<string>, lieux array<string>, larges array<string>, choses array<string>, travail string, genre string, firmes array<string>, colle string, acheteur_colle string, firme_colle string"
+
+
+def _read_records(frequent: list[str], things: list[str], generic: list[str]):
+    """Reads each record once: its buyer's own names and kind, rare places and all, thing, kind of work, and its suppliers' own words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, usual, common = cache(_own_names), Usual(frequent), frozenset(frequent)
+        own, kind, firm = cache(_own_names), cache(lambda s: N.read(N.words(s))[0]), cache(_firm_words)
+        squeeze, rare, usual, common, of_things, trades = cache(lambda s: "".join(N.words(s))), Usual(frequent), Usual(things), frozenset(frequent), frozenset(things), frozenset(generic)
         for pdf in batches:
-            places = [[w for w in mots if len(w) >= 6 and w not in common] if wide else usual.places(mots) for mots in pdf["mots"]]
-            yield pd.DataFrame({"ident": pdf["ident"], "noms": [own(a, c) for a, c in zip(pdf["acheteur"], pdf["commune"])], "lieux": places})
+            rows = []
+            for ident, mots, acheteur, commune, titulaires in zip(pdf["ident"], pdf["mots"], pdf["acheteur"], pdf["commune"], pdf["titulaires"], strict=True):
+                mots, firms = list(mots), [t for t in titulaires if t]
+                thing = [w for w in mots if w in of_things and len(w) >= 4 and w not in SUBJECT_EMPTY and w not in _WORK_WORDS]
+                words = sorted({w for t in firms for w in firm(t)} - trades)
+                rows.append((ident, own(acheteur, commune), rare.places(mots), usual.places(mots), [w for w in mots if len(w) >= 6 and w not in common], thing, work_kind(mots), kind(acheteur), words, "".join(mots), squeeze(acheteur), "".join(squeeze(t) for t in firms)))
+            yield pd.DataFrame(rows, columns=["ident", *[c.split(" ")[0] for c in READ.split(", ")]])
 
     return run
 
 
-def _keys(df: DataFrame, months_ahead: int, narrow: bool) -> DataFrame:
-    """(ident, cle): the rare attribute keys of every record, hashed; all but the reading of names stays in the JVM.
+def _keys(df: DataFrame, months_ahead: int, narrow: bool, wide: bool) -> DataFrame:
+    """(ident, cle): the rare attribute keys of every record, hashed; all of it stays in the JVM.
 
-    df: ident, mots, lieux, noms, mois (months since year 0, or null).  A place goes with the
+    df: records as read, with ``mois`` (months since year 0, or null).  A place goes with the
     beginning of another word of the subject where it is spelt alike, and its halves go with those
-    of the buyer's name where either is misspelt.  A record is also looked for by its buyer, a word
-    of its subject and the months that follow, and by the halves of its place and a word; if narrow,
-    by the former only without a place, by the latter only without a buyer.
+    of the buyer's name where either is misspelt.  A record is also looked for by its buyer or its
+    supplier, a word of its subject and the months that follow, and by the halves of its place and a
+    word; if narrow, by the buyer only without a place, by the supplier only without either, by
+    halves and a word only without a buyer.  If wide, misspellings of usual words are places too.
     """
     skip = F.array(*[F.lit(w) for w in sorted(SUBJECT_EMPTY | _WORK_WORDS)])
     x = df.withColumn("_communs", F.filter(F.array_except("mots", skip), lambda w: F.length(w) >= 4))
+    places = "larges" if wide else "rares"
 
     def halves(w: Column) -> Column:
         return F.array(F.concat(F.lit("<"), F.left(w, F.lit(6))), F.concat(F.lit(">"), F.right(w, F.lit(6))))
@@ -186,112 +209,180 @@ def _keys(df: DataFrame, months_ahead: int, narrow: bool) -> DataFrame:
         months = F.sequence(F.col("mois"), F.col("mois") + months_ahead)
         return F.flatten(F.transform("_communs", lambda v: F.transform(months, lambda m: F.concat(half, F.left(v, F.lit(5)), m.cast("string")))))
 
+    def dated(words: str) -> Column:
+        return F.when(F.col("mois").isNotNull(), F.flatten(F.transform(words, lambda b: F.flatten(F.transform(halves(b), with_month)))))
+
     none = F.array().cast("array<string>")
-    exact = F.flatten(F.transform("lieux", lambda r: with_things(r, r)))
-    fuzzy = F.flatten(F.transform("lieux", lambda r: F.flatten(F.transform(halves(r), with_buyer))))
-    loose = F.flatten(F.transform("lieux", lambda r: F.flatten(F.transform(halves(r), lambda h: with_things(h, r)))))
-    dated = F.when(F.col("mois").isNotNull(), F.flatten(F.transform("noms", lambda b: F.flatten(F.transform(halves(b), with_month)))))
+    exact = F.flatten(F.transform(places, lambda r: with_things(r, r)))
+    fuzzy = F.flatten(F.transform(places, lambda r: F.flatten(F.transform(halves(r), with_buyer))))
+    loose = F.flatten(F.transform(places, lambda r: F.flatten(F.transform(halves(r), lambda h: with_things(h, r)))))
+    buyer, firm = dated("noms"), dated("firmes")
     if narrow:
         loose = F.when(F.size("noms") == 0, loose)
-        dated = F.when(F.size("lieux") == 0, dated)
-    every = F.concat(exact, fuzzy, F.coalesce(loose, none), F.coalesce(dated, none))
-    return x.select("ident", F.explode(F.array_distinct(every)).alias("_k")).select("ident", F.xxhash64("_k").alias("cle"))
+        buyer = F.when(F.size("rares") == 0, buyer)
+        firm = F.when((F.size("rares") == 0) & (F.size("noms") == 0), firm)
+    every = F.concat(exact, fuzzy, F.coalesce(loose, none), F.coalesce(buyer, none), F.coalesce(firm, none))
+    return x.select("ident", F.explode(F.array_distinct(F.transform(every, lambda k: F.xxhash64(k)))).alias("cle"))
 
 
-def frequent_words(contracts: DataFrame) -> list[str]:
-    """Words in more than a fixed share of all subjects: at most (words per subject) / RARE_SHARE of them, whatever the size."""
-    words = contracts.select(F.explode(F.array_distinct("mots")).alias("mot")).groupBy("mot").agg(F.count(F.lit(1)).alias("df"))
-    return sorted(r.mot for r in words.filter(F.col("df") > max(RARE_LEAST, int(RARE_SHARE * contracts.count()))).collect())
+def frequent_words(contracts: DataFrame) -> tuple[list[str], list[str]]:
+    """(words in more than a fixed share of all subjects, those of them that many buyers use: things, not quarters of one town).
 
+    At most (words per subject) / RARE_SHARE of them, whatever the size.
+    """
+    by_buyer = contracts.select(F.coalesce("acheteur_id", F.lit("")).alias("qui"), F.explode(F.array_distinct("mots")).alias("mot")).groupBy("mot", "qui").agg(F.count(F.lit(1)).alias("n"))
+    words = by_buyer.groupBy("mot").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("acheteurs"))
+    whole = contracts.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce("acheteur_id", F.lit("")))).first()
+    found = words.filter(F.col("df") > max(RARE_LEAST, int(RARE_SHARE * whole[0]))).orderBy("mot").collect()
+    return [r.mot for r in found], [r.mot for r in found if r.acheteurs >= BUYERS_SHARE * whole[1]]
 
-def candidates(notices: DataFrame, contracts: DataFrame, frequent: list[str], wide: bool = False) -> DataFrame:
-    """(idweb, contrat, poids): the candidate graph after meta-blocking, over the narrow keys of the notices or over all."""
 
-    def keys(df: DataFrame, ident: str, ahead: int, narrow: bool) -> DataFrame:
-        x = df.withColumnRenamed(ident, "ident")
-        read = x.select("ident", "mots", "acheteur", "commune").mapInPandas(_name_words(frequent, wide), "ident string, noms array<string>, lieux array<string>")
-        x = x.select("ident", "mots", (F.year("date") * 12 + F.month("date")).alias("mois"))
-        return _keys(x.join(read, "ident"), ahead, narrow)
+def generic_words(contracts: DataFrame) -> list[str]:
+    """Words of suppliers' names that say a trade, not a firm: seen beside at least a fixed share of all other words (so few, whatever the size)."""
+    names = contracts.select(F.explode("titulaires").alias("nom")).distinct().select(F.array_distinct(F.filter(F.split("nom", " "), lambda w: F.length(w) >= 3)).alias("m"))
+    words = names.select(F.explode("m").alias("mot"), "m")
+    degree = words.select("mot", F.explode("m").alias("autre")).distinct().groupBy("mot").agg((F.count(F.lit(1)) - 1).alias("degre"))
+    total = words.select("mot").distinct().count()
+    return sorted(r.mot for r in degree.filter(F.col("degre") >= max(GENERIC_LEAST, int(GENERIC_SHARE * total))).collect())
 
-    n = materialise(keys(notices, "idweb", MONTHS, not wide).withColumnRenamed("ident", "idweb"), "cles-avis")
-    c = keys(contracts, "contrat", 0, False).withColumnRenamed("ident", "contrat")
+
+def common_holders(records: DataFrame, words: str) -> list[str]:
+    """Own words of the buyers or suppliers that hold at least HOLDER_SHARE of the contracts: at most a few hundred."""
+    counted = records.select(F.explode(F.array_distinct(words)).alias("mot")).groupBy("mot").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r.mot for r in counted.filter(F.col("n") >= max(RARE_LEAST, int(HOLDER_SHARE * records.count()))).collect())
+
+
+def candidates(notices: DataFrame, contracts: DataFrame, wide: bool = False) -> DataFrame:
+    """(idweb, contrat, poids): the candidate graph after meta-blocking, over the narrow keys of the notices or over all.
+
+    Blocks of a key that many contracts share are split by contract; every part meets all notices of the key.
+    """
+    n = materialise(_keys(notices, MONTHS, not wide, wide).withColumnRenamed("ident", "idweb"), "cles-avis")
+    wanted = small(n.select("cle").distinct(), "cles", KEYS_BROADCAST)
     # Only keys that a notice has can make an edge.
-    c = materialise(c.join(n.select("cle").distinct(), "cle", "left_semi"), "cles-contrats")
-    rarity = c.groupBy("cle").agg((1.0 / F.count(F.lit(1))).alias("rarete"))
-    edges = n.join(rarity, "cle").join(c, "cle").groupBy("idweb", "contrat").agg(F.sum("rarete").alias("poids"))
+    c = materialise(_keys(contracts, 0, False, wide).join(wanted, "cle", "left_semi").withColumnRenamed("ident", "contrat"), "cles-contrats")
+    blocks = c.groupBy("cle").agg(F.count(F.lit(1)).alias("_n")).select("cle", (1.0 / F.col("_n")).alias("rarete"), F.ceil(F.col("_n") / F.lit(BLOCK_CONTRACTS)).cast("int").alias("_parts"))
+    large = F.broadcast(blocks.filter("_parts > 1").select("cle", F.col("_parts").alias("_p")).limit(KEYS_BROADCAST + 1)) if blocks.filter("_parts > 1").count() <= KEYS_BROADCAST else blocks.select("cle", F.col("_parts").alias("_p"))
+    left = n.join(blocks, "cle").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    right = c.join(large, "cle", "left").withColumn("_part", F.pmod(F.xxhash64("contrat"), F.coalesce("_p", F.lit(1))).cast("int"))
+    edges = left.join(right, ["cle", "_part"]).groupBy("idweb", "contrat").agg(F.sum("rarete").alias("poids"))
     edges = materialise(edges, "aretes")
     mean = edges.groupBy("idweb").agg(F.avg("poids").alias("moyenne"))
     return edges.join(mean, "idweb").filter(F.col("poids") >= PRUNE * F.col("moyenne")).select("idweb", "contrat", "poids")
 
 
-def _judge_batches(batches: Iterator[pd.DataFrame], frequent: list[str]) -> Iterator[pd.DataFrame]:
-    # What is read off one text is read once, not once per pair.
-    own_names, read, kind_of = cache(_own_names), cache(lambda s: N.read(N.words(s))), cache(lambda s: work_kind(s.split(" ")))
-    squeeze, freq = cache(lambda s: "".join(N.words(s))), frozenset(frequent)
-    usual = Usual(frequent)
-    for pdf in batches:
-        rows = []
-        for r in pdf.to_dict("records"):
-            nm, cm = list(r["n_mots"]), list(r["c_mots"])
-            text = "".join(nm)
-            place, own_place = usual.places(cm), usual.places(nm)
-            hit = sum(1 for p in place if p in text or any(near(p, w) for w in nm))
-            score = 0.0
-            if place and hit:
-                score += 3.5 if hit == len(place) else 2.0
-            elif place and own_place:
-                score -= 9.0
-            thing = [w for w in cm if w in freq and len(w) >= 4 and w not in SUBJECT_EMPTY and w not in _WORK_WORDS]
-            if thing and nm:
-                share = sum(1 for t in thing if any(near(t, w) or len(w) >= 4 and t.startswith(w) for w in nm) or len(t) >= 6 and t in text) / len(thing)
-                score += 4.0 * share - 2.5 if share else -6.0
-            a, b = kind_of(" ".join(nm)), kind_of(" ".join(cm))
-            if a and b:
-                score += 1.2 if a == b else -3.0
-            x, y = own_names(r["n_acheteur"], r["n_commune"]), own_names(r["c_acheteur"], r["c_commune"])
-            if x and y:
-                squeezed = squeeze(r["n_acheteur"])
-                score += 2.0 if any(near(p, q) for p in x for q in y) or any(q in squeezed for q in y) else -3.0
-            kx, ky = read(r["n_acheteur"])[0], read(r["c_acheteur"])[0]
-            if kx and ky:
-                score += 0.8 if kx == ky else -1.2
-            if r["n_date"] is not None and r["c_date"] is not None and r["n_date"] == r["n_date"] and r["c_date"] == r["c_date"]:
-                days = (r["c_date"] - r["n_date"]).days
-                score += 1.5 if 0 <= days <= 365 else 0.0 if 0 <= days <= 500 else -4.0
-            if r["n_montant"] == r["n_montant"] and r["n_montant"] is not None and len(r["c_montants"]):
-                gap = min(abs(r["n_montant"] - v) for v in r["c_montants"])
-                score += 1.5 if gap < 0.15 else 0.8 if gap < 0.3 else -0.3 if gap < 0.6 else -1.2
-            sup = r["n_titulaire"]
-            if sup and len(r["c_titulaires"]):
-                own = {w for w in read(sup)[2] if len(w) >= 5}
-                squeezed = squeeze(sup)
-                theirs = {w for t in r["c_titulaires"] for w in read(t)[2] if len(w) >= 5}
-                same = [w for w in theirs if any(near(w, o) for o in own) or w in squeezed]
-                rare = [w for w in same if len(w) >= 9]
-                score += 2.5 if rare else 0.5 if same else -2.0
-            if r["n_famille"] and r["c_famille"]:
-                score += 0.8 if r["n_famille"] == r["c_famille"] else -1.2
-            rows.append((r["idweb"], r["contrat"], score, r["acheteur_id"], "".join(sorted(x)), squeeze(sup) if sup else None, list(r["c_titulaires"]), r["c_date"]))
-        yield pd.DataFrame(rows, columns=["idweb", "contrat", "score", "acheteur_contrat", "acheteur_avis", "titulaire_avis", "titulaires_contrat", "date"])
-
-
-def _judge(frequent: list[str]):
-    return lambda batches: _judge_batches(batches, frequent)
+def _near(a: Column, b: Column) -> Column:
+    """``near`` in the JVM."""
+    size, d = F.least(F.length(a), F.length(b)), F.levenshtein(a, b, 2)
+    letters = lambda w: F.array_sort(F.split(w, ""))
+    return (a == b) | ((size >= 5) & (d >= 0) & ((d <= 1) | (size >= 10) | (letters(a) == letters(b))))
+
+
+# How far the two ends of an edge agree on each attribute: level 0 where either does not state it.
+# For each level, the share of it among true pairs to begin with.
+LEVELS = {
+    # Place (none stated, other, some of the places, all) with thing (not stated, no word of it, some, all): the
+    # two go together, since other purchases for one place, and for one thing at other places, are many.
+    "objet": tuple(a * b for a in (0.25, 0.003, 0.067, 0.68) for b in (0.02, 0.005, 0.085, 0.89)),
+    "travail": (0.01, 0.99),
+    "acheteur": (0.01, 0.42, 0.57),  # other, same and common, same and rare
+    "genre": (0.04, 0.96),
+    "delai": (0.01, 0.94, 0.04, 0.01),  # award before its notice, within about a year, later, much later
+    "montant": (0.40, 0.25, 0.20, 0.15),  # by growing distance
+    "fournisseur": (0.02, 0.43, 0.55),  # other, same and common, same and rare
+    "famille": (0.10, 0.90),
+}
+
+
+def _agreement(common_buyers: list[str], common_firms: list[str]) -> dict[str, Column]:
+    """The level of each attribute of an edge, from the columns n_ of its notice and c_ of its contract."""
+    n, c = (lambda k: F.col(f"n_{k}")), (lambda k: F.col(f"c_{k}"))
+    lit = lambda ws: F.array(*[F.lit(w) for w in ws]).cast("array<string>")
+    both = lambda k: (F.size(n(k)) > 0) & (F.size(c(k)) > 0)
+    in_notice = lambda w, glued: F.contains(n(glued), w) | F.exists(n("mots"), lambda v: _near(w, v))
+    hits = F.size(F.filter(c("lieux"), lambda w: in_notice(w, "colle")))
+    back = F.exists(n("lieux"), lambda w: F.contains(c("colle"), w))
+    place = F.when(F.size(c("lieux")) == 0, 0).when(hits == F.size(c("lieux")), 3).when((hits > 0) | back, 2).when(F.size(n("lieux")) > 0, 1).otherwise(0)
+    said = F.size(F.filter(c("choses"), lambda t: F.exists(n("mots"), lambda v: _near(t, v) | ((F.length(v) >= 4) & F.startswith(t, v))) | ((F.length(t) >= 6) & F.contains(n("colle"), t))))
+    thing = F.when((F.size(c("choses")) == 0) | (F.size(n("mots")) == 0), 0).when(said == F.size(c("choses")), 3).when(said > 0, 2).otherwise(1)
+    same = lambda k: F.when((n(k) == "") | (c(k) == "") | n(k).isNull() | c(k).isNull(), 0).when(n(k) == c(k), 2).otherwise(1)
+
+    def holder(words: str, glued: str, common: list[str]) -> Column:
+        agreed = F.filter(c(words), lambda w: F.exists(n(words), lambda v: _near(w, v)) | F.contains(n(glued), w))
+        return F.when(~both(words), 0).when(F.size(agreed) == 0, 1).when(F.size(F.array_except(agreed, lit(common))) == 0, 2).otherwise(3)
+
+    days = F.datediff(c("date"), n("date"))
+    delay = F.when(days.isNull(), 0).when(days < 0, 1).when(days <= 400, 2).when(days <= 550, 3).otherwise(4)
+    gap = F.array_min(F.transform(c("montants"), lambda v: F.abs(v - n("montant"))))
+    amount = F.when(gap.isNull(), 0).when(gap < 0.1, 1).when(gap < 0.2, 2).when(gap < 0.4, 3).otherwise(4)
+    return {"objet": 1 + 4 * place + thing, "travail": same("travail"), "acheteur": holder("noms", "acheteur_colle", common_buyers), "genre": same("genre"), "delai": delay, "montant": amount, "fournisseur": holder("firmes", "firme_colle", common_firms), "famille": same("famille")}
 
 
 EDGE = "idweb string, contrat string, score double, acheteur_contrat string, acheteur_avis string, titulaire_avis string, titulaires_contrat array<string>, date date"
-# What speaks against: a notice may have no contract at all.
-NULL_SCORE = 3.0
+# Log-odds of no contract at all, beside the prior odds in the scores; half of what full support adds.
+NULL_SCORE = 0.75
 SUPPORT = 1.5
+# Pseudo-counts behind the shares to begin with, and behind even shares among untrue pairs; how far one judged pair is believed; rounds of the fit.
+BEGIN_WEIGHT, CHANCE_WEIGHT, BELIEF, FIT_ROUNDS = 10.0, 100.0, 0.97, 200
+
+
+def learn_weights(patterns: pd.DataFrame) -> tuple[dict[str, list[float]], float]:
+    """(log-odds by attribute and level, share of true pairs among edges), by expectation and maximisation.
+
+    How true pairs agree is learned from those judged true, each weighed by how far the rest of its
+    levels bears the verdict out; how others agree by chance, and how many edges are true, from all edges.
+
+    patterns: one row per combination of levels, with ``n`` edges, of which ``oui`` and ``non`` were
+    judged by hand.  At most (product of the numbers of levels) rows, whatever the number of edges.
+    """
+    names = list(LEVELS)
+    levels, n = patterns[names].to_numpy(int), patterns["n"].to_numpy(float)
+    yes, no = patterns["oui"].to_numpy(float), patterns["non"].to_numpy(float)
+    free = n - yes - no
+    m = [np.array(LEVELS[k], float) for k in names]
+    counted = lambda w: [np.bincount(levels[:, k], w, len(LEVELS[a]) + 1)[1:] for k, a in enumerate(names)]
+    u = [np.full(len(LEVELS[k]), 1 / len(LEVELS[k])) for k in names]
+    share, weights = 0.1, None
+    for _ in range(FIT_ROUNDS):
+        before, weights = weights, [np.concatenate([[0.0], np.log(a / b)]) for a, b in zip(m, u, strict=True)]
+        if before is not None and max(np.abs(a - b).max() for a, b in zip(weights, before, strict=True)) < 1e-4:
+            break
+        total = np.clip(np.log(share / (1 - share)) + sum(w[levels[:, k]] for k, w in enumerate(weights)), -500, 500)
+        doubt = np.log(BELIEF / (1 - BELIEF))
+        p, if_yes, if_no = (1 / (1 + np.exp(-(total + d))) for d in (0.0, doubt, -doubt))
+        right = free * p + yes * if_yes + no * if_no
+        share = float(np.clip(right.sum() / max(n.sum(), 1.0), 1e-6, 0.95))
+        m = [(x + BEGIN_WEIGHT * np.array(LEVELS[a])) / (x.sum() + BEGIN_WEIGHT) for a, x in zip(names, counted(yes * if_yes), strict=True)]
+        u = [(x + CHANCE_WEIGHT / len(x)) / (x.sum() + CHANCE_WEIGHT) for x in counted(n - right)]
+    return {a: w.tolist() for a, w in zip(names, weights, strict=True)}, share
+
+
+def scored(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Adds ``score``: the log-odds of each edge from its levels, with prior odds that fall with the number of its notice's candidates."""
+    names = list(LEVELS)
+    tally = edges.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    if labels is None:
+        tally = tally.withColumn("oui", F.lit(0)).withColumn("non", F.lit(0))
+    else:
+        judged = edges.join(labels, ["idweb", "_objet"]).groupBy(*names).agg(F.count_if("juste").alias("oui"), F.count_if(~F.col("juste")).alias("non"))
+        tally = tally.join(judged, names, "left").fillna(0, ["oui", "non"])
+    patterns = tally.toPandas()
+    if patterns.empty:
+        return edges.withColumn("score", F.lit(0.0))
+    weights, share = learn_weights(patterns)
+    notices = edges.select("idweb").distinct().count()
+    prior = min(max(share * patterns["n"].sum() / notices, 0.05), 0.95)
+    evidence = sum((F.element_at(F.array(*[F.lit(float(v)) for v in w]), F.col(a) + 1) for a, w in weights.items()), F.lit(0.0))
+    many = edges.groupBy("idweb").agg(F.count(F.lit(1)).alias("_voisins"))
+    return edges.join(many, "idweb").withColumn("score", evidence + F.lit(float(np.log(prior / (1 - prior)))) - F.log("_voisins")).drop("_voisins")
 
 
 def _shares(edges: DataFrame) -> DataFrame:
     """Adds ``part``: the edge's share among its notice's edges and the case that none is right."""
-    top = edges.groupBy("idweb").agg(F.max("total").alias("_top"))
-    x = edges.join(top, "idweb").withColumn("_e", F.exp(F.col("total") - F.greatest("_top", F.lit(NULL_SCORE))))
-    whole = x.groupBy("idweb").agg(F.sum("_e").alias("_somme"))
-    none = F.exp(F.lit(NULL_SCORE) - F.greatest("_top", F.lit(NULL_SCORE)))
-    return x.join(whole, "idweb").withColumn("part", F.col("_e") / (F.col("_somme") + none)).drop("_e", "_somme", "_top")
+    own = Window.partitionBy("idweb")
+    top = F.greatest(F.max("total").over(own), F.lit(NULL_SCORE))
+    x = edges.withColumn("_top", top).withColumn("_e", F.exp(F.col("total") - F.col("_top")))
+    return x.withColumn("part", F.col("_e") / (F.sum("_e").over(own) + F.exp(F.lit(NULL_SCORE) - F.col("_top")))).drop("_e", "_top")
 
 
 def _support(edges: DataFrame) -> DataFrame:
@@ -328,10 +419,31 @@ def propagate(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"shares still move by {before:.3g} after {ROUNDS} rounds")
 
 
-def _calibration(edges: DataFrame, contracts: DataFrame, verdicts: DataFrame) -> tuple[float, float]:
+def one_to_one(edges: DataFrame) -> DataFrame:
+    """Shares once each contract goes to the notice that has the largest share of it: the others lose that edge.
+
+    Repeated until no contract is the best of two notices; each round takes at least one edge away, and
+    notices that lost none keep their shares.
+    """
+    now = edges
+    while True:
+        best = now.groupBy("idweb").agg(F.max_by(F.struct("contrat", "part"), F.struct("part", "contrat")).alias("b")).select("idweb", "b.*").filter(F.col("part") >= ACCEPT)
+        claims = best.groupBy("contrat").agg(F.max_by("idweb", F.struct("part", "idweb")).alias("_garde"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        lost = materialise(best.join(claims, "contrat").filter("idweb <> _garde").select("idweb", "contrat"), "perdues")
+        if lost.isEmpty():
+            return now
+        now = materialise(_shares(now.join(lost, ["idweb", "contrat"], "left_anti").drop("part")), "parts")
+
+
+def _labels(verdicts: DataFrame) -> DataFrame:
+    """(idweb, _objet, juste) of at most LABELS pairs judged by hand; a pair judged both ways or in doubt is none."""
+    x = verdicts.filter(F.col("verdict_humain").isin("oui", "non") & F.col("idweb").isNotNull() & F.col("objet_decp").isNotNull()).select("idweb", fold(F.col("objet_decp")).alias("_objet"), (F.col("verdict_humain") == "oui").alias("juste"))
+    return x.groupBy("idweb", "_objet").agg(F.bool_or("juste").alias("juste"), F.bool_and("juste").alias("_tous")).filter("juste = _tous").drop("_tous").limit(LABELS)
+
+
+def _calibration(edges: DataFrame, contracts: DataFrame, labels: DataFrame) -> tuple[float, float]:
     """Slope and offset of the confidence, fitted on at most LABELS labelled pairs; (1, 0) with too few."""
-    labels = verdicts.filter(F.col("verdict_humain").isin("oui", "non")).select("idweb", fold(F.col("objet_decp")).alias("_o"), (F.col("verdict_humain") == "oui").alias("juste")).limit(LABELS)
-    x = labels.join(edges.join(contracts.select("contrat", fold(F.col("objet")).alias("_o")), "contrat").select("idweb", "_o", "part"), ["idweb", "_o"]).select("part", "juste").toPandas()
+    x = labels.join(edges.join(contracts.select("contrat", fold(F.col("objet")).alias("_objet")), "contrat").select("idweb", "_objet", "part"), ["idweb", "_objet"]).select("part", "juste").toPandas()
     if len(x) < 30 or x["juste"].nunique() < 2:
         return 1.0, 0.0
     p = np.clip(x["part"].to_numpy(float), 1e-6, 1 - 1e-6)
@@ -350,19 +462,34 @@ def link(avis: DataFrame, marches: DataFrame, verdicts: DataFrame | None = None)
     split = lambda df: df.withColumn("mots", F.filter(F.split(F.coalesce(fold(F.col("objet")), F.lit("")), " "), lambda w: w != ""))
     contracts = materialise(split(_contracts(marches)), "contrats")
     notices = materialise(split(_notices(avis)), "avis")
-    frequent = frequent_words(contracts)
-    n = notices.select("idweb", *[F.col(c).alias(f"n_{c}") for c in ("mots", "acheteur", "commune", "date", "montant", "titulaire", "famille")])
-    c = contracts.select("contrat", "acheteur_id", *[F.col(x).alias(f"c_{x}") for x in ("mots", "acheteur", "commune", "date", "montants", "titulaires", "famille")])
-    judged = lambda graph: materialise(graph.join(n, "idweb").join(c, "contrat").mapInPandas(_judge(frequent), EDGE), "jugees")
-    edges = judged(candidates(notices, contracts, frequent))
-    final = propagate(edges)
-    # A second round, for notices without an accepted edge.
-    rest = materialise(notices.join(final.filter(F.col("part") >= ACCEPT).select("idweb").distinct(), "idweb", "left_anti"), "avis-sans-contrat")
-    more = judged(candidates(rest, contracts, frequent, wide=True).join(edges.select("idweb", "contrat"), ["idweb", "contrat"], "left_anti"))
-    if not more.isEmpty():
-        final = propagate(edges.unionByName(more))
+    (frequent, things), generic = frequent_words(contracts), generic_words(contracts)
+
+    def read(df: DataFrame, ident: str, firms: Column, *also: str) -> DataFrame:
+        x = df.withColumnRenamed(ident, "ident").withColumn("titulaires", firms)
+        y = x.select("ident", "mots", "acheteur", "commune", "titulaires").mapInPandas(_read_records(frequent, things, generic), f"ident string, {READ}")
+        return materialise(x.select("ident", "mots", "objet", "date", "famille", (F.year("date") * 12 + F.month("date")).alias("mois"), "titulaires", *also).join(y, "ident"), "lus")
+
+    notices = read(notices, "idweb", F.array_compact(F.array("titulaire")), "montant")
+    contracts = read(contracts, "contrat", F.col("titulaires"), "montants", "acheteur_id")
+    levels = _agreement(common_holders(contracts, "noms"), common_holders(contracts, "firmes"))
+    stated = ["mots", "date", "famille", *[c.split(" ")[0] for c in READ.split(", ") if not c.startswith(("larges", "rares"))]]
+    n = notices.select(F.col("ident").alias("idweb"), F.col("montant").alias("n_montant"), *[F.col(x).alias(f"n_{x}") for x in stated])
+    c = contracts.select(F.col("ident").alias("contrat"), F.col("montants").alias("c_montants"), "acheteur_id", "titulaires", fold(F.col("objet")).alias("_objet"), *[F.col(x).alias(f"c_{x}") for x in stated])
+
+    def judged(graph: DataFrame) -> DataFrame:
+        x = graph.join(n, "idweb").join(c, "contrat")
+        buyer, firm = F.nullif(F.array_join(F.array_sort("n_noms"), ""), F.lit("")), F.nullif(F.col("n_firme_colle"), F.lit(""))
+        return materialise(x.select("idweb", "contrat", "_objet", *[v.alias(k) for k, v in levels.items()], F.col("acheteur_id").alias("acheteur_contrat"), buyer.alias("acheteur_avis"), firm.alias("titulaire_avis"), F.col("titulaires").alias("titulaires_contrat"), F.col("c_date").alias("date")), "jugees")
+
+    labels = None if verdicts is None else _labels(verdicts)
+    edges = judged(candidates(notices, contracts))
+    first = _shares(scored(edges, labels).withColumn("total", F.col("score")))
+    # A second round, with every key, for notices without an accepted edge.
+    rest = materialise(notices.join(first.filter(F.col("part") >= ACCEPT).select(F.col("idweb").alias("ident")).distinct(), "ident", "left_anti"), "avis-sans-contrat")
+    more = judged(candidates(rest, contracts, wide=True).join(edges.select("idweb", "contrat"), ["idweb", "contrat"], "left_anti"))
+    final = one_to_one(propagate(scored(edges.unionByName(more), labels).drop("_objet", *LEVELS)))
     order = F.struct(F.col("part"), -F.unix_date(F.coalesce("date", F.lit("2100-01-01").cast("date"))), F.col("contrat"))
     best = final.groupBy("idweb").agg(F.max_by(F.struct("contrat", "part", "total"), order).alias("b")).select("idweb", "b.*")
-    a, b = (1.0, 0.0) if verdicts is None else _calibration(final, contracts, verdicts)
+    a, b = (1.0, 0.0) if verdicts is None else _calibration(final, contracts.withColumnRenamed("ident", "contrat"), labels)
     p = F.least(F.greatest(F.col("part"), F.lit(1e-6)), F.lit(1 - 1e-6))
     return best.select("idweb", F.col("contrat").alias("marche_id"), "part", (1 / (1 + F.exp(-(a * F.log(p / (1 - p)) + b)))).alias("confiance"))

@@ -14,7 +14,7 @@ def p3_liens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_liens(spark, sf_dir).filter(f"part >= {ACCEPT}").select("idweb", "marche_id")
+    return p3_liens(spark, sf_dir).filter(f"confiance >= {ACCEPT}").select("idweb", "marche_id")
 
 
 QUERIES = {"p3_found": p3_found, "p3_liens": p3_liens}
