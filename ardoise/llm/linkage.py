@@ -188,13 +188,17 @@ def _keys(df: DataFrame, months_ahead: int, narrow: bool, wide: bool) -> DataFra
     df: records as read, with ``mois`` (months since year 0, or null).  A place goes with the
     beginning of another word of the subject where it is spelt alike, and its halves go with those
     of the buyer's name where either is misspelt.  A record is also looked for by its buyer or its
-    supplier, a word of its subject and the months that follow, and by the halves of its place and a
-    word; if narrow, by the buyer only without a place, by the supplier only without either, by
-    halves and a word only without a buyer.  If wide, misspellings of usual words are places too.
+    supplier, a word of its subject, its kind of work and the months that follow (of a notice, by the supplier only
+    without a buyer), and by the halves of its place and a word; if narrow, by the buyer or supplier
+    only without a place, by halves and a word only without a buyer.  If wide, misspellings of usual words are places too.
     """
     skip = F.array(*[F.lit(w) for w in sorted(SUBJECT_EMPTY | _WORK_WORDS)])
     x = df.withColumn("_communs", F.filter(F.array_except("mots", skip), lambda w: F.length(w) >= 4))
     places = "larges" if wide else "rares"
+    # A month with a kind of work; a record whose kind is not known is looked for under every kind.
+    kinds = F.when(F.col("travail") == "", F.array(*[F.lit(w) for w in WORK])).otherwise(F.array("travail"))
+    months = F.sequence(F.col("mois"), F.col("mois") + months_ahead)
+    x = x.withColumn("_quand", F.flatten(F.transform(kinds, lambda k: F.transform(months, lambda m: F.concat(m.cast("string"), k)))))
 
     def halves(w: Column) -> Column:
         return F.array(F.concat(F.lit("<"), F.left(w, F.lit(6))), F.concat(F.lit(">"), F.right(w, F.lit(6))))
@@ -206,8 +210,7 @@ def _keys(df: DataFrame, months_ahead: int, narrow: bool, wide: bool) -> DataFra
         return F.flatten(F.transform("noms", lambda b: F.transform(halves(b), lambda h: F.concat(half, F.lit("|"), h))))
 
     def with_month(half: Column) -> Column:
-        months = F.sequence(F.col("mois"), F.col("mois") + months_ahead)
-        return F.flatten(F.transform("_communs", lambda v: F.transform(months, lambda m: F.concat(half, F.left(v, F.lit(5)), m.cast("string")))))
+        return F.flatten(F.transform("_communs", lambda v: F.transform("_quand", lambda m: F.concat(half, F.left(v, F.lit(5)), m))))
 
     def dated(words: str) -> Column:
         return F.when(F.col("mois").isNotNull(), F.flatten(F.transform(words, lambda b: F.flatten(F.transform(halves(b), with_month)))))
@@ -217,10 +220,12 @@ def _keys(df: DataFrame, months_ahead: int, narrow: bool, wide: bool) -> DataFra
     fuzzy = F.flatten(F.transform(places, lambda r: F.flatten(F.transform(halves(r), with_buyer))))
     loose = F.flatten(F.transform(places, lambda r: F.flatten(F.transform(halves(r), lambda h: with_things(h, r)))))
     buyer, firm = dated("noms"), dated("firmes")
+    if months_ahead:
+        firm = F.when(F.size("noms") == 0, firm)
     if narrow:
         loose = F.when(F.size("noms") == 0, loose)
         buyer = F.when(F.size("rares") == 0, buyer)
-        firm = F.when((F.size("rares") == 0) & (F.size("noms") == 0), firm)
+        firm = F.when(F.size("rares") == 0, firm)
     every = F.concat(exact, fuzzy, F.coalesce(loose, none), F.coalesce(buyer, none), F.coalesce(firm, none))
     return x.select("ident", F.explode(F.array_distinct(F.transform(every, lambda k: F.xxhash64(k)))).alias("cle"))
 
@@ -322,6 +327,8 @@ EDGE = "idweb string, contrat string, score double, acheteur_contrat string, ach
 # Log-odds of no contract at all, beside the prior odds in the scores; half of what full support adds.
 NULL_SCORE = 0.75
 SUPPORT = 1.5
+# exp(SUPPORT + NULL_SCORE) times the odds of this share stay far under even.
+HOPELESS = 0.01
 # Pseudo-counts behind the shares to begin with, and behind even shares among untrue pairs; how far one judged pair is believed; rounds of the fit.
 BEGIN_WEIGHT, CHANCE_WEIGHT, BELIEF, FIT_ROUNDS = 10.0, 100.0, 0.97, 200
 
@@ -399,6 +406,17 @@ def _support(edges: DataFrame) -> DataFrame:
     return known.join(pair, ["_nom", "_g", "_d"]).join(alone, ["_nom", "_g"]).groupBy("idweb", "contrat").agg(F.max(says).alias("dit"))
 
 
+def hopeful(edges: DataFrame) -> DataFrame:
+    """Edges that propagation may still make a link, and the best of each notice.
+
+    Support multiplies the odds of an edge by at most exp(SUPPORT), and those of no contract not at all,
+    so an edge with a share under HOPELESS can't come to ACCEPT.
+    """
+    best = Window.partitionBy("idweb").orderBy(F.col("part").desc(), "contrat")
+    x = _shares(edges.withColumn("total", F.col("score"))).withColumn("_k", F.row_number().over(best))
+    return x.filter((F.col("part") >= HOPELESS) | (F.col("_k") == 1)).drop("_k", "part", "total")
+
+
 def propagate(edges: DataFrame) -> DataFrame:
     """Edges with their final ``part``: rounds until no share moves, with smaller steps where the moves do not shrink."""
     now = materialise(_shares(edges.withColumn("appui", F.lit(0.0)).withColumn("total", F.col("score"))), "parts")
@@ -487,7 +505,7 @@ def link(avis: DataFrame, marches: DataFrame, verdicts: DataFrame | None = None)
     # A second round, with every key, for notices without an accepted edge.
     rest = materialise(notices.join(first.filter(F.col("part") >= ACCEPT).select(F.col("idweb").alias("ident")).distinct(), "ident", "left_anti"), "avis-sans-contrat")
     more = judged(candidates(rest, contracts, wide=True).join(edges.select("idweb", "contrat"), ["idweb", "contrat"], "left_anti"))
-    final = one_to_one(propagate(scored(edges.unionByName(more), labels).drop("_objet", *LEVELS)))
+    final = one_to_one(propagate(hopeful(scored(edges.unionByName(more), labels).drop("_objet", *LEVELS))))
     order = F.struct(F.col("part"), -F.unix_date(F.coalesce("date", F.lit("2100-01-01").cast("date"))), F.col("contrat"))
     best = final.groupBy("idweb").agg(F.max_by(F.struct("contrat", "part", "total"), order).alias("b")).select("idweb", "b.*")
     a, b = (1.0, 0.0) if verdicts is None else _calibration(final, contracts.withColumnRenamed("ident", "contrat"), labels)
