@@ -293,6 +293,8 @@ def flag_readings(readings: DataFrame, round_value: Column) -> DataFrame:
     the bounds), attribution long (rows of one award count once), hors boolean (a hard bound is
     broken), indice boolean (the producer's own mark).
     """
+    # Written once: what is read off contract numbers costs more than all the scans that follow.
+    readings = materialise(readings, "releves")
     held = small(repeated_values(readings.filter(~F.col("hors")), round_value), "valeurs-repetees")
     x = _join(standardised(readings), held, ["champ", "source", "lot", "valeur"])
     x = x.select("champ", "id", "source", "lot", F.col("z").cast("float").alias("z"), "hors", "indice", F.when(F.col("taux").isNotNull(), F.col("valeur")).alias("valeur"), F.when(F.col("taux").isNotNull(), F.col("attribution")).otherwise(0).alias("attribution"), "premier", "dernier", "taux")
