@@ -49,7 +49,7 @@ GENERIC_SHARE, GENERIC_LEAST = 0.004, 30
 # A buyer or supplier is common if it holds this share of the contracts.
 HOLDER_SHARE = 0.005
 # Contracts of one part of a block; distinct keys (one long each) that may be broadcast.
-BLOCK_CONTRACTS, KEYS_BROADCAST = 2_000, 1_000_000
+BLOCK_CONTRACTS, KEYS_BROADCAST = 2_000, 2_000_000
 # The labelled pairs that take part in the weights and calibrate the confidence: at most so many.
 LABELS, RIDGE = 20_000, 5.0
 

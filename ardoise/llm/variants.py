@@ -19,6 +19,7 @@ are one spelling; a name that fits no other gives no pair; empty tables give no
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +35,7 @@ DOMINANCE = 3.0
 # ... or if it is long and stands in so few names that it can't be a word of its own.
 LONG, FEW = 8, 4
 LEXICON_WEIGHT = 3.0
+BUCKET_SIGNATURES = 5_000
 
 
 def _tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,26 +67,44 @@ def _read_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["champ", "nom", "n", "genre", "forme", "reste"])
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The entity of each signature of one (champ, core, kind)."""
-    sigs = [(frozenset(d), f, w) for d, f, w in zip(pdf["details"], pdf["forme"], pdf["poids"])]
+def _fuller(sigs: list[tuple[frozenset, str, int]]) -> list[set[int]]:
+    """Of each signature, the others that it may stand for."""
     n = len(sigs)
-
-    def within(a: int, b: int) -> bool:
-        (da, fa, _), (db, fb, _) = sigs[a], sigs[b]
-        return (not fa or fa == fb) and N.covers(da, db)
-
-    above = [[b for b in range(n) if b != a and within(a, b)] for a in range(n)]
+    words = sorted({(w, k) for k, (d, _, _) in enumerate(sigs) for w in d}) if n > 16 else []
+    above = []
+    for a, (details, form, _) in enumerate(sigs):
+        # A word of five letters or more stands only for words that begin with it: those are neighbours in sorted order.
+        probe = max((w for w in details if len(w) >= 5), key=len, default=None) if words else None
+        others = range(n) if probe is None else {k for _, k in words[bisect_left(words, (probe, -1)) : bisect_left(words, (probe + "\uffff", -1))]}
+        above.append({b for b in others if b != a and (not form or form == sigs[b][1]) and N.covers(details, sigs[b][0])})
+    return above
+
+
+def _entities(sigs: list[tuple[frozenset, str, int]]) -> list[int]:
+    """The entity of each signature of one (field, core, kind)."""
+    above = _fuller(sigs)
     # Signatures that only stand for each other are one; the fullest of them leads.
-    full = [a for a in range(n) if all(a in above[b] for b in above[a])]
-    lead = {}
-    for a in full:
-        same = [b for b in [a, *above[a]] if b in full]
-        lead[a] = max(same, key=lambda b: (len(sigs[b][0]), sum(map(len, sigs[b][0])), len(sigs[b][1]), sigs[b][2], -b))
+    full = {a for a in range(len(sigs)) if all(a in above[b] for b in above[a])}
+    lead = {a: max((b for b in {a} | above[a] if b in full), key=lambda b: (len(sigs[b][0]), sum(map(len, sigs[b][0])), len(sigs[b][1]), sigs[b][2], -b)) for a in full}
     out = []
-    for a in range(n):
+    for a in range(len(sigs)):
         seeds = {lead[a]} if a in lead else {lead[b] for b in above[a] if b in lead}
-        out.append(min(seeds) if len(seeds) == 1 else n + a)
+        out.append(min(seeds) if len(seeds) == 1 else len(sigs) + a)
+    return out
+
+
+def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The entity of each signature; a bucket holds many cores with their kinds, told apart here."""
+    groups: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(pdf["champ"], pdf["noyau"], pdf["genre"], strict=True)):
+        groups.setdefault(key, []).append(k)
+    details, forms, weights = [frozenset(d) for d in pdf["details"]], pdf["forme"].tolist(), pdf["poids"].tolist()
+    out = [0] * len(pdf)
+    for rows in groups.values():
+        # In a stated order, so that the result does not hang on how rows arrive.
+        rows.sort(key=lambda k: (sorted(details[k]), forms[k]))
+        for k, entity in zip(rows, _entities([(details[k], forms[k], weights[k]) for k in rows]), strict=True):
+            out[k] = entity
     return pdf[["champ", "noyau", "genre", "forme", "details"]].assign(entite=out)
 
 
@@ -162,7 +182,10 @@ def spellings(fields: DataFrame) -> DataFrame:
     cores = word.join(degree, ["champ", "mot"], "left").withColumn("_k", F.row_number().over(core)).filter("_k = 1").select("champ", "nom", F.col("mot").alias("noyau"))
     known_names = materialise(read.join(cores, ["champ", "nom"]).withColumn("details", F.array_remove("reste", F.col("noyau"))), "noyaux")
     signatures = known_names.groupBy("champ", "noyau", "genre", "forme", "details").agg(F.sum("n").alias("poids"))
-    resolved = signatures.groupBy("champ", "noyau", "genre").applyInPandas(_resolve, "champ string, noyau string, genre string, forme string, details array<string>, entite int")
+    signatures = materialise(signatures, "signatures")
+    # Cores travel in buckets, whose number follows that of the signatures.
+    bucket = F.pmod(F.xxhash64("champ", "noyau", "genre"), F.lit(max(16, -(-signatures.count() // BUCKET_SIGNATURES)))).alias("_seau")
+    resolved = signatures.groupBy(bucket).applyInPandas(_resolve, "champ string, noyau string, genre string, forme string, details array<string>, entite int")
     x = known_names.join(resolved, ["champ", "noyau", "genre", "forme", "details"])
     return x.select("champ", "nom", F.concat_ws("|", "noyau", "genre", F.col("entite").cast("string")).alias("entite"))
 
