@@ -4,13 +4,17 @@ Texts are reduced to their letters and figures (wrong charsets read again, entit
 accents, punctuation and spacing dropped) and written as UTF-8 bytes, so that one k-gram spans about
 the same information in every script.  Of every window of ``WINDOW`` consecutive k-gram hashes the
 least is kept, in items and documents alike: whatever they share over ``K + WINDOW - 1`` bytes or
-more is found.  Equal fingerprints are hits; each is extended in both directions to the whole shared
-span, and spans of one item that follow each other in both texts are chained across changed words
-(a small gap in the item) and across a line of the page that interrupts (a larger gap in the page, or
-one whole line of any length).
+more has a fingerprint in common.  A third of a short item may be shorter than that, so of items
+under three times that length every k-gram is kept, in documents too, and under ``3 * K`` bytes k is a
+third of the item: a third of an item of ``K`` bytes or more always has a fingerprint in common.
 
-The test set is taken in blocks of a bounded number of items, each block joined with all documents
-in one pass, so no document is shuffled and any number of items can be held against the corpus.
+The documents are read and hashed once, whatever the number of items: fingerprints that a bitmap of
+fixed size rules out are dropped there, the others are joined with the table of the items' fingerprints.
+Each hit is extended in both directions to the whole shared span, and spans of one item that follow
+each other in both texts are chained across changed words (a small gap in the item) and across a line
+of the page that interrupts (a larger gap in the page, or one whole line of any length).
+
+Only documents with a hit are shuffled, as their letters.
 
 Defined results: null, empty and letterless texts leak nothing; an item shorter than ``K`` bytes is
 looked for as a whole; repeated documents each give their rows; equal items each give theirs.
@@ -24,18 +28,20 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ardoise.llm.mojibake import repair
+from ardoise.session import materialise
 
 K = 15
 WINDOW = 8
-BLOCK_ITEMS = 5_000
+# Bits of the filter of the items' fingerprints (16 MB); fingerprints, and letters of items in bytes, up to which the
+# items' side of a join is broadcast.
+FILTER_BITS, BROADCAST_PRINTS, BROADCAST_BYTES = 27, 500_000, 16_000_000
 # A changed word of the item, and an interrupting line of the page, in bytes.
 ITEM_GAP = 60
 PAGE_GAP = 600
@@ -71,92 +77,73 @@ def long_lines(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def window_minima(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-grams of the bytes, and the least of each window of them."""
-    h1 = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-grams of the bytes (k at most 31); those of different k have nothing in common."""
+    level = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     with np.errstate(over="ignore"):
-        p = [BASE]
-        for _ in range(4):
-            p.append(p[-1] * p[-1])
-        hashes, done, size = None, 0, 1
-        level, power = h1, 0
+        hashes, done, size, power = None, 0, 1, BASE
         while True:
-            if K & size:  # K as a sum of powers of two
+            if k & size:  # k as a sum of powers of two
                 shift = level[done:] if done else level
-                hashes = level if hashes is None else hashes[: len(shift)] * p[power] + shift[: len(hashes)]
+                hashes = level if hashes is None else hashes[: len(shift)] * power + shift[: len(hashes)]
                 done += size
-            if size * 2 > K:
+            if size * 2 > k:
                 break
-            level = level[: len(level) - size] * p[power] + level[size:]
-            size, power = size * 2, power + 1
-        hashes = hashes[: max(0, len(b) - K + 1)]
+            level = level[: len(level) - size] * power + level[size:]
+            size, power = size * 2, power * power
+        hashes = hashes[: max(0, len(b) - k + 1)] + np.uint64(k)
         hashes = hashes ^ (hashes >> np.uint64(29))
         hashes = hashes * np.uint64(0xBF58476D1CE4E5B9)
-        hashes = hashes ^ (hashes >> np.uint64(32))
+        return hashes ^ (hashes >> np.uint64(32))
+
+
+def window_minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of each window of hashes."""
     m, width = hashes, 1
     while width < WINDOW and len(m) > width:
         m = np.minimum(m[: len(m) - width], m[width:])
         width *= 2
-    return hashes, m
-
-
-class Block:
-    """The fingerprints of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        texts = [(i, letters(t)) for i, t in items]
-        self.short = [(i, t) for i, t in texts if 0 < len(t) < K]
-        self.items = [(i, np.frombuffer(t, np.uint8)) for i, t in texts if len(t) >= K]
-        hashes, owners, places = [], [], []
-        for n, (_, b) in enumerate(self.items):
-            h, m = window_minima(b)
-            keep = np.isin(h, m)
-            hashes.append(h[keep])
-            owners.append(np.full(keep.sum(), n))
-            places.append(np.nonzero(keep)[0])
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owners = np.concatenate(owners)[order] if owners else np.zeros(0, int)
-        self.places = np.concatenate(places)[order] if places else np.zeros(0, int)
-
-    def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in doc, item number, place in item) of every equal fingerprint."""
-        empty = np.zeros(0, int)
-        if len(doc) < K or not len(self.hashes):
-            return empty, empty, empty
-        h, m = window_minima(doc)
-        new = np.concatenate([[True], m[1:] != m[:-1]])
-        starts = np.nonzero(new)[0]
-        at = np.searchsorted(self.hashes, m[starts])
-        at[at == len(self.hashes)] = 0
-        starts = starts[self.hashes[at] == m[starts]]
-        out: list[tuple[int, int, int]] = []
-        for s in starts:
-            window = h[s : s + WINDOW]
-            v = window.min()
-            d = s + int(window.argmin())
-            for k in range(int(np.searchsorted(self.hashes, v)), int(np.searchsorted(self.hashes, v, "right"))):
-                out.append((d, self.owners[k], self.places[k]))
-        if not out:
-            return empty, empty, empty
-        a = np.array(out)
-        return a[:, 0], a[:, 1], a[:, 2]
-
-    def leaks(self, doc: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, lines: list[tuple[int, int]] | None = None) -> list[tuple[int, float, int, int]]:
-        """(item_id, part, start, end): of each item with a hit, the longest passage that doc holds."""
-        by_item = defaultdict(list)
-        for d, n, p in zip(*(self.hits(doc) if hits is None else hits), strict=True):
-            by_item[n].append((int(d), int(p)))
-        out = []
-        for n, own in by_item.items():
-            item_id, item = self.items[n]
-            best = _longest(_spans(doc, item, own), lines or [])
-            out.append((item_id, (best[1] - best[0]) / len(item), best[0], best[1]))
-        if self.short:
-            raw = doc.tobytes()
-            out += [(i, 1.0, 0, len(t)) for i, t in self.short if t in raw]
-        return out
+    return m
+
+
+def gram_size(length: int) -> tuple[int, bool]:
+    """(k, whether windows are winnowed) for an item of so many bytes."""
+    if length < K:
+        return length, False
+    return min(K, -(-length // 3)), length >= 3 * (K + WINDOW - 1)
+
+
+def item_prints(item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of an item, and where they start."""
+    k, winnowed = gram_size(len(item))
+    h = gram_hashes(item, k)
+    keep = np.nonzero(np.isin(h, window_minima(h)))[0] if winnowed else np.arange(len(h))
+    return h[keep], keep
+
+
+def page_prints(page: np.ndarray, passes, sizes: list[int], winnowed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of a page that ``passes`` lets through, and where they start.
+
+    sizes: the k of the items whose k-grams are all kept; winnowed: whether there are others.
+    """
+    hashes, places = [], []
+    if winnowed and len(page) >= K:
+        h = gram_hashes(page, K)
+        m = window_minima(h)
+        starts = np.nonzero(np.concatenate([[True], m[1:] != m[:-1]]))[0]
+        starts = starts[passes(m[starts])]
+        at = np.array(sorted({int(s + h[s : s + WINDOW].argmin()) for s in starts}), np.int64)
+        hashes.append(h[at])
+        places.append(at)
+    for k in sizes:
+        if len(page) >= k:
+            h = gram_hashes(page, k)
+            at = np.nonzero(passes(h))[0]
+            hashes.append(h[at])
+            places.append(at)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 def _same_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -165,19 +152,19 @@ def _same_run(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def _spans(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """Maximal shared spans (start in item, end, start in doc, end) around the hits."""
+def _spans(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], k: int = K) -> list[tuple[int, int, int, int]]:
+    """Maximal shared spans (start in item, end, start in doc, end) around the hits of k-grams."""
     spans, reached = [], {}
     for d, p in sorted(hits):
         if reached.get(d - p, -1) >= d:
             continue
-        if not np.array_equal(doc[d : d + K], item[p : p + K]):
+        if not np.array_equal(doc[d : d + k], item[p : p + k]):
             continue  # equal hashes of different k-grams
         room = min(d, p, len(item))
         left = _same_run(doc[d - room : d][::-1], item[p - room : p][::-1])
-        right = _same_run(doc[d + K : d + K + len(item)], item[p + K :])
-        spans.append((p - left, p + K + right, d - left, d + K + right))
-        reached[d - p] = d + K + right
+        right = _same_run(doc[d + k : d + k + len(item)], item[p + k :])
+        spans.append((p - left, p + k + right, d - left, d + k + right))
+        reached[d - p] = d + k + right
     return spans
 
 
@@ -217,32 +204,79 @@ def _ended(ends: dict[tuple[int, int], list[int]], a: int, low: int, high: int)
     return [i for x in range((a - ITEM_GAP) // wide, (a + K) // wide + 1) for y in range(low // long, high // long + 1) for i in ends.get((x, y), ())]
 
 
-def _finder(block, least: float):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = block.value
+def passage(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], lines: list[tuple[int, int]]) -> tuple[float, int, int]:
+    """(share of the item, start, end) of its longest passage in the page, from the hits (place in page, place in item)."""
+    a, b = _longest(_spans(doc, item, hits, gram_size(len(item))[0]), lines)
+    return (b - a) / len(item), a, b
+
+
+def _print_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        number, item_id, bytes_, hashes, places, ks, winnowed = [], [], [], [], [], [], []
+        for n, i, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            item = letters(t)
+            if item:
+                h, p = item_prints(np.frombuffer(item, np.uint8))
+                k, w = gram_size(len(item))
+                number.append(n), item_id.append(i), bytes_.append(item), hashes.append(h.view(np.int64)), places.append(p.astype(np.int32)), ks.append(k), winnowed.append(w)
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(item_id, pa.int64()), pa.array(bytes_, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(ks, pa.int32()), pa.array(winnowed, pa.bool_())], names=["numero", "item_id", "lettres", "traces", "places", "k", "tamise"])
+
+
+ITEMS = "numero long, item_id long, lettres binary, traces array<long>, places array<int>, k int, tamise boolean"
+PAGES = "doc_id long, lettres binary, lignes array<int>, traces array<long>, places array<int>"
+
+
+def _bitmap(traces: DataFrame) -> np.ndarray:
+    """One bit for each hash, by its leading FILTER_BITS: at most 2 ** FILTER_BITS / 64 words come to the driver."""
+    bit = F.shiftrightunsigned("trace", 64 - FILTER_BITS)
+    words = traces.select(F.shiftright(bit, 6).cast("int").alias("mot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(trace, {64 - FILTER_BITS}) & 63 as int))").alias("_bit")).groupBy("mot").agg(F.bit_or("_bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words.column("mot").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _scanner(bitmap, sizes: list[int], winnowed: bool):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bitmap.value
+
+        def passes(h: np.ndarray) -> np.ndarray:
+            at = h >> np.uint64(64 - FILTER_BITS)
+            return (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
         for batch in batches:
-            rows = []
-            raw = batch.column(1).to_pylist()
+            ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [letters(t) for t in raw]
             # One pass of hashing over all texts of the batch; the byte between them occurs in no text.
-            joined = np.frombuffer(b"\xff".join(texts), np.uint8)
-            d, n, p = known.hits(joined)
+            h, at = page_prints(np.frombuffer(b"\xff".join(texts), np.uint8), passes, sizes, winnowed)
             ends = np.cumsum([len(t) + 1 for t in texts])
-            owner = np.searchsorted(ends, d, "right")
-            wanted = range(len(texts)) if known.short else np.unique(owner)
-            ids = batch.column(0).to_pylist()
-            for k in wanted:
+            owner = np.searchsorted(ends, at, "right")
+            rows = []
+            for k in np.unique(owner):
                 own = owner == k
-                first = int(ends[k]) - len(texts[k]) - 1
-                doc = np.frombuffer(texts[k], np.uint8)
-                for item, part, a, b in known.leaks(doc, (d[own] - first, n[own], p[own]), long_lines(raw[k]) if own.any() else None):
-                    if part >= least:
-                        rows.append((ids[k], item, part, a, b))
+                lines = [x for line in long_lines(raw[k]) for x in line]
+                rows.append((ids[k], texts[k], lines, h[own].view(np.int64), (at[own] - (int(ends[k]) - len(texts[k]) - 1)).astype(np.int32)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            types = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "lettres", "lignes", "traces", "places"])
+
+    return scan
+
+
+def _extender(least: float):
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, page, lines, items in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                doc, pairs = np.frombuffer(page, np.uint8), list(zip(lines[::2], lines[1::2], strict=True))
+                for x in items:
+                    part, a, b = passage(doc, np.frombuffer(x["item"], np.uint8), [(h["d"], h["p"]) for h in x["touches"]], pairs)
+                    if part >= least and (part == 1 or len(x["item"]) >= K):
+                        rows.append((doc_id, x["item_id"], part, a, b))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "item_id", "part", "debut", "fin"])
 
-    return find
+    return extend
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: float) -> DataFrame:
@@ -252,15 +286,22 @@ def leaks(documents: DataFrame, items: DataFrame, least: float) -> DataFrame:
     the item's letters.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # Blocks of the stated test set; each is bounded, whatever the number of items.
-    block_of = F.floor((F.row_number().over(Window.orderBy("item_id")) - 1) / BLOCK_ITEMS)
-    numbered = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).withColumn("_bloc", block_of)
-    parts = []
-    for n in range(-(-items.count() // BLOCK_ITEMS)):
-        rows = [(r.item_id, r.text) for r in numbered.filter(F.col("_bloc") == n).collect()]
-        parts.append(docs.mapInArrow(_finder(spark.sparkContext.broadcast(Block(rows)), least), SCHEMA))
-    if not parts:
+    known = materialise(items.select(F.monotonically_increasing_id().alias("numero"), F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_print_items, ITEMS), "items")
+    # Fifteen values of k at most.
+    kinds = known.groupBy("k", "tamise").agg(F.sum(F.size("traces")).alias("traces"), F.sum(F.length("lettres")).alias("octets")).collect()
+    if not kinds:
         return spark.createDataFrame([], SCHEMA)
-    return reduce(DataFrame.unionByName, parts)
-
+    traces = known.select("numero", F.explode(F.arrays_zip("traces", "places")).alias("x")).select(F.col("x.traces").alias("trace"), "numero", F.col("x.places").alias("p"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(traces))
+    sizes, winnowed = sorted({r.k for r in kinds if not r.tamise}), any(r.tamise for r in kinds)
+    pages = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scanner(bitmap, sizes, winnowed), PAGES)
+    pages = materialise(pages.withColumn("page", F.monotonically_increasing_id()), "pages-touchees")
+    if sum(r.traces for r in kinds) <= BROADCAST_PRINTS:
+        traces = F.broadcast(traces)
+    texts = known.select("numero", "item_id", F.col("lettres").alias("item"))
+    if sum(r.octets for r in kinds) <= BROADCAST_BYTES:
+        texts = F.broadcast(texts)
+    hits = pages.select("page", F.explode(F.arrays_zip("traces", "places")).alias("x")).select("page", F.col("x.traces").alias("trace"), F.col("x.places").alias("d"))
+    pairs = hits.join(traces, "trace").groupBy("page", "numero").agg(F.collect_list(F.struct("d", "p")).alias("touches")).join(texts, "numero")
+    by_page = pairs.groupBy("page").agg(F.collect_list(F.struct("item_id", "item", "touches")).alias("items"))
+    return pages.join(by_page, "page").select("doc_id", "lettres", "lignes", "items").mapInArrow(_extender(least), SCHEMA)

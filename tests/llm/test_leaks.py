@@ -25,14 +25,49 @@ def test_whole_partial_changed_and_interrupted_items(spark):
     assert found(spark, docs) == {(1, 3), (2, 4), (4, 5), (5, 6), (6, 7)}
 
 
+def common(item, page):
+    """Whether item and page share a fingerprint, with a filter that lets exactly the item's through."""
+    own, _ = L.item_prints(item)
+    k, winnowed = L.gram_size(len(item))
+    return len(L.page_prints(page, lambda h: np.isin(h, own), [] if winnowed else [k], winnowed)[0]) > 0
+
+
+def random_bytes(r, n):
+    return r.integers(97, 123, n).astype(np.uint8)
+
+
 def test_every_shared_span_of_the_guaranteed_length_is_hit():
     r = np.random.default_rng(1)
-    block = L.Block([(1, "".join(map(chr, r.integers(97, 123, 400))))])
-    item = block.items[0][1]
+    item = random_bytes(r, 400)
     for _ in range(200):
         a = int(r.integers(0, 400 - 22))
-        doc = np.concatenate([r.integers(97, 123, 50), item[a : a + L.K + L.WINDOW - 1], r.integers(97, 123, 50)]).astype(np.uint8)
-        assert len(block.hits(doc)[0])
+        assert common(item, np.concatenate([random_bytes(r, 50), item[a : a + L.K + L.WINDOW - 1], random_bytes(r, 50)]))
+
+
+def test_a_third_of_an_item_of_any_length_is_hit():
+    r = np.random.default_rng(2)
+    for size in (15, 16, 18, 20, 21, 22, 30, 44, 45, 54, 60, 65, 66, 67, 90):
+        third = -(-size // 3)
+        for _ in range(100):
+            item = random_bytes(r, size)
+            a = int(r.integers(0, size - third + 1))
+            assert common(item, np.concatenate([random_bytes(r, 40), item[a : a + third], random_bytes(r, 40)])), size
+            assert common(item, np.concatenate([random_bytes(r, 40), item, random_bytes(r, 40)])), size
+
+
+def test_grams_of_different_size_have_different_hashes_and_equal_ones_equal():
+    r = np.random.default_rng(3)
+    b = random_bytes(r, 60)
+    for k in range(1, 16):
+        h = L.gram_hashes(b, k)
+        assert len(h) == 61 - k and L.gram_hashes(b[7 : 7 + k], k)[0] == h[7]
+        assert not set(h.tolist()) & set(L.gram_hashes(b, k % 15 + 1).tolist())
+
+
+def test_short_items_come_out_of_pages(spark):
+    items = [(1, "quick amber kettle"), (2, "the harbour window is frozen over tonight and tomorrow"), (3, "zebra")]
+    docs = [(1, "A page about the quick amber kettle."), (2, "He said the harbour window is closed"), (3, "ze bra and amber"), (4, "amber window")]
+    assert found(spark, docs, items=items) == {(1, 1), (2, 2), (3, 3), (3, 1), (4, 1)} - {(3, 1), (4, 1)}
 
 
 def test_wrong_charset_accents_and_repeats(spark):
@@ -41,11 +76,12 @@ def test_wrong_charset_accents_and_repeats(spark):
     assert found(spark, [(1, text.encode().decode("latin-1")), (1, text), (2, text.replace("é", "e"))], items=items) == {(1, 1), (1, 2), (2, 1), (2, 2)}
 
 
-def test_short_items_blocks_and_empty_tables(spark, monkeypatch):
+def test_short_items_shuffled_joins_and_empty_tables(spark, monkeypatch):
     assert found(spark, [(1, "one tiny thing"), (2, "other")], items=[(1, "tiny"), (2, ""), (3, None)]) == {(1, 1)}
     assert found(spark, [], items=ITEMS) == set()
     assert found(spark, [(1, "x")], items=[]) == set()
-    monkeypatch.setattr(L, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(L, "BROADCAST_PRINTS", 0)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
     assert found(spark, [(1, ITEMS[3][1], 0), (2, ITEMS[29][1], 0)]) == {(1, 3), (2, 29)}
 
 
