@@ -45,11 +45,12 @@ FIGURE_ONLY = frozenset("no art fig p pp pág págs pag vol chap ch n s".split()
 # Words before a German ordinal number.
 BEFORE_ORDINAL = frozenset("der die das dem den des am im vom zum zur beim bis ab ein eine einem einen einer jeder jede jedes seit".split())
 
+_LONGEST_BEFORE_ORDINAL = max(map(len, BEFORE_ORDINAL))
+
 MARKS = ".!?…。！？｡．؟۔।॥"
 _BLANK = " \t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u205f\u3000\ufeff"
 _LEX = re.compile("([\n\r])|([" + MARKS + "]+)|([«「『‹„“»”」』›\"])|(?<=[\u0e00-\u0e7f])([" + _BLANK + "]+)(?=[\u0e00-\u0e7f])")
-_WORD = re.compile(r"[^\s()\[\]«»“”„\"'’/|]*$")
-_BEFORE_ORDINAL = re.compile(r"(\w+)\s+\d{1,2}$")
+_BESIDE_WORD = frozenset("()[]«»“”„\"'’/|")
 _CLOSERS = ")]}’'"
 _ONLY_CLOSERS = re.compile(r"[\s»”“\"」』›)\]}’']+$")
 
@@ -103,8 +104,27 @@ def _compile() -> tuple[np.ndarray, np.ndarray]:
 STEP, EMIT = _compile()
 
 
-def _ends(t: str, s: int, e: int) -> int:
-    """End of the sentence that the marks t[s:e] close, or -1 if they close none."""
+def _word_start(t: str, s: int, seen: int, start: int) -> int:
+    """Where the word that ends at s begins; if it goes back to ``seen``, that is ``start``.  Each character is looked at once."""
+    k = s
+    while k > seen and not t[k - 1].isspace() and t[k - 1] not in _BESIDE_WORD:
+        k -= 1
+    return start if k == seen else k
+
+
+def _before(t: str, s: int) -> tuple[str, bool]:
+    """The word before the blanks before s, and whether only blanks stand between s and the start of its line."""
+    k = s
+    while k and t[k - 1] in _BLANK:
+        k -= 1
+    e = k
+    while k and (t[k - 1].isalnum() or t[k - 1] == "_") and e - k <= _LONGEST_BEFORE_ORDINAL:
+        k -= 1
+    return t[k:e], not e or t[e - 1] in "\n\r"
+
+
+def _ends(t: str, s: int, e: int, w: int) -> int:
+    """End of the sentence that the marks t[s:e] close, or -1 if they close none; the word before them begins at w."""
     n, i = len(t), e
     while i < n and t[i] in _CLOSERS:
         i += 1
@@ -118,7 +138,7 @@ def _ends(t: str, s: int, e: int) -> int:
         return -1
     if e - s > 1 or t[s] != ".":
         return i
-    word = _WORD.search(t[max(0, s - 24) : s])[0]
+    word = t[w:s]
     low = word.lower()
     if j == i:  # nothing between the full stop and the next character
         if nxt.isalnum():
@@ -133,12 +153,10 @@ def _ends(t: str, s: int, e: int) -> int:
         return -1
     if low in NEVER_FINAL and low not in FIGURE_ONLY:
         return -1
-    if word.isdigit() and len(word) <= 2 and not t[max(0, s - 24) : s - len(word)].rpartition("\n")[2].strip() and (s < 24 or "\n" in t[s - 24 : s]):
-        return -1  # the number of a list entry or heading
-    if word.isdigit() and len(word) <= 2 and nxt.isupper():
-        m = _BEFORE_ORDINAL.search(t[max(0, s - 24) : s])
-        if m and m[1].lower() in BEFORE_ORDINAL:
-            return -1
+    if word.isdigit() and len(word) <= 2:
+        before, first = _before(t, w)
+        if first or nxt.isupper() and before.lower() in BEFORE_ORDINAL:
+            return -1  # the number of a list entry or heading; a German ordinal number
     return i
 
 
@@ -165,12 +183,13 @@ def _closing(t: str, s: int, e: int) -> int:
 def lex(t: str) -> tuple[list[int], list[int]]:
     """Symbols of a text, and for each the place where the sentence ends if it is a boundary."""
     symbols, places, last = [], [], 0
-    line_end = -1
+    line_end, seen, word = -1, 0, 0
     for m in _LEX.finditer(t):
         s, e = m.span()
         k = m.lastindex
         if k == 2:
-            end = _ends(t, s, e)
+            word, seen = _word_start(t, s, seen, word), s
+            end = _ends(t, s, e, word)
             if end >= 0:
                 symbols.append(END)
                 places.append(end)
