@@ -1,8 +1,9 @@
 """Filling fixed-capacity containers: first-fit decreasing with a tournament tree.
 
 Sizes are tokens of a public tokenizer, counted over whole texts.  A text longer than the container
-is cut into full containers and a rest; no other text is cut.  Texts are dealt at random into groups
-of a bounded number of texts; each group is packed alone: items by falling size, each into the first
+is cut into full containers and a rest; no other text is cut.  A full piece is a container of its own
+and needs no packing.  The rests, one a text and kind of container, are dealt at random into groups of a
+bounded number of texts, so however long the texts are, a group stays bounded; each is packed alone: items by falling size, each into the first
 container with room, which a tournament tree over the free capacities finds in logarithmic time.
 With thousands of texts in a group the space left is near that of packing everything at once.
 
@@ -103,7 +104,11 @@ def pack(sizes: DataFrame, containers: list[tuple[int, int]], group_texts: int =
     x = x.withColumn("morceau", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / F.col("capacite")).cast("int") - 1)))
     debut = F.col("morceau") * F.col("capacite")
     x = x.select("contenant_id", "capacite", "groupe", "doc_id", "ligne", "morceau", debut.alias("debut"), F.least(F.col("tokens") - debut, F.col("capacite")).cast("int").alias("tokens"))
-    return x.groupBy("contenant_id", "groupe").applyInPandas(_pack_group, SCHEMA)
+    full = F.col("tokens") == F.col("capacite")
+    rests = x.filter(~full).groupBy("contenant_id", "groupe").applyInPandas(_pack_group, SCHEMA)
+    # The containers of a text's full pieces form a group of their own.
+    alone = x.filter(full).select("contenant_id", (-1 - F.col("ligne")).alias("groupe"), F.col("morceau").cast("int").alias("conteneur"), "doc_id", "ligne", "morceau", "debut", "tokens")
+    return rests.unionByName(alone)
 
 
 def packed_documents(documents: DataFrame, containers: list[tuple[int, int]]) -> DataFrame:

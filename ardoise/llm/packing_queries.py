@@ -25,7 +25,7 @@ def p7_bilan(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = p7_contenants(spark, sf_dir).groupBy("contenant_id", "groupe", "conteneur").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("morceaux"))
     y = x.groupBy("contenant_id").agg(F.count(F.lit(1)).alias("conteneurs"), F.sum("tokens").alias("tokens"), F.sum("morceaux").alias("morceaux"))
     c = table(spark, sf_dir, "contenants")
-    return y.join(F.broadcast(c.limit(MOST_KINDS)), "contenant_id").select("contenant_id", "capacite", "conteneurs", "morceaux", "tokens", (F.col("tokens") / (F.col("conteneurs") * F.col("capacite"))).alias("remplissage"))
+    return y.join(F.broadcast(c), "contenant_id").select("contenant_id", "capacite", "conteneurs", "morceaux", "tokens", (F.col("tokens") / (F.col("conteneurs") * F.col("capacite"))).alias("remplissage"))
 
 
 QUERIES = {"p7_contenants": p7_contenants, "p7_bilan": p7_bilan}

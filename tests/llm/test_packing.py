@@ -50,3 +50,12 @@ def test_counts_are_those_of_the_tokenizer_and_empty_texts_take_no_room(spark):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {1, 4}
     assert P.packed_documents(df.limit(0), [(1, 512)]).count() == 0 and P.packed_documents(df, [(1, 0)]).count() == 0
     assert out.filter(F.col("doc_id") == 4).agg(F.sum("tokens")).first()[0] == n[4]
+
+
+def test_full_pieces_of_long_texts_join_no_group(spark):
+    rows = [(1, 10_000), (2, 9_995), (3, 4), (4, 7)]
+    out = P.pack(spark.createDataFrame(rows, "doc_id long, tokens long"), [(1, 10)], group_texts=10).collect()
+    assert sum(x.tokens for x in out) == sum(t for _, t in rows)
+    packed = [x for x in out if x.groupe >= 0]
+    assert sorted(x.tokens for x in packed) == [4, 5, 7] and all(x.tokens == 10 for x in out if x.groupe < 0)
+    assert len({(x.groupe, x.conteneur) for x in out}) == 1999 + 2
