@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ardoise.functions.columns import french_decimal, french_euros, half_up, ratio_phrase
 from ardoise.functions.text import excerpt, fold, one_line
+from ardoise.operators import index as X
 from ardoise.operators import search as S
 from ardoise.operators.layers import current
 from ardoise.operators.prefix import ranked
@@ -24,47 +25,74 @@ def _docs(spark, d):
     return current(_m(spark, d)).withColumn("mots", S.tokens(F.col("objet")))
 
 
+def _now(spark, d):
+    return current(_m(spark, d))
+
+
+def _ix(spark, d):
+    """FTS-1, FTS-2: subjects weigh A, names of buyer and supplier B."""
+    return X.index(_now(spark, d), [("objet", "A"), ("acheteur_nom", "B"), ("titulaire_nom", "B")], "marches")
+
+
+def index_recherche(spark, d):
+    """FTS-1, FTS-2: the stored index of stems, built or found: documents and words by weight."""
+    return _ix(spark, d).totals.select("poids", "documents", "mots")
+
+
 def recherche_et(spark, d):
     """FTS-3."""
-    return _docs(spark, d).filter(S.match_all(F.col("mots"), TERMS)).select("id", "objet")
+    return X.rows_of(_now(spark, d).select("id", "objet"), X.having_all(_ix(spark, d), TERMS, "A"))
 
 
 def recherche_ou(spark, d):
     """FTS-4."""
-    return _docs(spark, d).filter(S.match_any(F.col("mots"), TERMS)).select("id")
+    return X.having_any(_ix(spark, d), TERMS, "A")
 
 
 def recherche_web(spark, d):
     """FTS-3: alternatives, exclusion and a phrase."""
-    q = S.parse('ascenseurs or toiture -ecole "prestation maintenance"')
-    return _docs(spark, d).filter(S.matches(F.col("mots"), q)).select("id")
+    return X.web(_ix(spark, d), S.parse('ascenseurs or toiture -ecole "prestation maintenance"'), "A")
 
 
 def recherche_cascade(spark, d):
     """FTS-5: nothing has all three words, so any of them counts."""
-    return S.cascade(_docs(spark, d).select("id", "mots"), "mots", ["ascenseurs", "toiture", "introuvable"]).select("id", "mode")
+    return X.cascade(_ix(spark, d), ["ascenseurs", "toiture", "introuvable"], "A")
 
 
 def recherche_bm25(spark, d):
     """FTS-7."""
-    return S.bm25(_docs(spark, d), "id", "mots", TERMS).select("id", F.round("score", 6).alias("score"))
+    return X.bm25(_ix(spark, d), TERMS).select("id", F.round("score", 6).alias("score"))
 
 
-def _weighted(df):
-    return df.withColumn("doc", S.document([(F.col("objet"), "A"), (F.col("acheteur_nom"), "B"), (F.col("titulaire_nom"), "B")]))
+def recherche_densite(spark, d):
+    """FTS-2, FTS-6: cover density over the weighted document."""
+    return X.densities(_ix(spark, d), TERMS)
 
 
-def recherche_densite(spark, d):
-    """FTS-2, FTS-6: weighted document, cover density."""
-    return S.ranked(_weighted(current(_m(spark, d))), "id", "doc", TERMS)
+def recherche_densite_un_mot(spark, d):
+    """FTS-6: of a single word, every occurrence adds the weight of its field."""
+    return X.densities(_ix(spark, d), ["toitures"]).select("id", F.round("score", 6).alias("score"))
 
 
 def recherche_page(spark, d):
     """SRT-1, SRT-3: the second page by amount, and one row more."""
-    x = _docs(spark, d).filter(S.match_all(F.col("mots"), ["maintenance"])).select("id", "montant")
+    x = X.rows_of(_now(spark, d).select("id", "montant"), X.having_all(_ix(spark, d), ["maintenance"], "A"))
     return S.page(x.orderBy(F.desc_nulls_last("montant"), "id"), 2, 10)
 
 
+def preuve_accents(spark, d):
+    """FTS-1, FTS-11: whatever the spelling asked for, with accents, capitals or in the plural, the same lexeme and documents."""
+    f = X.frequencies(_ix(spark, d))
+    asked = [(w, X.lexemes(S.query_terms(w))[0]) for w in ("école", "Écoles", "ECOLE", "maintenance", "Maintenances", "toiture", "ascenseurs")]
+    x = spark.createDataFrame(asked, "demande string, lexeme string")
+    return f.join(F.broadcast(x), "lexeme").select("demande", "lexeme", "marches", "echantillon")
+
+
+def vocabulaire_lexemes(spark, d):
+    """FTS-9, SNK-9: frequency of every lexeme with the number of documents."""
+    return X.frequencies(_ix(spark, d))
+
+
 def liste_recente(spark, d):
     """SRT-2, PRJ-15: most recent first, missing dates first as in the serving database."""
     x = current(_m(spark, d)).filter(S.filters(year=2019, low=1000)).select("id", "date_notification", F.lit(None).cast("long").alias("candidats"), F.lit(0.0).alias("score"))
@@ -78,7 +106,7 @@ def filtres_api(spark, d):
 
 def classement_borne(spark, d):
     """SRT-4, WIN-4: bounded ranking that says so."""
-    return S.bounded_ranking(_weighted(_docs(spark, d)), "mots", "doc", ["maintenance"]).select("rang", "id", "score", "candidats_examines", "classement_approche")
+    return X.bounded_ranking(_ix(spark, d), _now(spark, d), ["maintenance"]).select("rang", "id", F.round("score", 6).alias("score"), "candidats_examines", "classement_approche")
 
 
 def vocabulaire(spark, d):
@@ -226,15 +254,21 @@ def delais(spark, d):
 _NOW = "marches where donneesActuelles"
 _STOP = "[" + ", ".join(f"'{w}'" for w in S.STOP) + "]"
 _TOK = f"list_filter(string_split(coalesce({O.FOLD.format('objet')}, ''), ' '), lambda w: w <> '' and not list_contains({_STOP}, w))"
-_DOC = f"docs as (select *, {_TOK} as mots from {_NOW})"
+# Words of one lexeme, of those that the queries ask for, cut ones included.
+_FAMILIES = {"mainten": "^mainten(|e|a|ances?|ants?|antes?|ir|ait|aient|i)$", "ecol": "^ecol(|e|es)$", "ascenseur": "^ascenseurs?$", "toitur": "^toitur(|e|es)$", "prestat": "^prestat(|i|ions?)$", "introuv": "^introuv(|ables?)$"}
+_STEM = "case " + " ".join(f"when regexp_matches(w, '{p}') then '{s}'" for s, p in _FAMILIES.items()) + " else '=' || w end"
+_TOK_OF = lambda c: f"list_transform(list_filter(string_split(coalesce({O.FOLD.format(c)}, ''), ' '), lambda w: w <> '' and not list_contains({_STOP}, w)), lambda w: {_STEM})"
+_DOC = f"docs as (select *, {_TOK_OF('objet')} as mots, {_TOK_OF('acheteur_nom')} || {_TOK_OF('titulaire_nom')} as noms from {_NOW})"
+_WORDS = f"docs as (select *, {_TOK} as mots from {_NOW})"
+_ASKED = {"maintenance": "mainten", "ecole": "ecol", "ascenseurs": "ascenseur", "toiture": "toitur", "prestation": "prestat", "introuvable": "introuv"}
 
 
 def _all_terms(terms: list[str]) -> str:
-    return " and ".join(f"list_contains(mots, '{t}')" for t in terms)
+    return " and ".join(f"list_contains(mots, '{_ASKED[t]}')" for t in terms)
 
 
 def _bm(terms: list[str]) -> str:
-    part = []
+    part, terms = [], [_ASKED[t] for t in terms]
     for t in terms:
         tf = f"len(list_filter(mots, lambda w: w = '{t}'))"
         part.append(f"ln((n - df_{t} + 0.5) / (df_{t} + 0.5) + 1.0) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(mots) / l))")
@@ -243,15 +277,18 @@ def _bm(terms: list[str]) -> str:
 
 ORACLES = {
     "recherche_et": f"with {_DOC} select id, objet from docs where {_all_terms(TERMS)}",
-    "recherche_ou": f"with {_DOC} select id from docs where list_contains(mots, 'maintenance') or list_contains(mots, 'ecole')",
-    "recherche_web": f"with {_DOC} select id from docs where (list_contains(mots, 'ascenseurs') or list_contains(mots, 'toiture')) and not list_contains(mots, 'ecole') and contains(' ' || array_to_string(mots, ' ') || ' ', ' prestation maintenance ')",
-    "recherche_cascade": f"with {_DOC}, b as (select id from docs where {_all_terms(['ascenseurs', 'toiture', 'introuvable'])}) select id, 'et' as mode from b union all select id, 'ou' from docs where (select count(*) from b) = 0 and (list_contains(mots, 'ascenseurs') or list_contains(mots, 'toiture') or list_contains(mots, 'introuvable'))",
+    "recherche_ou": f"with {_DOC} select id from docs where list_contains(mots, 'mainten') or list_contains(mots, 'ecol')",
+    "recherche_web": f"with {_DOC} select id from docs where (list_contains(mots, 'ascenseur') or list_contains(mots, 'toitur')) and not list_contains(mots, 'ecol') and contains(' ' || array_to_string(mots, ' ') || ' ', ' prestat mainten ')",
+    "recherche_cascade": f"with {_DOC}, b as (select id from docs where {_all_terms(['ascenseurs', 'toiture', 'introuvable'])}) select id, 'et' as mode from b union all select id, 'ou' from docs where (select count(*) from b) = 0 and (list_contains(mots, 'ascenseur') or list_contains(mots, 'toitur') or list_contains(mots, 'introuv'))",
     "recherche_bm25": _bm(TERMS),
-    "recherche_page": f"with {_DOC} select id, montant from docs where list_contains(mots, 'maintenance') order by montant desc nulls last, id limit 11 offset 10",
+    "recherche_page": f"with {_DOC} select id, montant from docs where list_contains(mots, 'mainten') order by montant desc nulls last, id limit 11 offset 10",
     "liste_recente": f"select id, date_notification, cast(null as bigint) as candidats, 0.0 as score from {_NOW} and annee = 2019 and montant >= 1000 order by date_notification desc nulls first, id desc limit 20",
     "filtres_api": f"select id, montant from {_NOW} and annee = 2020 and montant between 10000 and 500000 and offre_unique",
-    "classement_borne": f"with {_DOC}, c as (select id from docs where list_contains(mots, 'maintenance') order by date_notification desc nulls last, id desc limit 100) select id, count(*) over () as candidats_examines, count(*) over () >= 100 as classement_approche from c",
-    "vocabulaire": f"with {_DOC} select lexeme, count(*) as marches, (select count(*) from docs) as echantillon from (select unnest(list_distinct(mots)) as lexeme from docs) group by 1",
+    "classement_borne": f"with {_DOC}, c as (select id, montant, mots, noms from docs where list_contains(mots, 'mainten') order by date_notification desc nulls last, id desc limit 5000), s as (select id, montant, round(len(list_filter(mots, lambda w: w = 'mainten')) + 0.4 * len(list_filter(noms, lambda w: w = 'mainten')), 6) as score from c) select row_number() over (order by score desc, montant desc nulls last, id) as rang, id, cast(score as double) as score, count(*) over () as candidats_examines, count(*) over () >= 5000 as classement_approche from s",
+    "index_recherche": f"with {_DOC} select 'A' as poids, count(*) as documents, sum(len(mots)) as mots from docs union all select 'B', count(*), sum(len(noms)) from docs",
+    "recherche_densite_un_mot": f"with {_DOC} select id, round(len(list_filter(mots, lambda w: w = 'toitur')) + 0.4 * len(list_filter(noms, lambda w: w = 'toitur')), 6) as score from docs where list_contains(mots, 'toitur') or list_contains(noms, 'toitur')",
+    "preuve_accents": f"with {_DOC} select demande, lexeme, (select count(*) from docs where list_contains(mots, lexeme)) as marches, (select count(*) from docs) as echantillon from (values ('école', 'ecol'), ('Écoles', 'ecol'), ('ECOLE', 'ecol'), ('maintenance', 'mainten'), ('Maintenances', 'mainten'), ('toiture', 'toitur'), ('ascenseurs', 'ascenseur')) v(demande, lexeme)",
+    "vocabulaire": f"with {_WORDS} select lexeme, count(*) as marches, (select count(*) from docs) as echantillon from (select unnest(list_distinct(mots)) as lexeme from docs) group by 1",
     "citations": f"select acheteur_siret, list(id order by montant desc, id) as ids from (select acheteur_siret, id, montant, row_number() over (partition by acheteur_siret order by montant desc, id) as k from {_NOW} and montant is not null and acheteur_siret is not null) where k <= 3 group by 1",
     "premiers_titulaires": f"select titulaire_nom, count(*) as marches, {O.half('sum(montant)', 2)} as total from {_NOW} and titulaire_nom is not null group by 1 order by marches desc, total desc nulls last, titulaire_nom limit 10",
     "extraits_montant": f"select id, montant, coalesce(acheteur_region_nom, '(inconnue)') as region from {_NOW} and montant < 1e9 order by montant desc, id limit 10",
@@ -273,4 +310,4 @@ ORACLES = {
     "phrase_mediane": f"with x as (select famille_cpv, median(montant) as m from {_NOW} and montant > 0 group by 1), t as (select median(montant) as t from {_NOW} and montant > 0) select famille_cpv, case famille_cpv when '33' then 'Matériels médicaux' when '45' then 'Travaux' when '79' then 'Services aux entreprises' else coalesce('Division ' || famille_cpv, 'Famille non precisee') end as libelle, case when m / t >= 2 then 'fois la médiane' when m / t > 1.05 then 'au-dessus de la médiane' when m / t < 0.95 then 'en dessous de la médiane' else 'proche de la médiane' end as phrase from x, t",
 }
 ORACLES = O.typed(ORACLES)
-QUERIES = {n: globals()[n] for n in [*ORACLES, "recherche_densite", "nombres_francais"]}
+QUERIES = {n: globals()[n] for n in [*ORACLES, "recherche_densite", "vocabulaire_lexemes", "nombres_francais"]}

@@ -6,13 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ardoise.functions.columns import half_up
-from ardoise.functions.stem import RULES, lexemes, trigrams
-from ardoise.functions.text import fold
+from ardoise.functions.text import fold, trigrams
 from ardoise.operators import search as S
 from ardoise.operators.layers import current
 from ardoise.operators.linking import jaccard
 from ardoise.plans import oracle as O
-from ardoise.plans.search import _DOC
+from ardoise.plans.search import _WORDS as _DOC
 from ardoise.session import table
 
 
@@ -20,12 +19,6 @@ def _docs(spark, d):
     return current(table(spark, d, "marches")).withColumn("mots", S.tokens(F.col("objet")))
 
 
-def lexemes_frequences(spark, d):
-    """FTS-1, FTS-11: document frequency of stems after folding and stop words."""
-    x = _docs(spark, d).select(F.explode(F.array_distinct(lexemes(F.col("mots")))).alias("lexeme"))
-    return x.groupBy("lexeme").agg(F.count(F.lit(1)).alias("marches"))
-
-
 def noms_trigrammes(spark, d):
     """FTS-10: notices and contracts of one family whose buyers' names share most three-letter pieces, by town."""
     a = table(spark, d, "avis").filter("ville is not null and acheteur_nom is not null").select("idweb", "ville", trigrams(fold(F.col("acheteur_nom"))).alias("t"))
@@ -99,17 +92,9 @@ def ensembles_de_groupes(spark, d):
     return x.cube("acheteur_categorie", "annee").agg(F.count(F.lit(1)).alias("marches"), F.grouping_id().cast("long").alias("niveau"))
 
 
-def _stem(c: str) -> str:
-    out = c
-    for pattern, kept in RULES:
-        out = f"regexp_replace({out}, '{pattern}', '{kept.replace('$1', chr(92) + '1')}')"
-    return f"case when length({c}) >= 5 then {out} else {c} end"
-
-
 _RAW = f"list_filter(string_split(coalesce({O.FOLD.format('objet')}, ''), ' '), lambda w: w <> '')"
 _TRI = "list_distinct(flatten(list_transform(list_filter(string_split(coalesce({0}, ''), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 ORACLES = O.typed({
-    "lexemes_frequences": f"with {_DOC} select lexeme, count(*) as marches from (select unnest(list_distinct(list_transform(mots, lambda w: {_stem('w')}))) as lexeme from docs) group by 1",
     "noms_trigrammes": f"with a as (select idweb, ville, {_TRI.format(O.FOLD.format('acheteur_nom'))} as t from (select *, row_number() over (partition by idweb order by 1) as k from avis where ville is not null and acheteur_nom is not null) where k = 1), b as (select ville, {_TRI.format(O.FOLD.format('acheteur_nom'))} as u from (select distinct acheteur_commune_nom as ville, acheteur_nom from marches where acheteur_commune_nom is not null and acheteur_nom is not null)), x as (select idweb, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) as s from a join b using (ville)) select idweb, count(*) as noms, round(max(s), 6) as meilleur from x where s > 0.5 group by 1",
     "effet_mots_vides": f"with x as (select {_RAW} as w from marches where donneesActuelles) select count(*) filter (where list_has_all(w, ['marches', 'pour', 'la', 'maintenance', 'd', 'une', 'ecole'])) as brute, count(*) filter (where list_has_all(w, ['maintenance', 'ecole'])) as nettoyee from x",
     "seuils_frequence": f"with {_DOC}, f as (select count(*) / (select count(*) from docs) as f from (select unnest(list_distinct(mots)) as mot from docs) group by mot) select cast(a as double) as au_moins, count(*) filter (where f >= a and f <= 0.05) as jusqu_5, count(*) filter (where f >= a and f <= 0.12) as jusqu_12, count(*) filter (where f >= a and f <= 0.5) as jusqu_50 from f, (values (0.0005), (0.001), (0.005)) v(a) group by 1",

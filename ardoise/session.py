@@ -44,6 +44,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Marks a path of the shared folder as ours: it is removed when the driver ends."""
+    _written.append((spark, path))
+
+
 def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` written and counted: broadcast if it has at most ``rows`` rows, else left to a shuffled join."""
     kept = materialise(df, name)
