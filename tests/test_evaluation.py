@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pytest
 
-from ardoise.operators import assistant as A
 from ardoise.operators import evaluation as E
 from ardoise.operators import linking as L
 
@@ -45,18 +44,6 @@ def test_threshold_grid_and_budgets_equal_brute_force(spark):
     assert got == {10: pytest.approx(10.0 * sum(j for _, _, j in top[:10]), abs=1e-4), 1000: 0.0}
 
 
-def test_reading_questions():
-    lex = A.Lexicons(("Pays de Haut", "Haut"), ("Val",), 2015, 2024, {"ascenseurs": 0.01, "travaux": 0.5, "ecole": 0.02})
-    q = A.read_question("Quels titulaires pour les ascenseurs en Pays de Haut en 2019 ?", lex)
-    assert (q.intent, q.terms, q.year, q.region, q.refusal) == ("titulaires", ("ascenseurs",), 2019, "Pays de Haut", None)
-    assert A.read_question("Combien de marchés école, Val", lex).department == "Val"
-    assert A.read_question("Qui est corrompu ?", lex).refusal is None or A.read_question("Acheteurs corrompus ?", lex).refusal == "jugement"
-    assert A.read_question("ascenseurs 1999", lex).refusal == "annee hors des donnees"
-    assert A.read_question("zzz qqq", lex).refusal == "mots inconnus" and A.read_question("combien de marchés ?", lex).refusal == "aucun critere"
-    with pytest.raises(ValueError):
-        A.condition(A.Question("comptage"))
-
-
 def test_levels_of_linking(spark):
     import datetime as dt
 
