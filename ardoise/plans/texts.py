@@ -15,6 +15,10 @@ from ardoise.plans.search import _WORDS as _DOC
 from ardoise.session import table
 
 
+# Rows of one contract that its page shows.
+SHOWN_ROWS = 200
+
+
 def _docs(spark, d):
     return current(table(spark, d, "marches")).withColumn("mots", S.tokens(F.col("objet")))
 
@@ -69,7 +73,7 @@ def fiche_contrat(spark, d):
     m = table(spark, d, "marches").filter("marche_id is not null")
     # The contract with most rows, the smaller number first.
     most = m.groupBy("marche_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "marche_id").limit(1).select("marche_id")
-    return m.join(F.broadcast(most), "marche_id", "left_semi").orderBy("titulaire_nom", "id").limit(200).select("id", "titulaire_nom", "montant")
+    return m.join(F.broadcast(most), "marche_id", "left_semi").orderBy("titulaire_nom", "id").limit(SHOWN_ROWS).select("id", "titulaire_nom", "montant")
 
 
 def part_du_total(spark, d):

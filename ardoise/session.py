@@ -21,12 +21,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; made only where unset."""
+    """The folder that driver and executors share, from the session; made only where unset on one machine, an error on a cluster."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ardoise-")
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        named = tempfile.mkdtemp(prefix="ardoise-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -56,8 +60,10 @@ def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 @atexit.register
-def _remove() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Removes the intermediate tables written so far; frames that still read them no longer work."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

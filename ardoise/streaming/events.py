@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ardoise.session import shared_folder, table
+from ardoise.session import keep, shared_folder, table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -41,10 +42,14 @@ def run_available(df: DataFrame, handle: Callable[[DataFrame, int], None], name:
 
 
 def complete(df: DataFrame, name: str) -> DataFrame:
-    """The complete result of a streaming aggregate over what is there now, as a table."""
-    import uuid
+    """The complete result of a streaming aggregate over what is there now, as a written table that each batch replaces."""
+    spark = df.sparkSession
+    base = f"{shared_folder(spark)}/flux-{name}-{uuid.uuid4().hex}"
+    keep(spark, base)
 
-    spark, view = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
-    q = df.writeStream.outputMode("complete").format("memory").queryName(view).option("checkpointLocation", f"{shared_folder(spark)}/flux-{view}").trigger(availableNow=True).start()
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/table")
+
+    q = df.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/points").trigger(availableNow=True).foreachBatch(replace).start()
     q.awaitTermination()
-    return spark.table(view)
+    return spark.read.schema(df.schema).parquet(f"{base}/table")
