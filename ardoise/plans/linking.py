@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
 
 from ardoise.functions.columns import half_up
 from ardoise.operators import linking as L
+from ardoise.operators import search as S
+from ardoise.operators.layers import current
 from ardoise.plans import oracle as O
-from ardoise.session import shared_folder, table
+from ardoise.plans.search import _WORDS as _WORDS_OF_SUBJECTS
+from ardoise.session import keep, shared_folder, table
 from ardoise.sources import collect, publish
 from ardoise.streaming import events as E
 
@@ -39,7 +43,7 @@ def liens_entonnoir(spark, d):
 
 def liens_balayage(spark, d):
     """LNK-4."""
-    return L.sweep(_n(spark, d), _m(spark, d), [90, 180, 365, 540], [0.2, 0.3, 0.4, 0.5, 0.6, 0.7])
+    return L.sweep(_n(spark, d), _m(spark, d), [180, 360, 540, 720, 1080], [0.2, 0.3, 0.4, 0.5, 0.6, 0.7])
 
 
 def liens_echantillon(spark, d):
@@ -50,13 +54,18 @@ def liens_echantillon(spark, d):
 def liens_nombre_candidats(spark, d):
     """LNK-6: upper median and maximum of the candidates."""
     x = L.levels(_n(spark, d), _m(spark, d)).filter("candidats > 0")
-    w = x.select("candidats", F.row_number().over(L.Window.orderBy("candidats")).alias("k"), F.count(F.lit(1)).over(L.Window.partitionBy()).alias("n"))
-    return w.agg(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("candidats"))).alias("mediane_haute"), F.max("candidats").alias("maximum"))
+    # The window runs over one row for each number of candidates.
+    per = x.groupBy("candidats").agg(F.count(F.lit(1)).alias("k"))
+    w = per.select("candidats", F.sum("k").over(L.Window.orderBy("candidats")).alias("jusqu"), F.sum("k").over(L.Window.partitionBy()).alias("n"))
+    return w.agg(F.min(F.when(F.col("jusqu") >= F.floor(F.col("n") / 2) + 1, F.col("candidats"))).alias("mediane_haute"), F.max("candidats").alias("maximum"))
 
 
 def liens_difflib(spark, d):
-    """STR-10."""
-    return L.difflib_ratio(table(spark, d, "verdicts_rapprochement").select("idweb", "objet_boamp", "objet_decp"), "objet_boamp", "objet_decp")
+    """STR-10: of every notice the candidate of the band join whose subject is most similar; equal ones by the smaller id."""
+    n = _n(spark, d).filter("idweb is not null").dropDuplicates(["idweb"])
+    x = L.candidates(n, _m(spark, d)).select("idweb", "id").join(n.select("idweb", "objet_boamp"), "idweb").join(_m(spark, d).select("id", F.col("objet").alias("objet_decp")), "id")
+    best = F.max_by(F.struct("id", "ratio"), F.struct("ratio", -F.col("id")))
+    return L.difflib_ratio(x, "objet_boamp", "objet_decp").filter("ratio is not null").groupBy("idweb").agg(best.alias("b")).select("idweb", "b.*")
 
 
 def verdicts_tableau(spark, d):
@@ -90,21 +99,29 @@ def sonde_cle_exacte(spark, d):
 
 
 def manifeste(spark, d):
-    """SNK-7: an upserted manifest over the data's own files."""
-    old = spark.createDataFrame([("2026-09-20", "decp", "a.parquet", 10), ("2026-09-20", "boamp", "b.jsonl", 20)], "jour string, source string, fichier string, octets long")
-    new = spark.createDataFrame([("2026-09-20", "decp", "a2.parquet", 11), ("2026-09-21", "decp", "c.parquet", 12)], "jour string, source string, fichier string, octets long")
+    """SNK-7: one entry per day and source of publication; what the later lots delivered replaces what the earlier ones did."""
+    entry = _m(spark, d).groupBy(F.date_format("date_publication", "yyyy-MM-dd").alias("jour"), "source", (F.col("lot") >= 10).alias("tard")).agg(F.min("lot").alias("premier_lot"), F.count(F.lit(1)).alias("lignes"))
+    old, new = (entry.filter(c).drop("tard").filter("jour is not null and source is not null") for c in ("not tard", "tard"))
     return collect.upsert_manifest(old, new)
 
 
 def api_paginee(spark, d):
-    """SRC-7, SRC-6: a paged source read as partitions (a stated generator stands for the remote service)."""
+    """SRC-7, SRC-6: notices fetched page by page in lanes until an empty page; the dates are filtered by the service.
+
+    The table of notices stands for the service: each page is a slice of it, cut where the page is asked for.
+    """
+    path, first, end = f"{d}/avis.parquet", datetime.date(2019, 1, 1), datetime.date(2021, 1, 1)
 
     def fetch(offset: int, size: int) -> list[dict]:
-        return [{"idweb": f"x{k}", "n": k} for k in range(offset, min(offset + size, 250))]
+        import pyarrow.dataset as ds
+
+        when = ds.field("date_parution")
+        held = ds.dataset(path).to_table(columns=["idweb", "date_parution", "montant_estime"], filter=(when >= first) & (when < end), use_threads=False)
+        return held.slice(offset, size).to_pylist()
 
-    spark.dataSource.register(collect.paged_source("ardoise_pages", fetch, 250))
-    doc = spark.read.format("ardoise_pages").load()
-    return doc.select(F.get_json_object("document", "$.idweb").alias("idweb"), F.get_json_object("document", "$.n").cast("int").alias("n"))
+    spark.dataSource.register(collect.paged_source("ardoise_avis", fetch))
+    doc = spark.read.format("ardoise_avis").load()
+    return doc.select(F.get_json_object("document", "$.idweb").alias("idweb"), F.get_json_object("document", "$.date_parution").cast("date").alias("date_parution"), F.get_json_object("document", "$.montant_estime").cast("double").alias("montant_estime"))
 
 
 def aller_retour(spark, d):
@@ -114,6 +131,28 @@ def aller_retour(spark, d):
     return spark.read.parquet(path).groupBy("lot").agg(F.count(F.lit(1)).alias("n"), F.max("montant").alias("m"))
 
 
+def statistiques_remplacees(spark, d):
+    """SNK-8: figures of the first lots, then those of all lots over them: years that are there are replaced, new ones added."""
+    def figures(lots):
+        return current(_m(spark, d)).filter(f"annee is not null and lot < {lots}").groupBy("annee").agg(F.count(F.lit(1)).alias("marches"), F.max("montant").alias("plus_grand"))
+
+    path = f"{shared_folder(spark)}/statistiques-{uuid.uuid4().hex}"
+    keep(spark, path)
+    publish.replace_rows(spark, path, figures(5), ["annee"])
+    publish.replace_rows(spark, path, figures(10_000), ["annee"])
+    return spark.read.parquet(path)
+
+
+def vocabulaire_recharge(spark, d):
+    """SNK-9: a vocabulary emptied and filled again."""
+    path = f"{shared_folder(spark)}/vocabulaire-{uuid.uuid4().hex}"
+    keep(spark, path)
+    x = current(_m(spark, d)).withColumn("mots", S.tokens(F.col("objet")))
+    publish.reload(S.vocabulary(x.filter("lot < 5"), "mots"), path)
+    publish.reload(S.vocabulary(x, "mots"), path)
+    return spark.read.parquet(path)
+
+
 def echantillon_blocs(spark, d):
     """SRC-13: a seeded sample."""
     return _m(spark, d).sample(0.05, 42).select("id")
@@ -132,6 +171,7 @@ def flux_sessions(spark, d):
 
 
 _FB = O.FOLD
+S_VOCABULARY = f"with {_WORDS_OF_SUBJECTS} select lexeme, count(*) as marches, (select count(*) from docs) as echantillon from (select unnest(list_distinct(mots)) as lexeme from docs) group by 1"
 _WORDS = "list_distinct(list_filter(string_split(coalesce({0}, ''), ' '), lambda w: length(w) > 2))"
 _C = (
     f"n0 as (select *, row_number() over (partition by idweb order by 1) as k from avis where idweb is not null), n as (select idweb, {_FB.format('acheteur_nom')} as a, date_parution as p, {_WORDS.format(_FB.format('objet_boamp'))} as mn, {_FB.format('titulaire_nom')} as tn from n0 where k = 1), "
@@ -144,7 +184,7 @@ ORACLES = {
     "liens_candidats": f"with {_C} select * from cand",
     "liens_niveaux": f"with {_C} select * from lev",
     "liens_entonnoir": f"with {_C} select r as niveau, count(*) filter (where lev.niveau >= r) as avis, {O.half('100.0 * count(*) filter (where lev.niveau >= r) / count(*)', 2)} as part from lev, range(0, 5) t(r) group by 1",
-    "liens_balayage": f"with {_C}, g as (select w, t from (values (90), (180), (365), (540)) a(w), (values (0.2), (0.3), (0.4), (0.5), (0.6), (0.7)) b(t)) select w as fenetre, t as seuil, (select count(*) from (select idweb from cand where jours <= w group by 1 having max(similarite) > t)) as lies from g",
+    "liens_balayage": f"with {_C.replace('p + 540', 'p + 1080')}, g as (select w, t from (values (180), (360), (540), (720), (1080)) a(w), (values (0.2), (0.3), (0.4), (0.5), (0.6), (0.7)) b(t)) select w as fenetre, t as seuil, (select count(*) from (select idweb from cand where jours <= w group by 1 having max(similarite) > t)) as lies from g",
     "liens_echantillon": f"with {_C} select bande, idweb, similarite from (select cast(floor(least(round(similarite * 10, 6), 9.0)) as int) as bande, idweb, similarite, row_number() over (partition by floor(least(round(similarite * 10, 6), 9.0)) order by idweb) as k from lev where similarite >= 0.4) where k <= 12",
     "liens_nombre_candidats": f"with {_C}, x as (select candidats, row_number() over (order by candidats) as k, count(*) over () as n from lev where candidats > 0) select max(case when k = n // 2 + 1 then candidats end) as mediane_haute, max(candidats) as maximum from x",
     "verdicts_tableau": f"with {_V} select tranche, oui, non, doute, {O.half('100.0 * oui / nullif(oui + non, 0)', 4)} as justesse from v",
@@ -152,8 +192,10 @@ ORACLES = {
     "verdicts_titulaire": f"select count(*) as n, {O.half(chr(39).join(['100.0 * count(*) filter (where verdict_humain = ', 'oui', ') / count(*)']), 4)} as part from verdicts_rapprochement where titulaire_concorde = 'oui' and verdict_humain in ('oui', 'non')",
     "avis_par_annee": "select year(date_parution) as annee, count(*) as avis, min(date_parution) as premier, max(date_parution) as dernier, count(*) filter (where date_parution > date '2020-06-30') as ouverts from avis group by 1",
     "sonde_cle_exacte": "with s as (select distinct marche_id from signaux) select (select count(*) from marches m join s on m.uid = s.marche_id) as exactes, (select count(*) from marches m join s on split_part(m.uid, '/', -1) = s.marche_id where contains(m.uid, '/')) as contenues",
-    "manifeste": "select * from (values ('2026-09-20', 'boamp', 'b.jsonl', 20), ('2026-09-20', 'decp', 'a2.parquet', 11), ('2026-09-21', 'decp', 'c.parquet', 12)) t(jour, source, fichier, octets)",
-    "api_paginee": "select 'x' || k as idweb, k as n from range(0, 250) t(k)",
+    "manifeste": "with e as (select strftime(date_publication, '%Y-%m-%d') as jour, source, lot >= 10 as tard, min(lot) as premier_lot, count(*) as lignes from marches where date_publication is not null and source is not null group by all) select jour, source, premier_lot, lignes from e a where tard or not exists (select 1 from e b where b.jour = a.jour and b.source = a.source and b.tard)",
+    "api_paginee": "select idweb, date_parution, montant_estime from avis where date_parution >= date '2019-01-01' and date_parution < date '2021-01-01'",
+    "statistiques_remplacees": "select annee, count(*) as marches, max(montant) as plus_grand from marches where donneesActuelles and annee is not null group by 1",
+    "vocabulaire_recharge": S_VOCABULARY,
     "aller_retour": "select lot, count(*) as n, max(montant) as m from marches group by 1",
     "flux_fenetres": "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as debut, event_type, count(*) as n from events group by 1, 2",
     "flux_sessions": "with x as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as s from events) select user_id, sum(s) as sessions, count(*) as evenements from x group by 1",

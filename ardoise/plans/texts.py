@@ -13,6 +13,7 @@ from ardoise.operators.linking import jaccard
 from ardoise.plans import oracle as O
 from ardoise.plans.search import _WORDS as _DOC
 from ardoise.session import table
+from ardoise.sources import collect
 
 
 # Rows of one contract that its page shows.
@@ -50,10 +51,13 @@ def seuils_frequence(spark, d):
 
 
 def catalogue(spark, d):
-    """SRC-9, SRC-16: the address of one titled resource in a catalogue document."""
-    doc = spark.createDataFrame([('{"resources": [{"title": "autre.csv", "url": "u1"}, {"title": "decp.parquet", "url": "u2"}]}',)], "document string")
-    r = F.from_json("document", "resources array<struct<title string, url string>>")["resources"]
-    return doc.select(F.explode(r).alias("r")).filter("r.title = 'decp.parquet'").select("r.url")
+    """SRC-9, SRC-16: the address of the resource with each title, as a catalogue resolves it (an absent title is an error)."""
+    pages = table(spark, d, "documents").filter("titre is not null and url is not null")
+    titles = pages.groupBy("titre").agg(F.min("url").alias("url"), F.count(F.lit(1)).alias("ressources"))
+    one = titles.orderBy("titre").first()
+    if one is not None and collect.resource(pages, one.titre) != one.url:
+        raise AssertionError("the catalogue resolves a title in two ways")
+    return titles
 
 
 def fiche_entreprise(spark, d):
@@ -102,7 +106,7 @@ ORACLES = O.typed({
     "noms_trigrammes": f"with a as (select idweb, ville, {_TRI.format(O.FOLD.format('acheteur_nom'))} as t from (select *, row_number() over (partition by idweb order by 1) as k from avis where ville is not null and acheteur_nom is not null) where k = 1), b as (select ville, {_TRI.format(O.FOLD.format('acheteur_nom'))} as u from (select distinct acheteur_commune_nom as ville, acheteur_nom from marches where acheteur_commune_nom is not null and acheteur_nom is not null)), x as (select idweb, len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) as s from a join b using (ville)) select idweb, count(*) as noms, round(max(s), 6) as meilleur from x where s > 0.5 group by 1",
     "effet_mots_vides": f"with x as (select {_RAW} as w from marches where donneesActuelles) select count(*) filter (where list_has_all(w, ['marches', 'pour', 'la', 'maintenance', 'd', 'une', 'ecole'])) as brute, count(*) filter (where list_has_all(w, ['maintenance', 'ecole'])) as nettoyee from x",
     "seuils_frequence": f"with {_DOC}, f as (select count(*) / (select count(*) from docs) as f from (select unnest(list_distinct(mots)) as mot from docs) group by mot) select cast(a as double) as au_moins, count(*) filter (where f >= a and f <= 0.05) as jusqu_5, count(*) filter (where f >= a and f <= 0.12) as jusqu_12, count(*) filter (where f >= a and f <= 0.5) as jusqu_50 from f, (values (0.0005), (0.001), (0.005)) v(a) group by 1",
-    "catalogue": "select 'u2' as url",
+    "catalogue": "select titre, min(url) as url, count(*) as ressources from documents where titre is not null and url is not null group by 1",
     "fiche_entreprise": "select titulaire_siret, titulaire_nom, titulaire_categorie from (select *, row_number() over (partition by titulaire_siret order by id) as k from marches where titulaire_siret is not null) where k = 1",
     "compte_metadonnees": "select count(*) as lignes from marches",
     "fiche_contrat": "select id, titulaire_nom, montant from marches where marche_id = (select marche_id from marches where marche_id is not null group by 1 order by count(*) desc, marche_id limit 1) order by titulaire_nom, id limit 200",

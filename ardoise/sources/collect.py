@@ -56,6 +56,14 @@ def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("jour", "source"), ["jour", "source"], "left_anti").unionByName(new).orderBy("jour", "source")
 
 
+def resource(catalogue: DataFrame, title: str) -> str:
+    """SRC-9: the address of the resource of a catalogue (titre, url) with exactly this title; raises if there is none."""
+    found = catalogue.filter(F.col("titre") == title).agg(F.min("url")).first()[0]
+    if found is None:
+        raise LookupError(title)
+    return found
+
+
 def verify(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     """Manifest entries with ``intact``: whether the file is there with the same fingerprint."""
     seen = actual.select("fichier", F.col("sha256").alias("_vu"))
@@ -87,27 +95,32 @@ def pages(fetch: Callable[[int, int], list[dict]], most: int | None = None, size
         offset += size
 
 
-class _Page(InputPartition):
-    def __init__(self, offset: int, size: int):
-        self.offset, self.size = offset, size
+class _Lane(InputPartition):
+    def __init__(self, first: int):
+        self.first = first
 
 
 class _PageReader(DataSourceReader):
-    def __init__(self, fetch: Callable[[int, int], list[dict]], total: int, size: int):
-        self.fetch, self.total, self.size = fetch, total, size
+    def __init__(self, fetch: Callable[[int, int], list[dict]], lanes: int, size: int):
+        self.fetch, self.lanes, self.size = fetch, lanes, size
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(o, self.size) for o in range(0, self.total, self.size)]
+        return [_Lane(k) for k in range(self.lanes)]
 
-    def read(self, partition: _Page) -> Iterator[tuple]:
-        for r in with_retry(lambda: self.fetch(partition.offset, partition.size)):
-            yield (json.dumps(r, ensure_ascii=False),)
+    def read(self, partition: _Lane) -> Iterator[tuple]:
+        page = partition.first
+        while rows := with_retry(lambda: self.fetch(page * self.size, self.size)):
+            for r in rows:
+                yield (json.dumps(r, ensure_ascii=False, default=str),)
+            page += self.lanes
 
 
-def paged_source(name: str, fetch: Callable[[int, int], list[dict]], total: int, size: int = PAGE_SIZE) -> type[DataSource]:
-    """A Spark data source over a paged API: one input partition per page, fetched by the executors.
+def paged_source(name: str, fetch: Callable[[int, int], list[dict]], lanes: int = 4, size: int = PAGE_SIZE) -> type[DataSource]:
+    """A Spark data source over a paged API whose number of rows is not known.
 
-    Register with ``spark.dataSource.register(...)``, then ``spark.read.format(name).load()``.
+    The executors fetch in ``lanes``: lane k takes pages k, k + lanes, ... until its first empty page.
+    What the service is to filter, ``fetch(offset, size)`` asks of it.  Register with
+    ``spark.dataSource.register(...)``, then ``spark.read.format(name).load()``.
     """
 
     class Paged(DataSource):
@@ -119,6 +132,6 @@ def paged_source(name: str, fetch: Callable[[int, int], list[dict]], total: int,
             return "document string"
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return _PageReader(fetch, total, size)
+            return _PageReader(fetch, lanes, size)
 
     return Paged

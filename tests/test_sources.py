@@ -58,21 +58,62 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "r.csv").read_bytes() == b"x,y\n1,a\n2,\n"
     with pytest.raises(ValueError):
         P.report_csv(df, str(tmp_path / "r.csv"), most=1)
-    P.report_json({"jour": "j"}, {"m": df}, str(tmp_path / "r.json"))
+    P.report_json({"jour": "j"}, {"m": ("combien ?", df)}, str(tmp_path / "r.json"))
     assert '"mesures"' in (tmp_path / "r.json").read_text()
+    assert (tmp_path / "r.csv").read_text() == "mesure,ligne,colonne,valeur\nm,0,x,1\nm,0,y,a\nm,1,x,2\nm,1,y,\n"
 
 
 def test_a_json_report_is_whole_or_refused(spark, tmp_path):
     import json
 
     path = tmp_path / "r.json"
-    P.report_json({}, {"m": spark.range(1000)}, str(path))
-    assert len(json.loads(path.read_text())["mesures"]["m"]) == 1000
+    P.report_json({}, {"m": ("q", spark.range(1000))}, str(path))
+    kept = json.loads(path.read_text())["mesures"]["m"]
+    assert len(kept["lignes"]) == 1000 and kept["question"] == "q" and kept["duree_s"] >= 0
     with pytest.raises(ValueError, match="more than 1000 rows in n"):
-        P.report_json({}, {"m": spark.range(2), "n": spark.range(1001)}, str(path))
+        P.report_json({}, {"m": ("q", spark.range(2)), "n": ("q", spark.range(1001))}, str(path))
     assert list(json.loads(path.read_text())["mesures"]) == ["m"]
 
 
+def test_rows_are_replaced_by_key_and_tables_filled_again(spark, tmp_path):
+    path = str(tmp_path / "stat")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    for new, want in ((rows((1, "a"), (2, "b")), {(1, "a"), (2, "b")}), (rows((2, "c"), (3, "d")), {(1, "a"), (2, "c"), (3, "d")}), (rows((1, "z")).limit(0), {(1, "a"), (2, "c"), (3, "d")})):
+        P.replace_rows(spark, path, new, ["k"])
+        assert {tuple(r) for r in spark.read.parquet(path).collect()} == want
+    P.reload(rows((9, "x")), path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [(9, "x")]
+
+
+def test_a_row_store_is_read_in_ranges_and_refuses_a_second_load(spark):
+    url = "jdbc:derby:memory:essai;create=true"
+    df = spark.range(250).selectExpr("id as n", "concat('x', id) as nom", "id % 7 as reste")
+    P.jdbc_publish(df, url, "marches", ["nom", "n"])
+    back = P.jdbc_read(spark, url, "marches", split=("n", 0, 250, 4))
+    assert back.columns == ["nom", "n"] and back.rdd.getNumPartitions() == 4 and back.count() == 250
+    some = P.jdbc_read(spark, url, "marches").filter("n >= 240")
+    assert some.count() == 10 and "PushedFilters: [*IsNotNull(N), *GreaterThanOrEqual(N,240)]".lower() in some._jdf.queryExecution().toString().lower()
+    with pytest.raises(ValueError, match="has rows already"):
+        P.jdbc_publish(df, url, "marches", ["nom", "n"])
+
+
+def test_lanes_of_pages_end_at_their_first_empty_page(spark):
+    def fetch(offset, size):
+        return [{"n": k} for k in range(offset, min(offset + size, 37))]
+
+    for lanes, size in ((1, 10), (3, 5), (8, 100)):
+        spark.dataSource.register(C.paged_source(f"pages_{lanes}", fetch, lanes, size))
+        got = spark.read.format(f"pages_{lanes}").load().select(F.get_json_object("document", "$.n").cast("int")).collect()
+        assert sorted(r[0] for r in got) == list(range(37))
+
+
+def test_a_catalogue_resolves_exact_titles(spark):
+    c = spark.createDataFrame([("a.csv", "u1"), ("decp.parquet", "u2"), (None, "u3")], "titre string, url string")
+    assert C.resource(c, "decp.parquet") == "u2"
+    with pytest.raises(LookupError):
+        C.resource(c, "absent")
+
+
 def test_columns_are_unified_by_name(spark, tmp_path):
     from ardoise.operators.layers import bronze
 
