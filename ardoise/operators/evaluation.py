@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ from ardoise.functions.columns import half_up, percent
 
 LEAST_GROUP = 30
 LARGEST = 1e12
+# Draws and seed of the bootstrap.
+DRAWS, BOOTSTRAP_SEED = 10_000, 20261021
 
 
 def judged(df: DataFrame) -> DataFrame:
@@ -115,17 +116,24 @@ def exact_intervals(df: DataFrame, k: str, n: str) -> DataFrame:
     return df.mapInPandas(add, f"{', '.join(f'`{c}` {t}' for c, t in df.dtypes)}, bas double, haut double")
 
 
-def stratified_bootstrap(labels: dict[str, list[bool]], weights: dict[str, float], draws: int = 10_000, seed: int = 20261021) -> tuple[float, float, bool]:
+def stratified_bootstrap(labels: dict[str, list[bool]], weights: dict[str, float], draws: int = DRAWS, seed: int = BOOTSTRAP_SEED) -> tuple[float, float, bool]:
     """Interval of a weighted accuracy over judged strata, and whether it is degenerate (no stratum varies).
 
     The judged sample is small by nature (people judged it), so this is driver arithmetic.
     """
-    r, values = random.Random(seed), []
-    total = sum(weights[s] for s in labels)
-    for _ in range(draws):
-        values.append(sum(weights[s] * sum(r.choices(x, k=len(x))) / len(x) for s, x in labels.items()) / total)
-    values.sort()
-    return values[int(0.025 * draws)], values[min(draws - 1, int(0.975 * draws))], all(len(set(x)) == 1 for x in labels.values())
+    r, total = np.random.default_rng(seed), sum(weights[s] for s in labels)
+    # Of a stratum of n with k right, a draw with replacement has a binomial number of right ones.
+    values = sum(weights[s] * r.binomial(len(x), sum(x) / len(x), draws) / len(x) for s, x in sorted(labels.items())) / total
+    values = np.sort(values)
+    return float(values[int(0.025 * draws)]), float(values[min(draws - 1, int(0.975 * draws))]), bool(values[0] == values[-1])
+
+
+def weighted_accuracy(labels: dict[str, list[bool]], sizes: dict[str, int], kept: list[str]) -> float | None:
+    """Accuracy of the kept strata, weighted by their real sizes; None if one of them has no verdict or all are empty."""
+    total = sum(sizes.get(s, 0) for s in kept)
+    if not total or any(not labels.get(s) for s in kept):
+        return None
+    return sum(sizes.get(s, 0) * sum(labels[s]) / len(labels[s]) for s in kept) / total
 
 
 # ---- models ----------------------------------------------------------------------------------
@@ -176,7 +184,7 @@ def _walk(node: tuple, rows: np.ndarray, at: np.ndarray, depth: np.ndarray) -> N
     _walk(node[3], rows, at[~left], depth)
 
 
-def isolation_scores(df: DataFrame, features: list[str], key: str = "id", sample: int = 256 * 100, seed: int = 42) -> DataFrame:
+def isolation_scores(df: DataFrame, features: list[str], key: str = "id", sample: int = 256 * 100, seed: int = 42, trees: int = 100, tree_rows: int = 256) -> DataFrame:
     """(key, score): trees grown on a bounded sample of ``sample`` rows, every row scored.
 
     The sample is the rows with the smallest hash of their key, so it is the same on every run.
@@ -185,7 +193,7 @@ def isolation_scores(df: DataFrame, features: list[str], key: str = "id", sample
     rows = x.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select(*features).toPandas().to_numpy(float)
     if not len(rows):
         return x.select(key, F.lit(None).cast("double").alias("score"))
-    forest = df.sparkSession.sparkContext.broadcast(IsolationForest(seed=seed).fit(rows))
+    forest = df.sparkSession.sparkContext.broadcast(IsolationForest(trees, tree_rows, seed).fit(rows))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from ardoise.functions.columns import half_up, percent, wald, wilson
 from ardoise.operators import evaluation as E
+from ardoise.operators import linking as L
+from ardoise.operators import models as M
 from ardoise.operators.layers import current
+from ardoise.operators.prefix import ranked
 from ardoise.plans import oracle as O
+from ardoise.plans.linking import _C as _LEVELS
 from ardoise.session import materialise, table
 
 THRESHOLDS = [2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0]
@@ -74,60 +78,84 @@ def scores_globaux(spark, d):
     return y.groupBy("famille_cpv").agg(half_up(F.max((F.col("l") - F.col("m")) / F.col("s")), 4).alias("global"), half_up(F.max((F.col("l") - F.col("fm")) / F.col("fs")), 4).alias("famille"), half_up(F.max("z"), 4).alias("robuste"))
 
 
+FEATURES = ["l", "z", "duree_mois", "offres_recues", "l_par_mois"]
+
+
 def jeu_du_modele(spark, d):
-    """STT-11: the features of the model, missing ones 0."""
-    x = _scored(spark, d).select("id", "z").join(table(spark, d, "marches").select("id", "duree_mois", "offres_recues", "distance_km"), "id")
-    return x.select("id", "z", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("duree_mois", "offres_recues", "distance_km")])
+    """STT-11: the five features of the model, missing ones 0."""
+    x = _scored(spark, d).select("id", "l", "z", "juste").join(table(spark, d, "marches").select("id", "montant", "duree_mois", "offres_recues"), "id")
+    months = F.when(F.col("duree_mois") > 0, F.round(F.log10(F.col("montant") / F.col("duree_mois")), 4)).otherwise(F.col("l"))
+    return x.select("id", "l", "z", "juste", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("duree_mois", "offres_recues")], months.alias("l_par_mois"))
 
 
 def foret_isolement(spark, d):
-    """STT-7, STT-14: isolation forest, every row scored."""
-    return E.isolation_scores(jeu_du_modele(spark, d), ["z", "duree_mois", "offres_recues", "distance_km"])
+    """STT-7: isolation forest, every row scored."""
+    return E.isolation_scores(jeu_du_modele(spark, d), FEATURES)
 
 
-def kmeans_distance(spark, d):
-    """STT-12: distance to the nearest of eight centres, after scaling."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def grille_foret(spark, d):
+    """STT-14: six settings of the forest; precision of the thousand highest scores, free and kept to high prices."""
+    x = materialise(jeu_du_modele(spark, d), "jeu")
+    out = None
+    for trees, rows in ((50, 256), (100, 64), (100, 256), (100, 1024), (100, 4096), (300, 256)):
+        y = materialise(x.join(E.isolation_scores(x, FEATURES, trees=trees, tree_rows=rows), "id").withColumn("oriente", F.when(F.col("z") > 0, F.col("score")).otherwise(F.lit(float("-inf")))), "grille")
+        free, kept = (E.precision_at(y, s, [1000]).select(F.col("precision").alias(s)) for s in ("score", "oriente"))
+        one = free.crossJoin(F.broadcast(kept)).select(F.lit(trees).alias("arbres"), F.lit(rows).alias("echantillon"), F.col("score").alias("libre"), "oriente")
+        out = one if out is None else out.unionByName(one)
+    return out
 
+
+def kmeans_distance(spark, d):
+    """STT-12: distance to the nearest of twelve centres, after scaling by mean and deviation, and by median and quartiles."""
     x = materialise(jeu_du_modele(spark, d), "jeu")
-    x = VectorAssembler(inputCols=["z", "duree_mois", "offres_recues", "distance_km"], outputCol="v").transform(x)
-    x = StandardScaler(inputCol="v", outputCol="e", withMean=True).fit(x).transform(x)
-    model = KMeans(k=8, seed=42, featuresCol="e", predictionCol="groupe").fit(x)
-    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-    y = model.transform(x).withColumn("_c", F.get(centres, F.col("groupe"))).withColumn("_e", vector_to_array("e"))
-    return y.select("id", "groupe", F.sqrt(F.aggregate(F.zip_with("_e", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)).alias("distance"))
+    a, b = (M.kmeans_scores(materialise(M.scaled(x, FEATURES, robust), "echelle"), FEATURES) for robust in (False, True))
+    return a.withColumnRenamed("score", "standard").join(b.withColumnRenamed("score", "robuste"), "id")
+
+
+def _robust(spark, d):
+    return materialise(M.scaled(jeu_du_modele(spark, d), FEATURES, True), "jeu-robuste")
 
 
 def acp_reconstruction(spark, d):
     """STT-12: error of reconstruction from two principal components."""
-    from pyspark.ml.feature import PCA, RobustScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    x = materialise(jeu_du_modele(spark, d), "jeu")
-    x = VectorAssembler(inputCols=["z", "duree_mois", "offres_recues", "distance_km"], outputCol="v").transform(x)
-    x = RobustScaler(inputCol="v", outputCol="e", withCentering=True).fit(x).transform(x)
-    model = PCA(k=2, inputCol="e", outputCol="p").fit(x)
-    axes = model.pc.toArray()
-    y = model.transform(x).select("id", vector_to_array("e").alias("e"), vector_to_array("p").alias("p"))
-    error = sum((F.get("e", F.lit(i)) - sum(F.get("p", F.lit(j)) * float(axes[i, j]) for j in range(2))) ** 2 for i in range(4))
-    return y.select("id", F.sqrt(error).alias("erreur"))
+    return M.reconstruction_scores(_robust(spark, d), FEATURES)
 
 
 def enveloppe_elliptique(spark, d):
-    """STT-12: Mahalanobis distance; means and covariances from one aggregate, the 4 x 4 inverse on the driver."""
-    import numpy as np
+    """STT-12: Mahalanobis distance from the nine tenths nearest to the middle."""
+    return M.ellipse_scores(_robust(spark, d), FEATURES)
 
-    v = ["z", "duree_mois", "offres_recues", "distance_km"]
-    x = materialise(jeu_du_modele(spark, d), "jeu")
-    one = x.agg(*[F.avg(a).alias(f"m{i}") for i, a in enumerate(v)], *[F.covar_samp(a, b).alias(f"c{i}{j}") for i, a in enumerate(v) for j, b in enumerate(v)]).first()
-    if one.m0 is None or one.c00 is None:
-        return x.select("id", F.lit(None).cast("double").alias("distance"))
-    inverse = np.linalg.pinv(np.array([[one[f"c{i}{j}"] for j in range(4)] for i in range(4)]))
-    gap = [F.col(a) - one[f"m{i}"] for i, a in enumerate(v)]
-    square = sum(gap[i] * gap[j] * float(inverse[i, j]) for i in range(4) for j in range(4))
-    return x.select("id", F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
+
+def machine_une_classe(spark, d):
+    """STT-12: linear one-class machine."""
+    return M.one_class_scores(_robust(spark, d), FEATURES)
+
+
+def facteur_local(spark, d):
+    """STT-12: local outlier factor against a bounded sample."""
+    return M.local_outlier_scores(_robust(spark, d), FEATURES)
+
+
+def banc_modeles(spark, d):
+    """STT-12: ten methods on the same rows: areas under both curves, precision of the highest scores."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    x = materialise(jeu_du_modele(spark, d).join(_scored(spark, d).select("id", "famille_cpv"), "id"), "jeu")
+    standard, robust = (materialise(M.scaled(x, FEATURES, r), "echelle") for r in (False, True))
+    fam = x.groupBy("famille_cpv").agg(F.avg("l").alias("m"), F.stddev_samp("l").alias("s"))
+    methods = {
+        "global": x.select("id", F.col("l").alias("score")), "famille": x.join(F.broadcast(fam), "famille_cpv").select("id", ((F.col("l") - F.col("m")) / F.col("s")).alias("score")), "regle": x.select("id", F.col("z").alias("score")),
+        "k-moyennes standard": M.kmeans_scores(standard, FEATURES), "k-moyennes robuste": M.kmeans_scores(robust, FEATURES), "composantes": M.reconstruction_scores(robust, FEATURES), "enveloppe": M.ellipse_scores(robust, FEATURES),
+        "une classe": M.one_class_scores(robust, FEATURES), "foret": E.isolation_scores(x, FEATURES), "facteur local": M.local_outlier_scores(robust, FEATURES),
+    }
+    out = None
+    for name, score in methods.items():
+        y = materialise(x.select("id", "juste", F.col("juste").cast("double").alias("label")).join(score, "id").fillna(0.0, ["score"]), "scores")
+        area = {m: float(BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName=m, numBins=1000).evaluate(y)) for m in ("areaUnderROC", "areaUnderPR")}
+        at = E.precision_at(y, "score", [100, 1000, 10_000]).groupBy().pivot("budget", [100, 1000, 10_000]).agg(F.first("precision"))
+        one = at.select(F.lit(name).alias("methode"), F.lit(round(area["areaUnderROC"], 4)).alias("roc"), F.lit(round(area["areaUnderPR"], 4)).alias("precision_rappel"), *[F.col(str(b)).alias(f"p{b}") for b in (100, 1000, 10_000)])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def auc_methodes(spark, d):
@@ -147,10 +175,16 @@ def aleatoire(spark, d):
     return _scored(spark, d).select("id", F.rand(42).alias("score"))
 
 
-def tirage_pondere(spark, d, n: int = 110):
-    """STT-13: weighted sampling without replacement (exponential keys of Efraimidis and Spirakis)."""
-    x = table(spark, d, "marches").filter("length(titulaire_siret) = 14").groupBy("titulaire_siret").agg(F.count(F.lit(1)).alias("poids"))
-    return x.orderBy(-F.log(F.rand(42)) / F.col("poids")).limit(n)
+def tirage_pondere(spark, d, n: int = 110, seed: int = 42):
+    """STT-13: draws with replacement, a supplier as often as it has contracts: each draw is a place in the running sum of the weights."""
+    import numpy as np
+
+    x = ranked(table(spark, d, "marches").filter("length(titulaire_siret) = 14").groupBy("titulaire_siret").agg(F.count(F.lit(1)).alias("poids")), [F.col("titulaire_siret")], "poids")
+    x = materialise(x, "poids")
+    total = x.agg(F.sum("poids")).first()[0] or 0
+    drawn = spark.createDataFrame([(k, int(u)) for k, u in enumerate(np.random.default_rng(seed).integers(0, total, n if total else 0))], "tirage int, place long")
+    # n places against all weights.
+    return x.join(F.broadcast(drawn), (F.col("place") < F.col("cumul")) & (F.col("place") >= F.col("cumul") - F.col("poids"))).select("tirage", "titulaire_siret", "poids")
 
 
 def _verdict_counts(spark, d):
@@ -170,15 +204,66 @@ def intervalles_exacts(spark, d):
     return E.exact_intervals(_verdict_counts(spark, d), "k", "n")
 
 
-def bootstrap_stratifie(spark, d):
-    """STT-4, STT-5, STT-18: two seeds, growing numbers of draws, and the gap between the bounds."""
-    rows = table(spark, d, "verdicts_rapprochement").filter("verdict_humain in ('oui', 'non')").groupBy("tranche", "verdict_humain").agg(F.count(F.lit(1)).alias("n")).collect()
+def _strata(spark, d):
+    """Judged pairs by band of similarity (a fixed number of bands, judged by hand), and how many notices each band really has."""
+    rows = table(spark, d, "verdicts_rapprochement").filter("verdict_humain in ('oui', 'non') and tranche is not null").groupBy("tranche", "verdict_humain").agg(F.count(F.lit(1)).alias("n")).collect()
     labels: dict[str, list[bool]] = {}
-    for r in rows:
+    for r in sorted(rows):
         labels.setdefault(r.tranche, []).extend([r.verdict_humain == "oui"] * r.n)
-    weights = {s: float(len(x)) for s, x in labels.items()}
-    out = [(draws, seed, *E.stratified_bootstrap(labels, weights, draws, seed)) for draws in (100, 1000) for seed in (20261021, 7)] if labels else []
-    return spark.createDataFrame(out, "tirages int, graine int, bas double, haut double, degenere boolean")
+    band = F.floor(F.least(F.round(F.col("similarite") * 10, 6), F.lit(9.0))).cast("int")
+    found = L.levels(table(spark, d, "avis"), table(spark, d, "marches")).filter("similarite is not null").groupBy(band.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return labels, {f"{r.b / 10:.1f} a {(r.b + 1) / 10:.1f}": r.n for r in found}
+
+
+BANDS = [f"{k / 10:.1f} a {(k + 1) / 10:.1f}" for k in range(10)]
+
+
+def justesse_ponderee(spark, d):
+    """STT-4: for each lower bound the accuracy weighted by the real sizes of the bands; null where a kept band has no verdict."""
+    labels, sizes = _strata(spark, d)
+    out = []
+    for k in range(10):
+        kept = [s for s in BANDS[k:] if sizes.get(s)]
+        a = E.weighted_accuracy(labels, sizes, kept)
+        out.append((k / 10, sum(sizes.get(s, 0) for s in kept), None if a is None else round(100 * a, 4)))
+    return spark.createDataFrame(out, "seuil double, avis long, justesse double")
+
+
+def bootstrap_stratifie(spark, d):
+    """STT-5, STT-18: 100 to 50,000 draws with two seeds, the bounds and their gap; a sample without variation is marked."""
+    labels, sizes = _strata(spark, d)
+    weights = {s: float(sizes.get(s, 0)) for s in labels}
+    if not any(weights.values()):
+        return spark.createDataFrame([], "tirages int, graine int, bas double, haut double, largeur double, degenere boolean")
+    out = []
+    for draws in (100, 1_000, 10_000, 50_000):
+        for seed in (E.BOOTSTRAP_SEED, 7):
+            low, high, flat = E.stratified_bootstrap(labels, weights, draws, seed)
+            out.append((draws, seed, low, high, high - low, flat))
+    return spark.createDataFrame(out, "tirages int, graine int, bas double, haut double, largeur double, degenere boolean")
+
+
+def sources_incertitude(spark, d):
+    """STT-6: every published figure with what its uncertainty comes from, how many cases it rests on, and its interval."""
+    v = table(spark, d, "verdicts_rapprochement").filter("verdict_humain in ('oui', 'non')")
+    m = current(table(spark, d, "marches"))
+    s = _scored(spark, d)
+    share = lambda df, right: df.agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("k"))
+    rows = {
+        ("justesse du rapprochement", "verdicts lus par une personne"): share(v, F.col("verdict_humain") == "oui"),
+        ("concordance du titulaire", "verdicts lus par une personne"): share(v.filter("titulaire_concorde = 'oui'"), F.col("verdict_humain") == "oui"),
+        ("avis relies", "tirage des avis"): share(L.levels(table(spark, d, "avis"), table(spark, d, "marches")), F.col("niveau") >= 3),
+        ("precision de la regle de prix", "etiquette du producteur"): share(s.filter("z > 4"), F.col("juste")),
+        ("rappel de la regle de prix", "etiquette du producteur"): share(s.filter("juste"), F.col("z") > 4),
+        ("part des PME", "categories absentes"): share(m.filter("titulaire_categorie is not null"), F.col("titulaire_categorie") == "PME"),
+        ("offres uniques", "nombres d'offres absents"): share(m.filter("offres_recues is not null"), F.col("offres_recues") == 1),
+    }
+    out = None
+    for (figure, source), df in rows.items():
+        lo, hi = wilson(F.col("k"), F.col("n"))
+        one = df.select(F.lit(figure).alias("mesure"), F.lit(source).alias("origine"), "n", "k", half_up(lo, 4).alias("bas"), half_up(hi, 4).alias("haut"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def recensement_pme(spark, d):
@@ -242,7 +327,15 @@ ORACLES = {
     "stabilite_desaccords": f"{_P} {_dis('marche_id', 'contrat')} union all {_dis('id', 'ligne')}",
     "precision_au_budget": f"{_S} select * from (select * from ({_top('z', 'regle')}) union all select * from ({_top('case when z > 0 then z * z else -1e308 end', 'oriente')}))",
     "scores_globaux": f"{_S}, w as (select avg(l) as m, stddev_samp(l) as sd from s), f as (select famille_cpv, avg(l) as fm, stddev_samp(l) as fs from s group by 1) select s.famille_cpv, {O.half('max((l - m) / sd)', 4)} as global, {O.half('max((l - fm) / fs)', 4)} as famille, {O.half('max(z)', 4)} as robuste from s join f using (famille_cpv), w group by 1",
-    "jeu_du_modele": f"{_S} select s.id, s.z, coalesce(duree_mois, 0)::double as duree_mois, coalesce(offres_recues, 0)::double as offres_recues, coalesce(distance_km, 0)::double as distance_km from s join marches using (id)",
+    "jeu_du_modele": f"{_S} select s.id, s.l, s.z, s.juste, coalesce(duree_mois, 0)::double as duree_mois, coalesce(offres_recues, 0)::double as offres_recues, case when duree_mois > 0 then round(log10(montant / duree_mois), 4) else s.l end as l_par_mois from s join marches using (id)",
+    "justesse_ponderee": f"with {_LEVELS}, sz as (select cast(floor(least(round(similarite * 10, 6), 9.0)) as int) as b, count(*) as n from lev where similarite is not null group by 1), v as (select cast(round(10 * cast(substr(tranche, 1, 3) as double)) as int) as b, count(*) as t, count(*) filter (where verdict_humain = 'oui') as k from verdicts_rapprochement where verdict_humain in ('oui', 'non') and tranche is not null group by 1), x as (select g.s, sz.b, sz.n, v.t, v.k from range(0, 10) g(s) left join sz on sz.b >= g.s left join v on v.b = sz.b) select s / 10.0 as seuil, cast(coalesce(sum(n), 0) as bigint) as avis, case when count(b) = count(t) and sum(n) > 0 then round(100 * sum(n * k / t) / sum(n), 4) end as justesse from x group by s",
+    "sources_incertitude": f"with {_LEVELS}, {_S.removeprefix('with ')}, cc as ("
+    "select 'justesse du rapprochement' as mesure, 'verdicts lus par une personne' as origine, count(*) as n, count(*) filter (where verdict_humain = 'oui') as k from verdicts_rapprochement where verdict_humain in ('oui', 'non') "
+    "union all select 'concordance du titulaire', 'verdicts lus par une personne', count(*), count(*) filter (where verdict_humain = 'oui') from verdicts_rapprochement where verdict_humain in ('oui', 'non') and titulaire_concorde = 'oui' "
+    "union all select 'avis relies', 'tirage des avis', count(*), count(*) filter (where niveau >= 3) from lev union all select 'precision de la regle de prix', 'etiquette du producteur', count(*), count(*) filter (where juste) from s where z > 4 "
+    "union all select 'rappel de la regle de prix', 'etiquette du producteur', count(*), count(*) filter (where z > 4) from s where juste union all select 'part des PME', 'categories absentes', count(*), count(*) filter (where titulaire_categorie = 'PME') from marches where donneesActuelles and titulaire_categorie is not null "
+    "union all select 'offres uniques', 'nombres d''offres absents', count(*), count(*) filter (where offres_recues = 1) from marches where donneesActuelles and offres_recues is not null), w as (select *, k / n as p, 1.959963984540054 * 1.959963984540054 as z2 from cc) "
+    f"select mesure, origine, n, k, case when n = 0 then 0.0 else {O.half('100 * greatest(0.0, (p + z2 / (2 * n)) / (1 + z2 / n) - 1.959963984540054 * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n))', 4)} end as bas, case when n = 0 then 100.0 else {O.half('100 * least(1.0, (p + z2 / (2 * n)) / (1 + z2 / n) + 1.959963984540054 * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n))', 4)} end as haut from w",
     "intervalles_wilson_wald": "with v as (select tranche, count(*) as n, count(*) filter (where verdict_humain = 'oui') as k, 1.959963984540054 * 1.959963984540054 as z2 from verdicts_rapprochement where verdict_humain in ('oui', 'non') group by 1) select tranche, n, k, "
     + O.half("greatest(0.0, " + _W.format(c="100", s="-") + ")", 4) + " as wilson_bas, " + O.half("least(100.0, " + _W.format(c="100", s="+") + ")", 4) + " as wilson_haut, "
     + O.half("100 * greatest(0.0, k / n - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n))", 4) + " as wald_bas, " + O.half("100 * least(1.0, k / n + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n))", 4) + " as wald_haut from v",
@@ -251,4 +344,4 @@ ORACLES = {
     "cout_enrichissement": f"select count(distinct acheteur_siret) + count(distinct titulaire_siret) as appels, {O.half('(count(distinct acheteur_siret) + count(distinct titulaire_siret)) * 0.15 / 3600', 6)} as heures from marches",
 }
 ORACLES = O.typed(ORACLES)
-QUERIES = {n: globals()[n] for n in [*ORACLES, "foret_isolement", "kmeans_distance", "acp_reconstruction", "enveloppe_elliptique", "auc_methodes", "aleatoire", "tirage_pondere", "intervalles_exacts", "bootstrap_stratifie"]}
+QUERIES = {n: globals()[n] for n in [*ORACLES, "foret_isolement", "grille_foret", "kmeans_distance", "acp_reconstruction", "enveloppe_elliptique", "machine_une_classe", "facteur_local", "banc_modeles", "auc_methodes", "aleatoire", "tirage_pondere", "intervalles_exacts", "bootstrap_stratifie"]}
