@@ -1,13 +1,17 @@
 """Sentence boundaries across languages and scripts.
 
-The rules are compiled into a finite transducer over a small alphabet: line breaks, sentence ends,
-opening and closing quotes of each kind, spaces between Thai letters.  A lexer turns each text into
-these symbols, using only what stands directly around a mark (an abbreviation before it, the next
-letter); what needs memory (are we inside a quotation, and did it open the sentence?) is the
-transducer's.  Texts of a batch form one symbol sequence, cut into chunks of fixed size: each chunk
-becomes a function from state to state, the functions are composed by a parallel prefix scan, and
-each chunk then emits its boundaries from its true start state.  The length of one text therefore
-never makes one long sequential run.
+The rules are compiled into a finite transducer.  A lexer turns each text into its alphabet: line
+breaks, opening and closing quotes of each kind, blanks between Thai letters, and for every mark that
+may end a sentence what stands around it -- the kind of word before a full stop (an abbreviation, one
+that only counts before a figure, a single letter, initials, a short number, any other word), before a
+short number whether it begins its line or follows a word that goes with ordinals, and the kind of
+character that follows.  Which of these combinations end a sentence, and whether one lies inside a
+quotation, is the transducer's to say: its states are pairs of a quotation and of what was read of a mark.
+
+Texts of a batch form one symbol sequence, cut into chunks of about ``CHUNK`` symbols between two marks:
+each chunk becomes a function from state to state, the functions are composed by a parallel prefix
+scan, and each chunk then emits its boundaries from its true start state.  The lexer reads a text once,
+from its beginning to its end; a text is the work of one task, however long it is.
 
 Rules: no sentence crosses a line break; a line, or the rest of one, without a final mark is one
 unit; closing quotes and brackets belong to the sentence before; marks inside a quotation never cut;
@@ -55,20 +59,49 @@ _CLOSERS = ")]}’'"
 _ONLY_CLOSERS = re.compile(r"[\s»”“\"」』›)\]}’']+$")
 
 # Alphabet.
-NL, END, THAI, G_ADJ, G_TXT, D_ADJ, D_TXT = range(7)
-C_PLAIN, C_GO, C_UP, C_UNCASED = range(7, 11)
-E_ADJ, E_TXT = 11, 15  # an English opening or German closing quote, plus one of four closings
-Q_ADJ, Q_TXT, Q_SHUT = 19, 23, 27  # a straight quote, plus one of four closings
-SYMBOLS = 31
-# States: outside a quotation, at or after a sentence's start; inside one of each kind that opened the sentence or did not.
+NL, THAI, G_ADJ, G_TXT, D_ADJ, D_TXT = range(6)
+C_PLAIN, C_GO, C_UP, C_UNCASED = range(6, 10)
+E_ADJ, E_TXT = 10, 14  # an English opening or German closing quote, plus one of four closings
+Q_ADJ, Q_TXT, Q_SHUT = 18, 22, 26  # a straight quote, plus one of four closings
+# Before a short number: it begins its line; it follows a word that goes with ordinals.
+P_LINE, P_ORDINAL = 30, 31
+# The word before a full stop; or a mark that needs none.
+W_ABBREVIATION, W_FIGURE, W_LETTER, W_LETTER_ABBREVIATION, W_INITIALS, W_NUMBER, W_LOWER, W_OTHER, STRONG = range(32, 41)
+# What follows a mark: the line ends; the sentence goes on; a figure after a blank; glued to the mark a capital, a letter
+# without case, anything else; after a blank a capital, anything else (an opening quote or bracket needs no blank).
+N_LINE_END, N_GOES_ON, N_FIGURE, N_GLUED_CAPITAL, N_GLUED_UNCASED, N_GLUED, N_CAPITAL, N_OTHER = range(41, 49)
+IDLE = 49  # changes nothing
+SYMBOLS = 50
+# Quotations: outside one, at or after a sentence's start; inside one of each kind that opened the sentence or did not.
 START, TEXT = 0, 1
 IN_G, IN_D, IN_E, IN_Q = 2, 4, 6, 8
-STATES = 10
-
-
-def _compile() -> tuple[np.ndarray, np.ndarray]:
-    step = np.tile(np.arange(STATES)[:, None], (1, SYMBOLS))
-    emit = np.zeros((STATES, SYMBOLS), bool)
+QUOTATIONS = 10
+# What was read of a mark: nothing, what stands before a number, the word or mark, a number after either.
+_READ = (None, P_LINE, P_ORDINAL, *range(W_ABBREVIATION, STRONG + 1), (P_LINE, W_NUMBER), (P_ORDINAL, W_NUMBER))
+READS = len(_READ)
+STATES = QUOTATIONS * READS
+
+
+def _final(read: object, following: int) -> bool:
+    """Whether a mark after what was read ends the sentence before what follows."""
+    if following in (N_LINE_END, N_GOES_ON, N_GLUED):
+        return following == N_LINE_END
+    if read == STRONG:
+        return True
+    if following == N_GLUED_CAPITAL:
+        return read == W_LOWER
+    if following == N_GLUED_UNCASED:
+        return read not in (W_ABBREVIATION, W_FIGURE, W_LETTER_ABBREVIATION)
+    if following == N_FIGURE:
+        return read not in (W_ABBREVIATION, W_FIGURE, W_LETTER, W_LETTER_ABBREVIATION)
+    if read == (P_ORDINAL, W_NUMBER):
+        return following != N_CAPITAL
+    return read not in (W_ABBREVIATION, W_LETTER, W_LETTER_ABBREVIATION, W_INITIALS, (P_LINE, W_NUMBER))
+
+
+def _quotations() -> tuple[np.ndarray, np.ndarray]:
+    step = np.tile(np.arange(QUOTATIONS)[:, None], (1, SYMBOLS))
+    emit = np.zeros((QUOTATIONS, SYMBOLS), bool)
 
     def close(state: int, symbol: int, how: int) -> None:
         opened_it = state >= 2 and state % 2 == 0
@@ -76,10 +109,9 @@ def _compile() -> tuple[np.ndarray, np.ndarray]:
         step[state, symbol], emit[state, symbol] = (START if ends else TEXT), ends
 
     closings = (C_PLAIN, C_GO, C_UP, C_UNCASED)
-    for s in range(STATES):
+    for s in range(QUOTATIONS):
         step[s, NL], emit[s, NL] = START, True
         if s < 2:
-            step[s, END], emit[s, END] = START, True
             step[s, THAI], emit[s, THAI] = START, True
             for adj, txt, into in ((G_ADJ, G_TXT, IN_G), (D_ADJ, D_TXT, IN_D)):
                 step[s, adj], step[s, txt] = (into if s == START else into + 1), into + 1
@@ -101,6 +133,26 @@ def _compile() -> tuple[np.ndarray, np.ndarray]:
     return step, emit
 
 
+def _compile() -> tuple[np.ndarray, np.ndarray]:
+    """Steps and boundaries of every state; state = quotation * READS + what was read."""
+    quote_step, quote_emit = _quotations()
+    step, emit = np.zeros((STATES, SYMBOLS), np.int64), np.zeros((STATES, SYMBOLS), bool)
+    for q in range(QUOTATIONS):
+        for r, read in enumerate(_READ):
+            for symbol in range(SYMBOLS):
+                if symbol == IDLE:
+                    to, ends = q * READS + r, False
+                elif symbol < P_LINE:
+                    to, ends = quote_step[q, symbol] * READS, quote_emit[q, symbol]
+                elif symbol < N_LINE_END:
+                    to, ends = q * READS + _READ.index((read, symbol) if (read, symbol) in _READ else symbol), False
+                else:
+                    ends = q < 2 and _final(read, symbol)
+                    to = (q if q >= 2 else START if ends else TEXT) * READS
+                step[q * READS + r, symbol], emit[q * READS + r, symbol] = to, ends
+    return step, emit
+
+
 STEP, EMIT = _compile()
 
 
@@ -123,41 +175,39 @@ def _before(t: str, s: int) -> tuple[str, bool]:
     return t[k:e], not e or t[e - 1] in "\n\r"
 
 
-def _ends(t: str, s: int, e: int, w: int) -> int:
-    """End of the sentence that the marks t[s:e] close, or -1 if they close none; the word before them begins at w."""
-    n, i = len(t), e
-    while i < n and t[i] in _CLOSERS:
-        i += 1
-    j = i
-    while j < n and t[j] in _BLANK:
-        j += 1
-    if j >= n or t[j] in "\n\r":
-        return i
-    nxt = t[j]
-    if nxt.islower() or nxt in ",;:":
-        return -1
-    if e - s > 1 or t[s] != ".":
-        return i
+def _word(t: str, w: int, s: int) -> tuple[int, ...]:
+    """Symbols of the word t[w:s] before a full stop."""
     word = t[w:s]
     low = word.lower()
-    if j == i:  # nothing between the full stop and the next character
-        if nxt.isalnum():
-            glued = nxt.isupper() and j + 1 < n and t[j + 1].islower() and len(word) > 1 and word[-2:].islower() and "." not in word
-            uncased = nxt.isalpha() and not nxt.isupper()
-            return i if (glued or uncased) and low not in NEVER_FINAL else -1
-        if nxt not in "«“„\"»”([¿¡「『":
-            return -1
-    if nxt.isdigit():
-        return -1 if low in NEVER_FINAL or len(word) == 1 and word.isalpha() else i
-    if len(word) == 1 and word.isalpha() or len(word) > 2 and word[-1].isupper() and word[-2] == "-" and word[-3] == ".":
-        return -1
-    if low in NEVER_FINAL and low not in FIGURE_ONLY:
-        return -1
+    if len(word) == 1 and word.isalpha():
+        return (W_LETTER_ABBREVIATION if low in NEVER_FINAL else W_LETTER,)
+    if low in NEVER_FINAL:
+        return (W_FIGURE if low in FIGURE_ONLY else W_ABBREVIATION,)
     if word.isdigit() and len(word) <= 2:
         before, first = _before(t, w)
-        if first or nxt.isupper() and before.lower() in BEFORE_ORDINAL:
-            return -1  # the number of a list entry or heading; a German ordinal number
-    return i
+        return (P_LINE, W_NUMBER) if first else (P_ORDINAL, W_NUMBER) if before.lower() in BEFORE_ORDINAL else (W_NUMBER,)
+    if len(word) > 2 and word[-1].isupper() and word[-2] == "-" and word[-3] == ".":
+        return (W_INITIALS,)
+    return (W_LOWER,) if len(word) > 1 and word[-2:].islower() and "." not in word else (W_OTHER,)
+
+
+def _following(t: str, i: int) -> int:
+    """The symbol of what follows a mark and its closing brackets, which end at i."""
+    j, n = i, len(t)
+    while j < n and t[j] in _BLANK:
+        j += 1
+    if j >= n or t[j] in "\n\r":
+        return N_LINE_END
+    c = t[j]
+    if c.islower() or c in ",;:":
+        return N_GOES_ON
+    if j == i and c.isalnum():
+        if c.isupper():
+            return N_GLUED_CAPITAL if j + 1 < n and t[j + 1].islower() else N_GLUED
+        return N_GLUED_UNCASED if c.isalpha() else N_GLUED
+    if j == i and c not in "«“„\"»”([¿¡「『":
+        return N_GLUED
+    return N_FIGURE if c.isdigit() else N_CAPITAL if c.isupper() else N_OTHER
 
 
 def _closing(t: str, s: int, e: int) -> int:
@@ -180,6 +230,12 @@ def _closing(t: str, s: int, e: int) -> int:
     return 2
 
 
+def _following_strong(t: str, i: int) -> int:
+    """The same after a mark that needs no word: whatever does not go on begins anew, glued or not."""
+    following = _following(t, i)
+    return N_OTHER if following == N_GLUED else following
+
+
 def lex(t: str) -> tuple[list[int], list[int]]:
     """Symbols of a text, and for each the place where the sentence ends if it is a boundary."""
     symbols, places, last = [], [], 0
@@ -188,12 +244,17 @@ def lex(t: str) -> tuple[list[int], list[int]]:
         s, e = m.span()
         k = m.lastindex
         if k == 2:
-            word, seen = _word_start(t, s, seen, word), s
-            end = _ends(t, s, e, word)
-            if end >= 0:
-                symbols.append(END)
-                places.append(end)
-                last = max(e, end)
+            i = e
+            while i < len(t) and t[i] in _CLOSERS:
+                i += 1
+            if e - s > 1 or t[s] != ".":
+                around = (STRONG, _following_strong(t, i))
+            else:
+                word, seen = _word_start(t, s, seen, word), s
+                around = (*_word(t, word, s), _following(t, i))
+            symbols += around
+            places += [s] * (len(around) - 1) + [i]
+            last = max(e, i)
         elif k == 1:
             symbols.append(NL)
             places.append(s)
@@ -234,23 +295,29 @@ def run(symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     n = len(symbols)
     if not n:
         return np.zeros(0, bool)
-    rows = -(-n // chunk)
-    padded = np.full(rows * chunk, Q_SHUT, np.int64)  # changes no state outside a quotation; after the end it does not matter
-    padded[:n] = symbols
-    grid = padded.reshape(rows, chunk)
-    f = np.tile(np.arange(STATES), (rows, 1))
-    for j in range(chunk):
+    # A chunk begins between two marks, where nothing of a mark was read: only quotations pass from one to the next.
+    between = np.nonzero((symbols < P_LINE) | (symbols >= N_LINE_END) & (symbols != IDLE))[0] + 1
+    starts = np.unique(np.concatenate([[0], between[np.searchsorted(between, np.arange(chunk, n, chunk)).clip(max=max(len(between) - 1, 0))] if len(between) else np.zeros(0, np.int64)]))
+    starts = starts[starts < n]
+    rows, sizes = len(starts), np.diff(np.append(starts, n))
+    width = int(sizes.max())
+    at = starts[:, None] + np.arange(width)
+    inside = np.arange(width) < sizes[:, None]
+    grid = np.where(inside, symbols[np.minimum(at, n - 1)], IDLE)
+    f = np.tile(np.arange(QUOTATIONS) * READS, (rows, 1))
+    for j in range(width):
         f = STEP[f, grid[:, j, None]]
-    width = 1
-    while width < rows:  # f[i] becomes the composition of chunks 0..i
-        f[width:] = np.take_along_axis(f[width:], f[:-width], axis=1)
-        width *= 2
-    state = np.concatenate([[START], f[:-1, START]])
-    out = np.empty((rows, chunk), bool)
-    for j in range(chunk):
+    f //= READS
+    step = 1
+    while step < rows:  # f[i] becomes the composition of chunks 0..i
+        f[step:] = np.take_along_axis(f[step:], f[:-step], axis=1)
+        step *= 2
+    state = np.concatenate([[START], f[:-1, START]]) * READS
+    out = np.empty((rows, width), bool)
+    for j in range(width):
         out[:, j] = EMIT[state, grid[:, j]]
         state = STEP[state, grid[:, j]]
-    return out.ravel()[:n]
+    return out[inside]
 
 
 def _units(t: str, cuts: list[int]) -> Iterator[tuple[int, int]]:

@@ -71,3 +71,24 @@ def test_very_long_text_and_frames(spark):
     got = sorted(map(tuple, S.sentences(df).collect()), key=str)
     assert got == sorted([(1, 0, 3), (1, 4, 9), (1, 0, 3), (1, 4, 9), (None, 0, 2)], key=str)
     assert S.sentences(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("read", "following", "ends"),
+    [
+        ((S.W_OTHER,), S.N_CAPITAL, True), ((S.W_OTHER,), S.N_GOES_ON, False), ((S.W_ABBREVIATION,), S.N_CAPITAL, False), ((S.W_ABBREVIATION,), S.N_LINE_END, True), ((S.W_FIGURE,), S.N_CAPITAL, True), ((S.W_FIGURE,), S.N_FIGURE, False),
+        ((S.W_LETTER,), S.N_CAPITAL, False), ((S.W_INITIALS,), S.N_CAPITAL, False), ((S.P_LINE, S.W_NUMBER), S.N_CAPITAL, False), ((S.P_ORDINAL, S.W_NUMBER), S.N_CAPITAL, False), ((S.P_ORDINAL, S.W_NUMBER), S.N_OTHER, True),
+        ((S.W_NUMBER,), S.N_CAPITAL, True), ((S.W_LOWER,), S.N_GLUED_CAPITAL, True), ((S.W_OTHER,), S.N_GLUED_CAPITAL, False), ((S.W_OTHER,), S.N_GLUED, False), ((S.STRONG,), S.N_GOES_ON, False), ((S.STRONG,), S.N_OTHER, True),
+    ],
+)
+def test_marks_are_decided_by_the_transducer(read, following, ends):
+    assert S.run(np.array([*read, following])).tolist() == [False] * len(read) + [ends]
+    # Inside a quotation no mark cuts.
+    assert not S.run(np.array([S.G_ADJ, *read, following])).any()
+
+
+def test_words_of_any_length_before_a_mark():
+    long = "www." + "a" * 5000 + ".Example"
+    assert cut(f"Voir {long} ici. Fin.") == [f"Voir {long} ici.", "Fin."]
+    assert cut(" " * 60 + "3. Objet. Fin.") == ["3. Objet.", "Fin."]
+    assert cut("Am" + " " * 60 + "13. Mai. So.") == ["Am" + " " * 60 + "13. Mai.", "So."]
