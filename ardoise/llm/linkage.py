@@ -132,7 +132,7 @@ def _contracts(marches: DataFrame) -> DataFrame:
     """One record per contract number: its fullest subject, buyer, suppliers, dates, amounts on a common scale."""
     kept = ("objet", "acheteur_nom", "acheteur_commune_nom", "titulaire_nom", "date_notification", "montant", "famille_cpv", "acheteur_siret", "source")
     m = marches.select(*kept, contract_number(F.col("marche_id"), F.col("uid")).alias("_c")).filter(F.col("_c").isNotNull())
-    levels = m.filter("montant > 0").groupBy("source").agg(F.percentile_approx(F.log10("montant"), 0.5, 1000).alias("_niveau"))
+    levels = marches.filter("montant > 0").groupBy("source").agg(F.percentile_approx(F.log10("montant"), 0.5, 1000).alias("_niveau"))
     usual = levels.agg(F.percentile_approx("_niveau", 0.5, 1000).alias("_usuel"))
     # Sources that publish in another unit differ by a power of ten.
     levels = small(levels.crossJoin(F.broadcast(usual)).select("source", F.round(F.col("_niveau") - F.col("_usuel")).alias("_echelle")), "echelles")
@@ -465,10 +465,13 @@ def _calibration(edges: DataFrame, contracts: DataFrame, labels: DataFrame) -> t
     if len(x) < 30 or x["juste"].nunique() < 2:
         return 1.0, 0.0
     p = np.clip(x["part"].to_numpy(float), 1e-6, 1 - 1e-6)
-    z, y, w = np.log(p / (1 - p)), x["juste"].to_numpy(float), np.array([1.0, 0.0])
-    for _ in range(25):
-        q = 1 / (1 + np.exp(-(w[0] * z + w[1])))
-        g = np.array([((y - q) * z).sum() - RIDGE * (w[0] - 1), (y - q).sum() - RIDGE * w[1]])
+    z, y, w = np.log(p / (1 - p)), x["juste"].to_numpy(bool), np.array([1.0, 0.0])
+    for _ in range(60):
+        q = 1 / (1 + np.exp(-np.clip(w[0] * z + w[1], -500, 500)))
+        # A verdict may be wrong: how far each is believed depends on what the share says.
+        right, wrong = np.where(y, BELIEF, 1 - BELIEF) * q, np.where(y, 1 - BELIEF, BELIEF) * (1 - q)
+        t = right / (right + wrong)
+        g = np.array([((t - q) * z).sum() - RIDGE * (w[0] - 1), (t - q).sum() - RIDGE * w[1]])
         s = q * (1 - q)
         h = np.array([[(s * z * z).sum() + RIDGE, (s * z).sum()], [(s * z).sum(), s.sum() + RIDGE]])
         w = w + np.clip(np.linalg.solve(h, g), -0.5, 0.5)
