@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ardoise.functions.text import contract_number, fold
-from ardoise.session import materialise
+from ardoise.session import BROADCAST_ROWS, materialise
 
 # A field is a currency field if at least this share of at least so many transitions go one way.
 CURRENCY_SHARE = 0.95
@@ -72,9 +72,14 @@ def awards(marches: DataFrame) -> DataFrame:
     number = lambda c: F.unix_date(c).cast("double") if c.startswith("date") else F.col(c).cast("double")
     learned = [number(c).alias(f"_{c}") for c in ORDERED] + [F.col(c).alias(f"_{c}") for c in VALUED]
     rows = marches.select("id", contract_number(F.col("marche_id"), F.col("uid")).alias("contrat"), name.alias("_nom"), siren.alias("_siren"), F.col("modification_id").cast("int").alias("version"), F.col("date_publication").alias("date"), loss.alias("perte"), whole.alias("entier"), F.coalesce(F.length("objet"), F.lit(0)).alias("longueur"), *learned).filter(F.col("contrat").isNotNull())
-    known = rows.groupBy("contrat", "_nom").agg(F.max("_siren").alias("_connu"))
-    rows = rows.join(known, ["contrat", "_nom"])
-    return rows.withColumn("fournisseur", F.coalesce("_siren", "_connu", "_nom")).drop("_nom", "_siren", "_connu")
+    # Written once: what is read off contract numbers costs more than the scans that follow.
+    rows = materialise(rows, "lignes")
+    missing = rows.filter(F.col("_siren").isNull()).select("contrat", "_nom").distinct()
+    known = materialise(rows.filter(F.col("_siren").isNotNull()).join(missing, ["contrat", "_nom"], "left_semi").groupBy("contrat", "_nom").agg(F.max("_siren").alias("_connu")), "connus")
+    few = known.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(known) if few else known, ["contrat", "_nom"], "left")
+    rows = rows.withColumn("fournisseur", F.coalesce("_siren", "_connu", "_nom")).drop("_nom", "_siren", "_connu")
+    return rows if few else materialise(rows, "attributions")
 
 
 def _versions(rows: DataFrame, fields: list[str]) -> DataFrame:
@@ -110,7 +115,7 @@ def learn_precedence(rows: DataFrame) -> tuple[list[tuple[str, int, float]], dic
 
 def ordered(marches: DataFrame) -> DataFrame:
     """The rows of all awards with their node (``entier``, ``niveau``, ``monnaie``) and ``rang``: a struct that grows along a linear extension of the group's order."""
-    rows = materialise(awards(marches), "attributions")
+    rows = awards(marches)
     fields, pairs = learn_precedence(rows)
     key = ["contrat", "fournisseur"]
     rows = rows.withColumn("_monnaie", F.col(f"_{fields[0][0]}") * fields[0][1] if fields else F.lit(None).cast("double"))
