@@ -201,7 +201,8 @@ def intervalles_wilson_wald(spark, d):
 
 def intervalles_exacts(spark, d):
     """STT-3."""
-    return E.exact_intervals(_verdict_counts(spark, d), "k", "n")
+    x = E.exact_intervals(_verdict_counts(spark, d), "k", "n")
+    return x.select("tranche", "n", "k", F.round("bas", 4).alias("bas"), F.round("haut", 4).alias("haut"))
 
 
 def _strata(spark, d):
@@ -294,6 +295,16 @@ def cout_enrichissement(spark, d):
 _J = "j as (select id, marche_id, famille_cpv, annee, round(log10(montant), 4) as l, montant_anomalie is not null as juste from marches where donneesActuelles and montant > 0 and montant <= 1e12 and famille_cpv is not null)"
 
 
+# Exact bounds by fifty halvings: where the upper or lower tail of the binomial reaches 2.5 %.
+_TAIL = "list_sum(list_transform(range({0}, {1}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(m) + (n - i) * ln(1 - m))))"
+_HALVE = "{0}(tranche, n, k, a, b, s) as (select tranche, n, k, 0.0::double, 1.0::double, 0 from v union all select tranche, n, k, case when {1} then a else m end, case when {1} then m else b end, s + 1 from (select *, (a + b) / 2 as m from {0}) x where s < 50)"
+_EXACT_INTERVALS = (
+    "with recursive v as (select tranche, count(*) as n, count(*) filter (where verdict_humain = 'oui') as k from verdicts_rapprochement where verdict_humain in ('oui', 'non') group by 1), "
+    + _HALVE.format("lo", _TAIL.format("k", "n + 1") + " > 0.025") + ", " + _HALVE.format("hi", _TAIL.format("0", "k + 1") + " < 0.025")
+    + " select v.tranche, v.n, v.k, case when v.k = 0 then 0.0 else round(50 * (lo.a + lo.b), 4) end as bas, case when v.k = v.n then 100.0 else round(50 * (hi.a + hi.b), 4) end as haut from v join lo on lo.tranche is not distinct from v.tranche and lo.s = 50 join hi on hi.tranche is not distinct from v.tranche and hi.s = 50"
+)
+
+
 def _ref(name: str, where: str) -> str:
     return f"{name} as (select famille_cpv, count(*) as n, median(l) as mediane, quantile_cont(l, 0.25) as q1, quantile_cont(l, 0.75) as q3 from j where {where} group by 1 having count(*) >= 30 and quantile_cont(l, 0.75) > quantile_cont(l, 0.25))"
 
@@ -328,6 +339,7 @@ ORACLES = {
     "precision_au_budget": f"{_S} select * from (select * from ({_top('z', 'regle')}) union all select * from ({_top('case when z > 0 then z * z else -1e308 end', 'oriente')}))",
     "scores_globaux": f"{_S}, w as (select avg(l) as m, stddev_samp(l) as sd from s), f as (select famille_cpv, avg(l) as fm, stddev_samp(l) as fs from s group by 1) select s.famille_cpv, {O.half('max((l - m) / sd)', 4)} as global, {O.half('max((l - fm) / fs)', 4)} as famille, {O.half('max(z)', 4)} as robuste from s join f using (famille_cpv), w group by 1",
     "jeu_du_modele": f"{_S} select s.id, s.l, s.z, s.juste, coalesce(duree_mois, 0)::double as duree_mois, coalesce(offres_recues, 0)::double as offres_recues, case when duree_mois > 0 then round(log10(montant / duree_mois), 4) else s.l end as l_par_mois from s join marches using (id)",
+    "intervalles_exacts": _EXACT_INTERVALS,
     "justesse_ponderee": f"with {_LEVELS}, sz as (select cast(floor(least(round(similarite * 10, 6), 9.0)) as int) as b, count(*) as n from lev where similarite is not null group by 1), v as (select cast(round(10 * cast(substr(tranche, 1, 3) as double)) as int) as b, count(*) as t, count(*) filter (where verdict_humain = 'oui') as k from verdicts_rapprochement where verdict_humain in ('oui', 'non') and tranche is not null group by 1), x as (select g.s, sz.b, sz.n, v.t, v.k from range(0, 10) g(s) left join sz on sz.b >= g.s left join v on v.b = sz.b) select s / 10.0 as seuil, cast(coalesce(sum(n), 0) as bigint) as avis, case when count(b) = count(t) and sum(n) > 0 then round(100 * sum(n * k / t) / sum(n), 4) end as justesse from x group by s",
     "sources_incertitude": f"with {_LEVELS}, {_S.removeprefix('with ')}, cc as ("
     "select 'justesse du rapprochement' as mesure, 'verdicts lus par une personne' as origine, count(*) as n, count(*) filter (where verdict_humain = 'oui') as k from verdicts_rapprochement where verdict_humain in ('oui', 'non') "
@@ -344,4 +356,4 @@ ORACLES = {
     "cout_enrichissement": f"select count(distinct acheteur_siret) + count(distinct titulaire_siret) as appels, {O.half('(count(distinct acheteur_siret) + count(distinct titulaire_siret)) * 0.15 / 3600', 6)} as heures from marches",
 }
 ORACLES = O.typed(ORACLES)
-QUERIES = {n: globals()[n] for n in [*ORACLES, "foret_isolement", "grille_foret", "kmeans_distance", "acp_reconstruction", "enveloppe_elliptique", "machine_une_classe", "facteur_local", "banc_modeles", "auc_methodes", "aleatoire", "tirage_pondere", "intervalles_exacts", "bootstrap_stratifie"]}
+QUERIES = {n: globals()[n] for n in [*ORACLES, "foret_isolement", "grille_foret", "kmeans_distance", "acp_reconstruction", "enveloppe_elliptique", "machine_une_classe", "facteur_local", "banc_modeles", "auc_methodes", "aleatoire", "tirage_pondere", "bootstrap_stratifie"]}

@@ -263,6 +263,10 @@ _WORDS = f"docs as (select *, {_TOK} as mots from {_NOW})"
 _ASKED = {"maintenance": "mainten", "ecole": "ecol", "ascenseurs": "ascenseur", "toiture": "toitur", "prestation": "prestat", "introuvable": "introuv"}
 
 
+_THIN = " "
+_SAID = "translate(replace(regexp_replace(format('{{:,.1f}}', v / {0}), '\\.0$', ''), ',', '" + _THIN + "'), '.', ',') || ' {1}' || case when round(v / {0}, 1) >= 2 then 's' else '' end"
+
+
 def _all_terms(terms: list[str]) -> str:
     return " and ".join(f"list_contains(mots, '{_ASKED[t]}')" for t in terms)
 
@@ -285,6 +289,7 @@ ORACLES = {
     "liste_recente": f"select id, date_notification, cast(null as bigint) as candidats, 0.0 as score from {_NOW} and annee = 2019 and montant >= 1000 order by date_notification desc nulls first, id desc limit 20",
     "filtres_api": f"select id, montant from {_NOW} and annee = 2020 and montant between 10000 and 500000 and offre_unique",
     "classement_borne": f"with {_DOC}, c as (select id, montant, mots, noms from docs where list_contains(mots, 'mainten') order by date_notification desc nulls last, id desc limit 5000), s as (select id, montant, round(len(list_filter(mots, lambda w: w = 'mainten')) + 0.4 * len(list_filter(noms, lambda w: w = 'mainten')), 6) as score from c) select row_number() over (order by score desc, montant desc nulls last, id) as rang, id, cast(score as double) as score, count(*) over () as candidats_examines, count(*) over () >= 5000 as classement_approche from s",
+    "nombres_francais": f"with x as (select id, montant as v from {_NOW} and montant is not null and abs(montant) < 1e12) select id, floor(abs(v)) + 0.5 as lu, case when v >= 1e9 then {_SAID.format('1e9', 'milliard')} when v >= 1e6 then {_SAID.format('1e6', 'million')} else replace(format('{{:,.0f}}', v), ',', '{_THIN}') || ' euro' || case when round(v) >= 2 then 's' else '' end end as ecrit from x",
     "index_recherche": f"with {_DOC} select 'A' as poids, count(*) as documents, sum(len(mots)) as mots from docs union all select 'B', count(*), sum(len(noms)) from docs",
     "recherche_densite_un_mot": f"with {_DOC} select id, round(len(list_filter(mots, lambda w: w = 'toitur')) + 0.4 * len(list_filter(noms, lambda w: w = 'toitur')), 6) as score from docs where list_contains(mots, 'toitur') or list_contains(noms, 'toitur')",
     "preuve_accents": f"with {_DOC} select demande, lexeme, (select count(*) from docs where list_contains(mots, lexeme)) as marches, (select count(*) from docs) as echantillon from (values ('école', 'ecol'), ('Écoles', 'ecol'), ('ECOLE', 'ecol'), ('maintenance', 'mainten'), ('Maintenances', 'mainten'), ('toiture', 'toitur'), ('ascenseurs', 'ascenseur')) v(demande, lexeme)",
@@ -310,4 +315,4 @@ ORACLES = {
     "phrase_mediane": f"with x as (select famille_cpv, median(montant) as m from {_NOW} and montant > 0 group by 1), t as (select median(montant) as t from {_NOW} and montant > 0) select famille_cpv, case famille_cpv when '33' then 'Matériels médicaux' when '45' then 'Travaux' when '79' then 'Services aux entreprises' else coalesce('Division ' || famille_cpv, 'Famille non precisee') end as libelle, case when m / t >= 2 then 'fois la médiane' when m / t > 1.05 then 'au-dessus de la médiane' when m / t < 0.95 then 'en dessous de la médiane' else 'proche de la médiane' end as phrase from x, t",
 }
 ORACLES = O.typed(ORACLES)
-QUERIES = {n: globals()[n] for n in [*ORACLES, "recherche_densite", "vocabulaire_lexemes", "nombres_francais"]}
+QUERIES = {n: globals()[n] for n in [*ORACLES, "recherche_densite", "vocabulaire_lexemes"]}
