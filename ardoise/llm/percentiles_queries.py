@@ -38,8 +38,15 @@ def p6_union_bornes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXACT = "select lot, famille_cpv, count(montant) as n, " + ", ".join(f"quantile_cont(montant, {p}) as {c}" for c, p in QUARTILES.items()) + " from marches where famille_cpv is not null and montant is not null group by lot, famille_cpv"
+_PARTS = (
+    "with x as (select famille_cpv, montant as v, floor(128 * ln(1 + least(abs(montant), 1e300)) / ln(2)) as s from marches where famille_cpv is not null and montant is not null), "
+    "p as (select famille_cpv, case when v < 0 then -s - 1 else s end as part, count(*) as n, min(v) as lo, max(v) as hi from x group by all), "
+    "c as (select *, sum(n) over (partition by famille_cpv order by part) - n as before, sum(n) over (partition by famille_cpv) as total from p)"
+)
+_HOLDS = "max({0}) filter (where {1}((total - 1) * {2}) >= before and {1}((total - 1) * {2}) < before + n) as {3}"
 QUERIES = {"p6_found": p6_found, "p6_quartiles": p6_quartiles, "p6_union_bornes": p6_union_bornes}
 ORACLES = {
     "p6_quartiles": f"select lot, famille_cpv, n, {', '.join(f'round({c}, 4) as {c}' for c in QUARTILES)} from ({_EXACT})",
+    "p6_union_bornes": f"{_PARTS} select famille_cpv, cast(max(total) as bigint) as n, {', '.join(_HOLDS.format('lo', 'floor', p, c + '_bas') + ', ' + _HOLDS.format('hi', 'ceil', p, c + '_haut') for c, p in QUARTILES.items())} from c group by famille_cpv",
     "p6_found": " union all ".join(f"select s.lot, s.famille_cpv, '{c}' as champ from statistiques_familles s join ({_EXACT}) e on s.lot = e.lot and s.famille_cpv = e.famille_cpv where s.{c} is not null and abs(s.{c} - e.{c}) > {TOLERANCE} * abs(e.{c})" for c in ("montant_q1", "montant_median")),
 }
