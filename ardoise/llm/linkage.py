@@ -25,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ GENERIC_SHARE, GENERIC_LEAST = 0.004, 30
 # A buyer or supplier is common if it holds this share of the contracts.
 HOLDER_SHARE = 0.005
 # Contracts of one part of a block; distinct keys (one long each) that may be broadcast.
-BLOCK_CONTRACTS, KEYS_BROADCAST = 2_000, 2_000_000
+BLOCK_CONTRACTS, KEYS_BROADCAST = 2_000, 500_000
 # The labelled pairs that take part in the weights and calibrate the confidence: at most so many.
 LABELS, RIDGE = 20_000, 5.0
 
@@ -161,75 +162,70 @@ def _firm_words(name: str) -> list[str]:
     return [w for w in N.read(N.words(name))[2] if len(w) >= 5]
 
 
-READ = "noms array<string>, rares array<string>, lieux array<string>, larges array<string>, choses array<string>, travail string, genre string, firmes array<string>, colle string, acheteur_colle string, firme_colle string"
+READ = "noms array<string>, lieux array<string>, choses array<string>, travail string, genre string, firmes array<string>, colle string, acheteur_colle string, firme_colle string, cles array<bigint>, cles_toutes array<bigint>"
+_SKIP = SUBJECT_EMPTY | _WORK_WORDS
 
 
-def _read_records(frequent: list[str], things: list[str], generic: list[str]):
-    """Reads each record once: its buyer's own names and kind, rare places and all, thing, kind of work, and its suppliers' own words."""
+def _halves(w: str) -> tuple[str, str]:
+    return "<" + w[:6], ">" + w[-6:]
+
+
+def _with_things(heads: list[tuple[str, str]], common: list[str]) -> list[str]:
+    """Each head, made of a word, with the beginning and the end of every other word."""
+    return [k for head, of in heads for v in common if v != of for k in (f"{head}+{v[:4]}", f"{head}+{v[-4:]}$")]
+
+
+def _dated(words: list[str], common: list[str], when: list[str]) -> list[str]:
+    return [f"{h}{v[:5]}{m}" for w in words for h in _halves(w) for v in common for m in when]
+
+
+def keys_of(words: list[str], places: list[str], names: list[str], firms: list[str], month: int | None, work: str, ahead: int, notice: bool, narrow: bool) -> np.ndarray:
+    """The rare attribute keys of one record, hashed.
+
+    A place goes with the beginning of another word of the subject where it is spelt alike, and its
+    halves go with those of the buyer's name where either is misspelt.  A record is also looked for by
+    its buyer or its supplier, a word of its subject, its kind of work and the months that follow (of a
+    notice, by the supplier only without a buyer), and by the halves of its place and a word; if narrow,
+    by the buyer or supplier only without a place, by halves and a word only without a buyer.  A record
+    whose kind of work is not known is looked for under every kind.
+    """
+    common = [w for w in dict.fromkeys(words) if len(w) >= 4 and w not in _SKIP]
+    keys = _with_things([(r, r) for r in places], common)
+    keys += [f"{h}|{k}" for r in places for h in _halves(r) for b in names for k in _halves(b)]
+    if not (narrow and names):
+        keys += _with_things([(h, r) for r in places for h in _halves(r)], common)
+    if month is not None and not (narrow and places):
+        when = [f"{m}{k}" for k in ([work] if work else WORK) for m in range(month, month + ahead + 1)]
+        keys += _dated(names, common, when)
+        if not (notice and names):
+            keys += _dated(firms, common, when)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))).view(np.int64)
+
+
+def _read_records(frequent: list[str], things: list[str], generic: list[str], ahead: int | None = None):
+    """Reads each record once: its buyer's own names and kind, places, thing, kind of work, its suppliers' own words, and its keys.
+
+    ahead: the months that the keys of a notice reach; None for contracts, which have one set of keys.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, kind, firm = cache(_own_names), cache(lambda s: N.read(N.words(s))[0]), cache(_firm_words)
         squeeze, rare, usual, common, of_things, trades = cache(lambda s: "".join(N.words(s))), Usual(frequent), Usual(things), frozenset(frequent), frozenset(things), frozenset(generic)
         for pdf in batches:
             rows = []
-            for ident, mots, acheteur, commune, titulaires in zip(pdf["ident"], pdf["mots"], pdf["acheteur"], pdf["commune"], pdf["titulaires"], strict=True):
+            for ident, mots, acheteur, commune, titulaires, mois in zip(pdf["ident"], pdf["mots"], pdf["acheteur"], pdf["commune"], pdf["titulaires"], pdf["mois"], strict=True):
                 mots, firms = list(mots), [t for t in titulaires if t]
                 thing = [w for w in mots if w in of_things and len(w) >= 4 and w not in SUBJECT_EMPTY and w not in _WORK_WORDS]
-                words = sorted({w for t in firms for w in firm(t)} - trades)
-                rows.append((ident, own(acheteur, commune), rare.places(mots), usual.places(mots), [w for w in mots if len(w) >= 6 and w not in common], thing, work_kind(mots), kind(acheteur), words, "".join(mots), squeeze(acheteur), "".join(squeeze(t) for t in firms)))
+                words, names, work = sorted({w for t in firms for w in firm(t)} - trades), own(acheteur, commune), work_kind(mots)
+                month, wide = (None if mois != mois or mois is None else int(mois)), [w for w in mots if len(w) >= 6 and w not in common]
+                keys = np.zeros(0, np.int64) if ahead is None else keys_of(mots, rare.places(mots), names, words, month, work, ahead, True, True)
+                every = keys_of(mots, wide, names, words, month, work, ahead or 0, ahead is not None, False)
+                rows.append((ident, names, usual.places(mots), thing, work, kind(acheteur), words, "".join(mots), squeeze(acheteur), "".join(squeeze(t) for t in firms), keys, every))
             yield pd.DataFrame(rows, columns=["ident", *[c.split(" ")[0] for c in READ.split(", ")]])
 
     return run
 
 
-def _keys(df: DataFrame, months_ahead: int, narrow: bool, wide: bool) -> DataFrame:
-    """(ident, cle): the rare attribute keys of every record, hashed; all of it stays in the JVM.
-
-    df: records as read, with ``mois`` (months since year 0, or null).  A place goes with the
-    beginning of another word of the subject where it is spelt alike, and its halves go with those
-    of the buyer's name where either is misspelt.  A record is also looked for by its buyer or its
-    supplier, a word of its subject, its kind of work and the months that follow (of a notice, by the supplier only
-    without a buyer), and by the halves of its place and a word; if narrow, by the buyer or supplier
-    only without a place, by halves and a word only without a buyer.  If wide, misspellings of usual words are places too.
-    """
-    skip = F.array(*[F.lit(w) for w in sorted(SUBJECT_EMPTY | _WORK_WORDS)])
-    x = df.withColumn("_communs", F.filter(F.array_except("mots", skip), lambda w: F.length(w) >= 4))
-    places = "larges" if wide else "rares"
-    # A month with a kind of work; a record whose kind is not known is looked for under every kind.
-    kinds = F.when(F.col("travail") == "", F.array(*[F.lit(w) for w in WORK])).otherwise(F.array("travail"))
-    months = F.sequence(F.col("mois"), F.col("mois") + months_ahead)
-    x = x.withColumn("_quand", F.flatten(F.transform(kinds, lambda k: F.transform(months, lambda m: F.concat(m.cast("string"), k)))))
-
-    def halves(w: Column) -> Column:
-        return F.array(F.concat(F.lit("<"), F.left(w, F.lit(6))), F.concat(F.lit(">"), F.right(w, F.lit(6))))
-
-    def with_things(head: Column, word: Column) -> Column:
-        return F.flatten(F.transform(F.filter("_communs", lambda v: v != word), lambda v: F.array(F.concat(head, F.lit("+"), F.left(v, F.lit(4))), F.concat(head, F.lit("+"), F.right(v, F.lit(4)), F.lit("$")))))
-
-    def with_buyer(half: Column) -> Column:
-        return F.flatten(F.transform("noms", lambda b: F.transform(halves(b), lambda h: F.concat(half, F.lit("|"), h))))
-
-    def with_month(half: Column) -> Column:
-        return F.flatten(F.transform("_communs", lambda v: F.transform("_quand", lambda m: F.concat(half, F.left(v, F.lit(5)), m))))
-
-    def dated(words: str) -> Column:
-        return F.when(F.col("mois").isNotNull(), F.flatten(F.transform(words, lambda b: F.flatten(F.transform(halves(b), with_month)))))
-
-    none = F.array().cast("array<string>")
-    exact = F.flatten(F.transform(places, lambda r: with_things(r, r)))
-    fuzzy = F.flatten(F.transform(places, lambda r: F.flatten(F.transform(halves(r), with_buyer))))
-    loose = F.flatten(F.transform(places, lambda r: F.flatten(F.transform(halves(r), lambda h: with_things(h, r)))))
-    buyer, firm = dated("noms"), dated("firmes")
-    if months_ahead:
-        firm = F.when(F.size("noms") == 0, firm)
-    if narrow:
-        loose = F.when(F.size("noms") == 0, loose)
-        buyer = F.when(F.size("rares") == 0, buyer)
-        firm = F.when(F.size("rares") == 0, firm)
-    every = F.concat(exact, fuzzy, F.coalesce(loose, none), F.coalesce(buyer, none), F.coalesce(firm, none))
-    return x.select("ident", F.explode(F.array_distinct(F.transform(every, lambda k: F.xxhash64(k)))).alias("cle"))
-
-
 def frequent_words(contracts: DataFrame) -> tuple[list[str], list[str]]:
     """(words in more than a fixed share of all subjects, those of them that many buyers use: things, not quarters of one town).
 
@@ -262,10 +258,10 @@ def candidates(notices: DataFrame, contracts: DataFrame, wide: bool = False) ->
 
     Blocks of a key that many contracts share are split by contract; every part meets all notices of the key.
     """
-    n = materialise(_keys(notices, MONTHS, not wide, wide).withColumnRenamed("ident", "idweb"), "cles-avis")
+    n = materialise(notices.select(F.col("ident").alias("idweb"), F.explode("cles_toutes" if wide else "cles").alias("cle")), "cles-avis")
     wanted = small(n.select("cle").distinct(), "cles", KEYS_BROADCAST)
     # Only keys that a notice has can make an edge.
-    c = materialise(_keys(contracts, 0, False, wide).join(wanted, "cle", "left_semi").withColumnRenamed("ident", "contrat"), "cles-contrats")
+    c = materialise(contracts.select(F.col("ident").alias("contrat"), F.explode("cles_toutes").alias("cle")).join(wanted, "cle", "left_semi"), "cles-contrats")
     blocks = c.groupBy("cle").agg(F.count(F.lit(1)).alias("_n")).select("cle", (1.0 / F.col("_n")).alias("rarete"), F.ceil(F.col("_n") / F.lit(BLOCK_CONTRACTS)).cast("int").alias("_parts"))
     large = F.broadcast(blocks.filter("_parts > 1").select("cle", F.col("_parts").alias("_p")).limit(KEYS_BROADCAST + 1)) if blocks.filter("_parts > 1").count() <= KEYS_BROADCAST else blocks.select("cle", F.col("_parts").alias("_p"))
     left = n.join(blocks, "cle").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
@@ -485,15 +481,15 @@ def link(avis: DataFrame, marches: DataFrame, verdicts: DataFrame | None = None)
     notices = materialise(split(_notices(avis)), "avis")
     (frequent, things), generic = frequent_words(contracts), generic_words(contracts)
 
-    def read(df: DataFrame, ident: str, firms: Column, *also: str) -> DataFrame:
+    def read(df: DataFrame, ident: str, firms: Column, ahead: int | None, *also: str) -> DataFrame:
         x = df.withColumnRenamed(ident, "ident").withColumn("titulaires", firms)
-        y = x.select("ident", "mots", "acheteur", "commune", "titulaires").mapInPandas(_read_records(frequent, things, generic), f"ident string, {READ}")
-        return materialise(x.select("ident", "mots", "objet", "date", "famille", (F.year("date") * 12 + F.month("date")).alias("mois"), "titulaires", *also).join(y, "ident"), "lus")
+        y = x.select("ident", "mots", "acheteur", "commune", "titulaires", (F.year("date") * 12 + F.month("date")).alias("mois")).mapInPandas(_read_records(frequent, things, generic, ahead), f"ident string, {READ}")
+        return materialise(x.select("ident", "mots", "objet", "date", "famille", "titulaires", *also).join(y, "ident"), "lus")
 
-    notices = read(notices, "idweb", F.array_compact(F.array("titulaire")), "montant")
-    contracts = read(contracts, "contrat", F.col("titulaires"), "montants", "acheteur_id")
+    notices = read(notices, "idweb", F.array_compact(F.array("titulaire")), MONTHS, "montant")
+    contracts = read(contracts, "contrat", F.col("titulaires"), None, "montants", "acheteur_id")
     levels = _agreement(common_holders(contracts, "noms"), common_holders(contracts, "firmes"))
-    stated = ["mots", "date", "famille", *[c.split(" ")[0] for c in READ.split(", ") if not c.startswith(("larges", "rares"))]]
+    stated = ["mots", "date", "famille", *[c.split(" ")[0] for c in READ.split(", ") if not c.startswith("cles")]]
     n = notices.select(F.col("ident").alias("idweb"), F.col("montant").alias("n_montant"), *[F.col(x).alias(f"n_{x}") for x in stated])
     c = contracts.select(F.col("ident").alias("contrat"), F.col("montants").alias("c_montants"), "acheteur_id", "titulaires", fold(F.col("objet")).alias("_objet"), *[F.col(x).alias(f"c_{x}") for x in stated])
 
