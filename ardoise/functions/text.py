@@ -45,10 +45,11 @@ def contract_number(marche_id: Column, uid: Column) -> Column:
     as its upper-case letters and digits; null where both are null or hold no letter or digit.
     """
     x = F.coalesce(F.nullif(F.trim(marche_id), F.lit("")), uid)
-    form = r"(\d{4})[^0-9A-Za-z]*(\d{8})[^0-9A-Za-z]*([A-Za-z])\s*$"
-    usual = F.concat_ws("-", F.regexp_extract(x, form, 1), F.regexp_extract(x, form, 2), F.upper(F.regexp_extract(x, form, 3)))
+    # Most numbers are in their usual form already: they cost one anchored comparison.
+    form = r"^[\s\S]*?(\d{4})[^0-9A-Za-z]*(\d{8})[^0-9A-Za-z]*([A-Za-z])\s*$"
+    usual = F.upper(F.regexp_replace(x, form, "$1-$2-$3"))
     plain = F.nullif(F.upper(F.regexp_replace(x, "[^0-9A-Za-z]", "")), F.lit(""))
-    return F.when(x.rlike(form), usual).otherwise(plain)
+    return F.when(x.rlike(r"^\d{4}-\d{8}-[A-Z]$"), x).when(x.rlike(form), usual).otherwise(plain)
 
 
 def trigrams(text: Column) -> Column:
