@@ -25,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,6 +164,7 @@ def _firm_words(name: str) -> list[str]:
 
 
 READ = "noms array<string>, lieux array<string>, choses array<string>, travail string, genre string, firmes array<string>, colle string, acheteur_colle string, firme_colle string, cles array<bigint>, cles_toutes array<bigint>"
+_READ_NAMES = [c.split(" ")[0] for c in READ.split(", ")]
 _SKIP = SUBJECT_EMPTY | _WORK_WORDS
 
 
@@ -208,20 +210,23 @@ def _read_records(frequent: list[str], things: list[str], generic: list[str], ah
     ahead: the months that the keys of a notice reach; None for contracts, which have one set of keys.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, kind, firm = cache(_own_names), cache(lambda s: N.read(N.words(s))[0]), cache(_firm_words)
         squeeze, rare, usual, common, of_things, trades = cache(lambda s: "".join(N.words(s))), Usual(frequent), Usual(things), frozenset(frequent), frozenset(things), frozenset(generic)
-        for pdf in batches:
+        texts, words_, keys_ = pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())
+        types = [words_, words_, words_, texts, texts, words_, texts, texts, texts, keys_, keys_]
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("mots", "acheteur", "commune", "titulaires", "mois")]
             rows = []
-            for ident, mots, acheteur, commune, titulaires, mois in zip(pdf["ident"], pdf["mots"], pdf["acheteur"], pdf["commune"], pdf["titulaires"], pdf["mois"], strict=True):
-                mots, firms = list(mots), [t for t in titulaires if t]
+            for mots, acheteur, commune, titulaires, month in zip(*columns, strict=True):
+                firms = [t for t in titulaires if t]
                 thing = [w for w in mots if w in of_things and len(w) >= 4 and w not in SUBJECT_EMPTY and w not in _WORK_WORDS]
-                words, names, work = sorted({w for t in firms for w in firm(t)} - trades), own(acheteur, commune), work_kind(mots)
-                month, wide = (None if mois != mois or mois is None else int(mois)), [w for w in mots if len(w) >= 6 and w not in common]
-                keys = np.zeros(0, np.int64) if ahead is None else keys_of(mots, rare.places(mots), names, words, month, work, ahead, True, True)
+                words, names, work, wide = sorted({w for t in firms for w in firm(t)} - trades), own(acheteur, commune), work_kind(mots), [w for w in mots if len(w) >= 6 and w not in common]
+                keys = [] if ahead is None else keys_of(mots, rare.places(mots), names, words, month, work, ahead, True, True)
                 every = keys_of(mots, wide, names, words, month, work, ahead or 0, ahead is not None, False)
-                rows.append((ident, names, usual.places(mots), thing, work, kind(acheteur), words, "".join(mots), squeeze(acheteur), "".join(squeeze(t) for t in firms), keys, every))
-            yield pd.DataFrame(rows, columns=["ident", *[c.split(" ")[0] for c in READ.split(", ")]])
+                rows.append((names, usual.places(mots), thing, work, kind(acheteur), words, "".join(mots), squeeze(acheteur), "".join(squeeze(t) for t in firms), keys, every))
+            read = list(zip(*rows, strict=True)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(read, types, strict=True))], names=[*batch.schema.names, *_READ_NAMES])
 
     return run
 
@@ -482,14 +487,15 @@ def link(avis: DataFrame, marches: DataFrame, verdicts: DataFrame | None = None)
     (frequent, things), generic = frequent_words(contracts), generic_words(contracts)
 
     def read(df: DataFrame, ident: str, firms: Column, ahead: int | None, *also: str) -> DataFrame:
-        x = df.withColumnRenamed(ident, "ident").withColumn("titulaires", firms)
-        y = x.select("ident", "mots", "acheteur", "commune", "titulaires", (F.year("date") * 12 + F.month("date")).alias("mois")).mapInPandas(_read_records(frequent, things, generic, ahead), f"ident string, {READ}")
-        return materialise(x.select("ident", "mots", "objet", "date", "famille", "titulaires", *also).join(y, "ident"), "lus")
+        x = df.withColumnRenamed(ident, "ident").withColumn("titulaires", firms).withColumn("mois", F.year("date") * 12 + F.month("date"))
+        x = x.select("ident", "mots", "acheteur", "commune", "titulaires", "mois", "objet", "date", "famille", *also)
+        # The columns of a batch pass through as they are.
+        return materialise(x.mapInArrow(_read_records(frequent, things, generic, ahead), f"{', '.join(f'{c} {t}' for c, t in x.dtypes)}, {READ}").drop("acheteur", "commune", "mois"), "lus")
 
     notices = read(notices, "idweb", F.array_compact(F.array("titulaire")), MONTHS, "montant")
     contracts = read(contracts, "contrat", F.col("titulaires"), None, "montants", "acheteur_id")
     levels = _agreement(common_holders(contracts, "noms"), common_holders(contracts, "firmes"))
-    stated = ["mots", "date", "famille", *[c.split(" ")[0] for c in READ.split(", ") if not c.startswith("cles")]]
+    stated = ["mots", "date", "famille", *[c for c in _READ_NAMES if not c.startswith("cles")]]
     n = notices.select(F.col("ident").alias("idweb"), F.col("montant").alias("n_montant"), *[F.col(x).alias(f"n_{x}") for x in stated])
     c = contracts.select(F.col("ident").alias("contrat"), F.col("montants").alias("c_montants"), "acheteur_id", "titulaires", fold(F.col("objet")).alias("_objet"), *[F.col(x).alias(f"c_{x}") for x in stated])
 

@@ -85,10 +85,10 @@ def test_propagation_ends_in_a_settled_state_or_raises(spark, monkeypatch):
 
 
 def test_every_supplier_and_every_name_of_a_buyer_takes_part(spark):
-    import pandas as pd
+    import pyarrow as pa
 
     rows = [("n1", "c1", 5.0, None, None, "x", ["alpha", "zeta"], None), ("n2", "c2", 5.0, None, None, "x", ["beta", "zeta"], None)]
     says = {r.idweb: r.dit for r in L._support(L._shares(spark.createDataFrame(rows, L.EDGE).withColumn("total", L.F.col("score")))).collect()}
     assert says["n1"] > 0.4 and says["n2"] > 0.4
-    pdf = pd.DataFrame({"ident": ["a"], "mots": [[]], "acheteur": ["Quvoxaria Lirobandex Trovimelan Zabrolix Munodeka"], "commune": [None], "titulaires": [[]], "mois": [None]})
-    assert len(next(iter(L._read_records([], [], [])(iter([pdf]))))["noms"][0]) == 5
+    batch = pa.RecordBatch.from_pylist([{"ident": "a", "mots": [], "acheteur": "Quvoxaria Lirobandex Trovimelan Zabrolix Munodeka", "commune": None, "titulaires": [], "mois": None}])
+    assert len(next(iter(L._read_records([], [], [])(iter([batch])))).to_pylist()[0]["noms"]) == 5
