@@ -29,7 +29,7 @@ from ardoise.functions.snowball import stem, stems
 from ardoise.functions.text import fold
 from ardoise.operators.index import Index
 from ardoise.operators.search import STOP, tokens
-from ardoise.session import BROADCAST_ROWS, materialise
+from ardoise.session import BROADCAST_ROWS, materialise, small
 
 # Wordings of what is asked for, folded, in the order in which they are tried.
 INTENTS = {
@@ -200,8 +200,10 @@ ASKED = ("filtre", "annee", "region", "departement")
 def matched(read: DataFrame, df: DataFrame, ix: Index) -> DataFrame:
     """(filtre, and the row's columns): every row that passes the filter of some question."""
     live = read.filter(F.col("refus").isNull()).dropDuplicates(["filtre"])
-    postings = ix.postings.select("lexeme", "id").distinct()
     worded = live.filter(F.size("lexemes") > 0)
+    # Of the postings only those of the words asked for.
+    asked = small(worded.select(F.explode("lexemes").alias("lexeme")).distinct(), "lexemes-demandes")
+    postings = materialise(ix.postings.join(asked, "lexeme", "left_semi").select("lexeme", "id").distinct(), "postings-demandes")
     # The rarest word of a question finds candidates, each other word must be there too.
     found = worded.join(postings.withColumnRenamed("lexeme", "rare"), "rare").select(*ASKED, "id", F.array_remove("lexemes", F.col("rare")).alias("_autres"))
     single = found.filter(F.size("_autres") == 0).drop("_autres")

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 # A table is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
+# ... and its files take at most so many bytes.
+BROADCAST_BYTES = 16_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -54,9 +56,11 @@ def keep(spark: SparkSession, path: str) -> None:
 
 
 def small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` written and counted: broadcast if it has at most ``rows`` rows, else left to a shuffled join."""
+    """``df`` written and measured: broadcast if it has at most ``rows`` rows and BROADCAST_BYTES as written, else left to a shuffled join."""
     kept = materialise(df, name)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_written[-1][1])
+    size = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(kept) if size <= BROADCAST_BYTES and kept.count() <= rows else kept
 
 
 @atexit.register
