@@ -88,9 +88,11 @@ def _versions(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.filter(F.col("version").isNotNull()).groupBy("contrat", "fournisseur", "version").agg(best.alias("_v"), F.min("date").alias("date")).select("contrat", "fournisseur", "version", "date", "_v.*")
 
 
-def learn_precedence(rows: DataFrame) -> tuple[list[tuple[str, int, float]], dict[str, list[tuple[str, str]]]]:
-    """What orders versions: (field, 1 if it grows or -1, share of transitions), the most reliable first; and by field the pairs (earlier, later) of values."""
-    known = materialise(_versions(rows, [f"_{c}" for c in (*ORDERED, *VALUED)]), "versions")
+def learn_precedence(known: DataFrame) -> tuple[list[tuple[str, int, float]], dict[str, list[tuple[str, str]]]]:
+    """What orders versions: (field, 1 if it grows or -1, share of transitions), the most reliable first; and by field the pairs (earlier, later) of values.
+
+    known: one row per stated version of an award.
+    """
     w = Window.partitionBy("contrat", "fournisseur").orderBy("version")
     moves = known.select(*[F.signum(F.col(f"_{c}") - F.lag(f"_{c}").over(w)).alias(f"_{c}") for c in ORDERED])
     counts = moves.agg(*[x for c in ORDERED for x in (F.count_if(F.col(f"_{c}") > 0).alias(f"u_{c}"), F.count_if(F.col(f"_{c}") < 0).alias(f"d_{c}"), F.count(f"_{c}").alias(f"n_{c}"))]).first()
@@ -116,12 +118,13 @@ def learn_precedence(rows: DataFrame) -> tuple[list[tuple[str, int, float]], dic
 def ordered(marches: DataFrame) -> DataFrame:
     """The rows of all awards with their node (``entier``, ``niveau``, ``monnaie``) and ``rang``: a struct that grows along a linear extension of the group's order."""
     rows = awards(marches)
-    fields, pairs = learn_precedence(rows)
+    known = materialise(_versions(rows, [f"_{c}" for c in (*ORDERED, *VALUED)]), "versions")
+    fields, pairs = learn_precedence(known)
     key = ["contrat", "fournisseur"]
     rows = rows.withColumn("_monnaie", F.col(f"_{fields[0][0]}") * fields[0][1] if fields else F.lit(None).cast("double"))
     unstated = rows.filter(F.col("version").isNull())
     used = sorted({"_montant", *[f"_{c}" for c, _, _ in fields], *[f"_{c}" for c in pairs]})
-    stated = _versions(rows, used).join(unstated.select(*key).distinct(), key, "left_semi")
+    stated = known.select(*key, "version", "date", *used).join(unstated.select(*key).distinct(), key, "left_semi")
     versions = stated.groupBy(*key).agg(F.collect_list(F.struct("version", "date", *used)).alias("_versions"))
     x = unstated.join(versions, key, "left")
 
