@@ -26,6 +26,7 @@ from ardoise.session import BROADCAST_ROWS, keep, materialise, shared_folder
 
 # Postings of one file, at most about so many.
 FILE_POSTINGS = 4_000_000
+SCHEMAS = ("lexeme string, poids string, id long, longueur int, positions array<int>", "lexeme string, poids string, marches long", "poids string, documents long, mots long")
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,7 @@ def index(df: DataFrame, fields: list[tuple[str, str]], name: str) -> Index:
         lengths = {w: sum((F.size(tokens(F.col(c))) for c, v in fields if v == w), F.lit(0)) for _, w in fields}
         size = F.array(*[F.struct(F.lit(w).alias("poids"), n.cast("long").alias("mots")) for w, n in lengths.items()])
         df.select(F.inline(size)).groupBy("poids").agg(F.count(F.lit(1)).alias("documents"), F.sum("mots").alias("mots")).coalesce(1).write.mode("overwrite").parquet(paths[2])
-    return Index(*[spark.read.parquet(p) for p in paths])
+    return Index(*[spark.read.schema(schema).parquet(p) for schema, p in zip(SCHEMAS, paths, strict=True)])
 
 
 def having_all(ix: Index, terms: list[str], weights: str = "ABCD") -> DataFrame:
@@ -212,6 +213,8 @@ def frequencies(ix: Index, weight: str = "A") -> DataFrame:
 
 
 def rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of a table whose ids were found: by a broadcast of the ids if they were counted few."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if few else ids, "id")
+    """The rows of a table whose ids were found.  At most BROADCAST_ROWS + 1 ids come to the driver, which sends them out again if that are all."""
+    found = ids.limit(BROADCAST_ROWS + 1).toArrow()
+    if found.num_rows > BROADCAST_ROWS:
+        return df.join(ids, "id")
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(found)), "id")
