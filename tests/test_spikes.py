@@ -61,3 +61,27 @@ def test_prefix_products_equal_a_loop():
 @pytest.mark.parametrize("rows", [[], [["montant", 1, None, None, None, 5.0, 5.0, 1, False, False]]])
 def test_empty_and_null_keys(spark, rows):
     assert flags(spark, rows) == {}
+
+
+def test_messages_over_a_tree_equal_one_run(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    start = [0.99, 0.005, 0.003, 0.002]
+    rows = [("montant", s, None if s == "b" else 1, k, r.random(16).tolist(), start) for s in ("a", "b") for k in range(13)]
+    df = spark.createDataFrame(rows, S.MATRICES)
+    key = lambda x: {(m.source, m.bloc): (np.array(m.avant), np.array(m.apres)) for m in x.collect()}
+    whole = key(S.entering_messages(df, 13))
+    monkeypatch.setattr(S, "FAN", 3)
+    tree = key(S.entering_messages(df, 13))
+    assert whole.keys() == tree.keys() and len(tree) == 26
+    for k, (before, after) in whole.items():
+        assert np.allclose(before, tree[k][0]) and np.allclose(after / after.sum(), tree[k][1] / tree[k][1].sum())
+
+
+def test_stuck_needs_a_stretch_not_just_repeats(spark):
+    rows = series(7, 900)
+    for i in range(5, 900, 60):  # fifteen times the same value, far apart
+        rows[i][5] = rows[i][6] = 5.125
+    assert "fige" not in flags(spark, rows).values()
+    for i in range(400, 410):
+        rows[i][5] = rows[i][6] = 4.875
+    assert {k[1] for k, v in flags(spark, rows).items() if v == "fige"} == set(range(400, 410))
