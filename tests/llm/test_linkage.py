@@ -92,3 +92,50 @@ def test_every_supplier_and_every_name_of_a_buyer_takes_part(spark):
     assert says["n1"] > 0.4 and says["n2"] > 0.4
     batch = pa.RecordBatch.from_pylist([{"ident": "a", "mots": [], "acheteur": "Quvoxaria Lirobandex Trovimelan Zabrolix Munodeka", "commune": None, "titulaires": [], "mois": None}])
     assert len(next(iter(L._read_records([], [], [])(iter([batch])))).to_pylist()[0]["noms"]) == 5
+
+
+def patterns(rows):
+    import pandas as pd
+
+    names = list(L.LEVELS)
+    return pd.DataFrame([{**dict.fromkeys(names, 0), **levels, "n": n, "oui": yes, "non": no} for levels, n, yes, no in rows])
+
+
+def test_weights_follow_judged_pairs_and_bear_wrong_verdicts():
+    same = {"objet": 16, "travail": 2, "acheteur": 3, "genre": 2, "delai": 2}
+    other = same | {"objet": 14}  # the place of one purchase, the thing of another
+    weights, share = L.learn_weights(patterns([(same, 900, 60, 2), (other, 5000, 2, 60), ({}, 10, 0, 0)]))
+    assert weights["objet"][16] > 2 and weights["objet"][14] < -4 and 0.05 < share < 0.3
+    assert all(w[0] == 0.0 for w in weights.values())
+    # Without verdicts the shares to begin with decide.
+    bare, _ = L.learn_weights(patterns([(same, 900, 0, 0), (other, 5000, 0, 0)]))
+    assert bare["objet"][16] > bare["objet"][14]
+
+
+def test_a_contract_goes_to_the_notice_with_the_larger_share(spark):
+    rows = [("n1", "c1", 4.0, None, None, None, [], None), ("n2", "c1", 6.0, None, None, None, [], None), ("n2", "c2", 1.0, None, None, None, [], None), ("n1", "c3", 3.0, None, None, None, [], None), ("n3", "c3", 9.0, None, None, None, [], None)]
+    x = L._shares(spark.createDataFrame(rows, L.EDGE).withColumn("total", L.F.col("score")))
+    got = {(r.idweb, r.contrat): r.part for r in L.one_to_one(x).collect()}
+    assert ("n1", "c1") not in got and ("n1", "c3") not in got and got["n2", "c1"] > 0.9 and got["n3", "c3"] > 0.9
+
+
+def test_split_blocks_give_the_same_graph(spark, monkeypatch):
+    records = lambda n, same: spark.createDataFrame([(f"{same}{k}", [1, 100 + k % 3], [1, 100 + k % 3, 7]) for k in range(n)], "ident string, cles array<bigint>, cles_toutes array<bigint>")
+    whole = {tuple(r) for r in L.candidates(records(5, "n"), records(40, "c")).collect()}
+    monkeypatch.setattr(L, "BLOCK_CONTRACTS", 3)
+    assert {tuple(r) for r in L.candidates(records(5, "n"), records(40, "c")).collect()} == whole and len(whole) > 5
+    monkeypatch.setattr(L, "KEYS_BROADCAST", 0)
+    assert {tuple(r) for r in L.candidates(records(5, "n"), records(40, "c")).collect()} == whole
+
+
+def test_keys_of_a_notice_meet_those_of_its_contract():
+    def meet(notice, contract, narrow=True):
+        return set(L.keys_of(*notice, L.MONTHS, True, narrow)) & set(L.keys_of(*contract, 0, False, False))
+
+    contract = (["location", "toiture", "zabrolixene"], ["zabrolixene"], ["quvoxaria"], ["firmenom"], 24_000, "location")
+    assert meet((["toiture", "zabrolixene"], ["zabrolixene"], [], [], None, ""), contract)
+    # A misspelt place with the buyer; no place, but buyer or supplier in a month before.
+    assert meet((["toiture", "zabrolixxne"], ["zabrolixxne"], ["quvoxaria"], [], None, ""), contract)
+    assert meet((["toiture"], [], ["quvoxaria"], [], 23_990, "location"), contract) and meet((["toiture"], [], [], ["firmenom"], 23_990, ""), contract)
+    assert not meet((["toiture"], [], ["quvoxaria"], [], 23_990, "fourniture"), contract) and not meet((["toiture"], [], ["quvoxaria"], [], 24_001, "location"), contract)
+    assert len(L.keys_of([], [], [], [], None, "", 0, False, False)) == 0
