@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ardoise.session import BROADCAST_ROWS, materialise, small
+from ardoise.session import materialise, small
 
 BLOCK = 1 << 15
 FAN = 1 << 12
@@ -107,12 +107,12 @@ def repeated_values(df: DataFrame, round_value: Column) -> DataFrame:
     last id of the series with it.  These alone can be held; whether they are is the model's to say.
     """
     per_award = df.groupBy("champ", "source", "lot", "valeur", "attribution").agg(F.min("id").alias("_a"), F.max("id").alias("_b"))
-    per_series = per_award.groupBy("champ", "source", "lot", "valeur").agg(F.count(F.lit(1)).alias("repete"), F.min("_a").alias("premier"), F.max("_b").alias("dernier"))
+    per_series = materialise(per_award.groupBy("champ", "source", "lot", "valeur").agg(F.count(F.lit(1)).alias("repete"), F.min("_a").alias("premier"), F.max("_b").alias("dernier")), "par-serie")
     sizes = small(per_series.groupBy("champ", "source", "lot").agg(F.sum("repete").alias("serie_n")), "series")
     source_sizes = sizes.groupBy("champ", "source").agg(F.sum("serie_n").alias("source_n"))
-    often = materialise(per_series.filter(F.col("repete") >= STUCK_LEAST), "repetees")
-    everywhere = df.join(F.broadcast(often.select("champ", "valeur").distinct()) if often.count() <= BROADCAST_ROWS else often.select("champ", "valeur").distinct(), ["champ", "valeur"], "left_semi")
-    per_value = everywhere.groupBy("champ", "source", "valeur", "lot", "attribution").agg(F.lit(1).alias("_1")).groupBy("champ", "source", "valeur").agg(F.count(F.lit(1)).alias("partout"))
+    often = per_series.filter(F.col("repete") >= STUCK_LEAST)
+    values = small(often.select("champ", "valeur").distinct(), "valeurs")
+    per_value = per_series.join(values, ["champ", "valeur"], "left_semi").groupBy("champ", "source", "valeur").agg(F.sum("repete").alias("partout"))
     x = _join(_join(_join(often, sizes, ["champ", "source", "lot"]), source_sizes, ["champ", "source"]), per_value, ["champ", "source", "valeur"])
     elsewhere = F.col("partout") - F.col("repete") + F.when(round_value, 2.0).otherwise(0.5)
     rate = F.least(F.lit(1.0), elsewhere / F.greatest(F.col("source_n") - F.col("serie_n"), F.col("serie_n")))
