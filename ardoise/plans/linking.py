@@ -63,9 +63,7 @@ def liens_nombre_candidats(spark, d):
 def liens_difflib(spark, d):
     """STR-10: of every notice the candidate of the band join whose subject is most similar; equal ones by the smaller id."""
     n = _n(spark, d).filter("idweb is not null").dropDuplicates(["idweb"])
-    x = L.candidates(n, _m(spark, d)).select("idweb", "id").join(n.select("idweb", "objet_boamp"), "idweb").join(_m(spark, d).select("id", F.col("objet").alias("objet_decp")), "id")
-    best = F.max_by(F.struct("id", "ratio"), F.struct("ratio", -F.col("id")))
-    return L.difflib_ratio(x, "objet_boamp", "objet_decp").filter("ratio is not null").groupBy("idweb").agg(best.alias("b")).select("idweb", "b.*")
+    return L.most_similar(n, _m(spark, d))
 
 
 def verdicts_tableau(spark, d):
