@@ -197,19 +197,20 @@ def _rows(df: DataFrame) -> DataFrame:
 ASKED = ("filtre", "annee", "region", "departement")
 
 
+def _asked_words(worded: DataFrame, ix: Index) -> DataFrame:
+    """(id, _mots): of every row the words that some question asks for, sorted; of the postings only those of these words are read."""
+    asked = small(worded.select(F.explode("lexemes").alias("lexeme")).distinct(), "lexemes-demandes")
+    return ix.postings.select("id", "lexeme").join(asked, "lexeme", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("lexeme")).alias("_mots"))
+
+
 def matched(read: DataFrame, df: DataFrame, ix: Index) -> DataFrame:
     """(filtre, and the row's columns): every row that passes the filter of some question."""
     live = read.filter(F.col("refus").isNull()).dropDuplicates(["filtre"])
     worded = live.filter(F.size("lexemes") > 0)
-    # Of the postings only those of the words asked for.
-    asked = small(worded.select(F.explode("lexemes").alias("lexeme")).distinct(), "lexemes-demandes")
-    postings = materialise(ix.postings.join(asked, "lexeme", "left_semi").select("lexeme", "id").distinct(), "postings-demandes")
-    # The rarest word of a question finds candidates, each other word must be there too.
-    found = worded.join(postings.withColumnRenamed("lexeme", "rare"), "rare").select(*ASKED, "id", F.array_remove("lexemes", F.col("rare")).alias("_autres"))
-    single = found.filter(F.size("_autres") == 0).drop("_autres")
-    more = found.filter(F.size("_autres") > 0).select(*ASKED, "id", F.size("_autres").alias("_n"), F.explode("_autres").alias("lexeme"))
-    several = more.join(postings, ["lexeme", "id"], "left_semi").groupBy(*ASKED, "id", "_n").agg(F.count(F.lit(1)).alias("_k")).filter("_k = _n").drop("_k", "_n")
-    by_words = _placed(single.unionByName(several).join(_rows(df), "id"))
+    filters = small(worded.select(*ASKED, "lexemes", "rare"), "filtres")
+    # A row is held against the filters whose rarest word it has, with all its words at hand: no candidate is written or shuffled.
+    near = _asked_words(worded, ix).join(_rows(df), "id").withColumn("rare", F.explode("_mots")).join(filters, "rare")
+    by_words = _placed(near.filter(F.size(F.array_except("lexemes", "_mots")) == 0))
     # Questions of a year or place alone are held against all rows; few by nature, and counted.
     bare = live.filter(F.size("lexemes") == 0).select(*ASKED)
     if bare.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
@@ -265,11 +266,16 @@ def answers(read: DataFrame, df: DataFrame, signals: DataFrame, ix: Index) -> Da
 
 
 def recounted(read: DataFrame, df: DataFrame, ix: Index) -> DataFrame:
-    """(filtre, recompte): matching rows counted along another way: every word's postings, none first."""
+    """(filtre, recompte): matching rows counted along another way: by sets of words, years and places, every word of a filter alike, none first.
+
+    Filters meet the distinct sets of words, not the rows: many questions share a frequent word.
+    """
     live = read.filter(F.col("refus").isNull() & (F.size("lexemes") > 0)).dropDuplicates(["filtre"])
-    hits = live.select(*ASKED, F.size("lexemes").alias("_n"), F.explode("lexemes").alias("lexeme")).join(ix.postings.select("lexeme", "id", "poids"), "lexeme")
-    full = hits.groupBy(*ASKED, "_n", "id").agg(F.count_distinct("lexeme").alias("_k")).filter("_k = _n")
-    return _placed(full.join(_rows(df), "id")).groupBy("filtre").agg(F.count(F.lit(1)).alias("recompte"))
+    placed = ("m_annee", "m_region", "m_departement")
+    sets = materialise(_asked_words(live, ix).join(_rows(df).select("id", *placed), "id").groupBy("_mots", *placed).agg(F.count(F.lit(1)).alias("_lignes")), "ensembles-de-mots")
+    hits = sets.select("_mots").distinct().select("_mots", F.explode("_mots").alias("lexeme")).join(live.select(*ASKED, F.size("lexemes").alias("_n"), F.explode("lexemes").alias("lexeme")), "lexeme")
+    full = hits.groupBy(*ASKED, "_n", "_mots").agg(F.count_distinct("lexeme").alias("_k")).filter("_k = _n")
+    return _placed(full.join(sets, "_mots")).groupBy("filtre").agg(F.sum("_lignes").alias("recompte"))
 
 
 def false_citations(read: DataFrame, answered: DataFrame, df: DataFrame, fields: list[str]) -> DataFrame:
