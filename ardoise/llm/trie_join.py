@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ardoise.session import shuffled
+
 SHARD_STRINGS = 20_000
 LEAST = 4
 
@@ -123,7 +125,7 @@ def trie_join(index: DataFrame, probes: DataFrame, bound: int = 1) -> DataFrame:
     p = probes.select(F.col("groupe").alias("_groupe"), F.col("mot").alias("_mot")).filter(F.length("_mot") >= LEAST).distinct()
     i = i.withColumn("_case", F.explode(_index_shards(F.col("_mot"), pieces)))
     p = p.withColumn("_case", F.explode(_probe_shards(F.col("_mot"), pieces, bound)))
-    parts = i.groupBy("_groupe", "_case").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_STRINGS)).cast("int").alias("_parts"))
+    parts = shuffled(i.groupBy("_groupe", "_case").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_STRINGS)).cast("int").alias("_parts")))
     i = i.join(parts, ["_groupe", "_case"]).withColumn("_part", F.pmod(F.xxhash64("_mot"), F.col("_parts")).cast("int"))
     p = p.join(parts, ["_groupe", "_case"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     # Small shards travel together: a bucket of shards is one group for Python, told apart inside.

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ardoise.llm import names as N
 from ardoise.llm.trie_join import trie_join
-from ardoise.session import materialise
+from ardoise.session import materialise, shuffled
 
 # A word is a misspelling of its neighbour only if that neighbour is so many times as common.
 DOMINANCE = 3.0
@@ -130,8 +130,8 @@ def canonical_vocabulary(names: DataFrame) -> DataFrame:
     near = materialise(near.select(F.substring_index("groupe", "|", 1).alias("champ"), F.substring_index("groupe", "|", -1).alias("sorte"), "sonde", "mot", "distance"), "voisins")
     of_words, of_pairs = near.filter("sorte = 'mot'"), near.filter("sorte = 'paire'")
 
-    weight = vocabulary.select("champ", F.col("mot"), F.col("poids").alias("poids_mot"))
-    own = vocabulary.filter(~F.col("fixe")).select("champ", F.col("mot").alias("sonde"), F.col("poids").alias("poids_sonde"), "dans")
+    weight = shuffled(vocabulary.select("champ", F.col("mot"), F.col("poids").alias("poids_mot")))
+    own = shuffled(vocabulary.filter(~F.col("fixe")).select("champ", F.col("mot").alias("sonde"), F.col("poids").alias("poids_sonde"), "dans"))
     clear = F.col("poids_mot") >= DOMINANCE * F.col("poids_sonde")
     slip = (F.length("sonde") >= LONG) & (F.col("dans") <= FEW)
     heavier = (F.col("poids_mot") > F.col("poids_sonde")) | ((F.col("poids_mot") == F.col("poids_sonde")) & (F.col("mot") < F.col("sonde")))
@@ -140,11 +140,11 @@ def canonical_vocabulary(names: DataFrame) -> DataFrame:
     best = Window.partitionBy("champ", "sonde").orderBy(F.col("distance"), F.col("poids_mot").desc(), F.col("mot"))
     word = word.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("champ", "sonde", "mot", F.lit(1).alias("ordre"))
     # A misspelling of a misspelling follows on to the word itself.
-    onward = word.select("champ", F.col("sonde").alias("mot"), F.col("mot").alias("mot2"))
+    onward = shuffled(word.select("champ", F.col("sonde").alias("mot"), F.col("mot").alias("mot2")))
     for _ in range(2):
         word = word.join(onward, ["champ", "mot"], "left").select("champ", "sonde", F.coalesce("mot2", "mot").alias("mot"), "ordre")
     # One word for two: the word is, but for one edit, a known pair run together.
-    two = of_words.join(own, ["champ", "sonde"]).join(pairs.select("champ", "mot", "a", "b", F.col("poids_paire").alias("poids_mot")), ["champ", "mot"]).filter(clear & (F.length("sonde") >= 6))
+    two = of_words.join(own, ["champ", "sonde"]).join(shuffled(pairs.select("champ", "mot", "a", "b", F.col("poids_paire").alias("poids_mot"))), ["champ", "mot"]).filter(clear & (F.length("sonde") >= 6))
     best = Window.partitionBy("champ", "sonde").orderBy(F.col("distance"), F.col("poids_mot").desc(), F.col("a"))
     two = two.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("champ", "sonde", F.concat_ws(" ", "a", "b").alias("mot"), F.lit(2).alias("ordre"))
     single = word.unionByName(two)
@@ -153,7 +153,7 @@ def canonical_vocabulary(names: DataFrame) -> DataFrame:
     # Two words for one: the pair run together is, but for one edit, a word far commoner than its rarer half.
     halves = pairs.join(weight.select("champ", F.col("mot").alias("a"), F.col("poids_mot").alias("poids_a")), ["champ", "a"]).join(weight.select("champ", F.col("mot").alias("b"), F.col("poids_mot").alias("poids_b")), ["champ", "b"])
     halves = halves.select("champ", F.col("mot").alias("sonde"), F.least("poids_a", "poids_b", "poids_paire").alias("poids_sonde"), "dans", "a", "b")
-    joined = of_pairs.join(halves, ["champ", "sonde"]).join(weight, ["champ", "mot"]).filter((clear | (slip & heavier)) & (F.length("mot") >= 5))
+    joined = of_pairs.join(shuffled(halves), ["champ", "sonde"]).join(weight, ["champ", "mot"]).filter((clear | (slip & heavier)) & (F.length("mot") >= 5))
     # An initial beside a word is no part of it, unless the two are exactly a known word.
     joined = joined.filter((F.col("mot") != F.col("a")) & (F.col("mot") != F.col("b")) & ((F.col("distance") == 0) | (F.least(F.length("a"), F.length("b")) > 1)))
     best = Window.partitionBy("champ", "sonde").orderBy(F.col("distance"), F.col("poids_mot").desc(), F.col("mot"))
@@ -170,23 +170,23 @@ def spellings(fields: DataFrame) -> DataFrame:
     names = materialise(distinct.mapInPandas(_tokenise, "champ string, nom string, n long, mots array<string>, paires array<string>").filter(F.size("mots") > 0), "noms")
     known = canonical_vocabulary(names)
     terms = names.select("champ", "nom", F.explode(F.array_distinct(F.concat("mots", F.transform("paires", lambda p: F.concat(F.lit("+"), p))))).alias("cle"))
-    maps = terms.join(known, ["champ", "cle"]).groupBy("champ", "nom").agg(F.collect_list("cle").alias("cles"), F.collect_list("valeur").alias("valeurs"))
+    maps = terms.join(shuffled(known), ["champ", "cle"]).groupBy("champ", "nom").agg(F.collect_list("cle").alias("cles"), F.collect_list("valeur").alias("valeurs"))
     empty = F.array().cast("array<string>")
-    read = names.join(maps, ["champ", "nom"], "left").select("champ", "nom", "n", "mots", F.coalesce("cles", empty).alias("cles"), F.coalesce("valeurs", empty).alias("valeurs"))
+    read = names.join(shuffled(maps), ["champ", "nom"], "left").select("champ", "nom", "n", "mots", F.coalesce("cles", empty).alias("cles"), F.coalesce("valeurs", empty).alias("valeurs"))
     read = materialise(read.mapInPandas(_read_names, "champ string, nom string, n long, genre string, forme string, reste array<string>"), "lus")
 
     word = read.select("champ", "nom", "reste", F.explode("reste").alias("mot"))
     beside = word.select("champ", "mot", F.explode("reste").alias("autre")).filter("mot <> autre").groupBy("champ", "mot", "autre").agg(F.lit(1).alias("_1"))
     degree = beside.groupBy("champ", "mot").agg(F.count(F.lit(1)).alias("degre"))
     core = Window.partitionBy("champ", "nom").orderBy(F.coalesce("degre", F.lit(0)) + F.when(F.length("mot") < 4, 1_000_000).otherwise(0), -F.length("mot"), "mot")
-    cores = word.join(degree, ["champ", "mot"], "left").withColumn("_k", F.row_number().over(core)).filter("_k = 1").select("champ", "nom", F.col("mot").alias("noyau"))
-    known_names = materialise(read.join(cores, ["champ", "nom"]).withColumn("details", F.array_remove("reste", F.col("noyau"))), "noyaux")
+    cores = word.join(shuffled(degree), ["champ", "mot"], "left").withColumn("_k", F.row_number().over(core)).filter("_k = 1").select("champ", "nom", F.col("mot").alias("noyau"))
+    known_names = materialise(read.join(shuffled(cores), ["champ", "nom"]).withColumn("details", F.array_remove("reste", F.col("noyau"))), "noyaux")
     signatures = known_names.groupBy("champ", "noyau", "genre", "forme", "details").agg(F.sum("n").alias("poids"))
     signatures = materialise(signatures, "signatures")
     # Cores travel in buckets, whose number follows that of the signatures.
     bucket = F.pmod(F.xxhash64("champ", "noyau", "genre"), F.lit(max(16, -(-signatures.count() // BUCKET_SIGNATURES)))).alias("_seau")
     resolved = signatures.groupBy(bucket).applyInPandas(_resolve, "champ string, noyau string, genre string, forme string, details array<string>, entite int")
-    x = known_names.join(resolved, ["champ", "noyau", "genre", "forme", "details"])
+    x = known_names.join(shuffled(resolved), ["champ", "noyau", "genre", "forme", "details"])
     return x.select("champ", "nom", F.concat_ws("|", "noyau", "genre", F.col("entite").cast("string")).alias("entite"))
 
 
@@ -194,4 +194,4 @@ def variant_pairs(fields: DataFrame) -> DataFrame:
     """(champ, nom_a, nom_b): each pair of spellings of one entity, nom_a before nom_b in UTF-8 byte order."""
     s = materialise(spellings(fields), "graphies")
     a, b = s.withColumnRenamed("nom", "nom_a"), s.withColumnRenamed("nom", "nom_b")
-    return a.join(b, ["champ", "entite"]).filter("nom_a < nom_b").select("champ", "nom_a", "nom_b")
+    return a.join(shuffled(b), ["champ", "entite"]).filter("nom_a < nom_b").select("champ", "nom_a", "nom_b")

@@ -68,3 +68,19 @@ def test_variants_of_bodies_firms_and_persons(spark):
 def test_empty(spark):
     assert variant_pairs(spark.createDataFrame([], "champ string, nom string")).count() == 0
     assert variant_pairs(spark.createDataFrame([("a", None), ("a", "  ")], "champ string, nom string")).count() == 0
+
+
+def test_no_table_that_grows_with_the_names_is_broadcast(spark, monkeypatch):
+    from ardoise.llm import variants as V
+
+    plans = []
+
+    def written(df, name, kept=V.materialise):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(V, "materialise", written)
+    df = spark.createDataFrame([("a", n) for n in NAMES] + [("t", n) for n in FIRMS + OTHERS], "champ string, nom string")
+    pairs = variant_pairs(df)
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and "SortMergeJoin" in plans[-1] and not [p for p in plans if "BroadcastHashJoin" in p]
