@@ -139,3 +139,29 @@ def test_keys_of_a_notice_meet_those_of_its_contract():
     assert meet((["toiture"], [], ["quvoxaria"], [], 23_990, "location"), contract) and meet((["toiture"], [], [], ["firmenom"], 23_990, ""), contract)
     assert not meet((["toiture"], [], ["quvoxaria"], [], 23_990, "fourniture"), contract) and not meet((["toiture"], [], ["quvoxaria"], [], 24_001, "location"), contract)
     assert len(L.keys_of([], [], [], [], None, "", 0, False, False)) == 0
+
+
+def test_keys_that_no_notice_has_are_left_out(spark):
+    import types
+
+    import pyarrow as pa
+
+    from ardoise.llm.leaks import bitmap_of
+
+    rows = [{"ident": k, "mots": ["toiture", place], "acheteur": "Commune de Quvoxaria", "commune": None, "titulaires": [], "mois": 24_000} for k, place in (("a", "zabrolixene"), ("b", "lirobandexu"))]
+    read = lambda **how: next(iter(L._read_records(["toiture"], ["toiture"], [], **how)(iter([pa.RecordBatch.from_pylist(rows)])))).to_pylist()
+    every = [set(r["cles_toutes"]) for r in read()]
+    own = sorted(every[0] - every[1])
+    bits = bitmap_of(spark.createDataFrame([(k,) for k in own[:5]], "trace long"))
+    got = [set(r["cles_toutes"]) for r in read(wanted=types.SimpleNamespace(value=bits))]
+    assert len(own) > 5 and set(own[:5]) <= got[0] <= every[0] and len(got[0]) == 5 and got[1] == set()
+
+
+def test_edges_just_at_the_bound_stay_however_weights_are_summed(spark):
+    m, a, p, b = 9, 6, 9, 2
+    keys = {f"x{k}": list(range(a)) for k in range(m)} | {f"y{k}": list(range(100, 100 + b)) for k in range(p)}
+    contracts = spark.createDataFrame([(c, k, k) for c, k in keys.items()], "ident string, cles array<bigint>, cles_toutes array<bigint>")
+    every = sorted({k for own in keys.values() for k in own})
+    # The weight b / p is half of the mean (a + b) / (m + p), but not so in floating point.
+    got = {r.contrat for r in L.candidates(spark.createDataFrame([("n", every, every)], contracts.schema), contracts).collect()}
+    assert b / p == L.PRUNE * (a + b) / (m + p) and got == set(keys)
